@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, pitman_yor, simhash
+from . import bpe, language_id, line_dedup, lsh_ann, mixing, pitman_yor, quality_gam, simhash, vector_graph
 from .common import read_table
 
 
@@ -43,13 +43,47 @@ def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_gam.score_quality(docs, read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(read_table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.vocabulary_path())
 
 
+def op7_lsh_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return lsh_ann.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_pitman_yor, op6_bpe, op8_mixing)}
-ORACLE_SQL = {"op1_line_dedup": OP1_SQL}
+def op9_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.link_vectors(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+OP9_SQL = """
+WITH RECURSIVE good AS (
+  SELECT DISTINCT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+), pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.93
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM good UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a
+), comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
+links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT g.vec_id, coalesce(l.n, 0) AS n_links, c.c AS component_id, g.vec_id = c.c AS kept
+FROM good g JOIN comp c ON c.a = g.vec_id LEFT JOIN links l ON l.a = g.vec_id
+"""
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "n_langs")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_pitman_yor, op4_quality_gam, op6_bpe, op7_lsh_ann, op8_mixing, op9_vector_graph, op10_language_id)}
+ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op9_vector_graph": OP9_SQL}
