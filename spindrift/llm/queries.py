@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_dedup, lsh_ann, mixing, pitman_yor, quality_gam, simhash, vector_graph
+from . import bpe, language_id, line_dedup, lsh_ann, mixing, pitman_yor, quality_gam, simhash, suffix_dedup, vector_graph
 from .common import read_table
 
 
@@ -48,6 +48,10 @@ def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score_quality(docs, read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(read_table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.vocabulary_path())
 
@@ -85,5 +89,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "n_langs")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_pitman_yor, op4_quality_gam, op6_bpe, op7_lsh_ann, op8_mixing, op9_vector_graph, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_pitman_yor, op4_quality_gam, op5_suffix_array, op6_bpe, op7_lsh_ann, op8_mixing, op9_vector_graph, op10_language_id)}
 ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op9_vector_graph": OP9_SQL}
