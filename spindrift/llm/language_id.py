@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fold_of, record_batch, small_batches
 
@@ -111,8 +112,9 @@ def infer(texts: list[str], logs: np.ndarray, letters: Letters, sweeps: int, pen
     return best, score, shares, sizes
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out_fold: int = 2, sweeps: int = SWEEPS, penalty: float = PENALTY) -> DataFrame:
-    """``(doc_id, held_out, lang_pred, score, n_langs, langs)`` for every row.
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out_fold: int = 2, sweeps: int = SWEEPS, penalty: float = PENALTY, keep: list[str] | None = None) -> DataFrame:
+    """``(doc_id, held_out, lang_pred, score, n_langs, langs)`` for every row; with ``keep``, those
+    columns of the table, then ``lang_pred`` and ``score`` (they must not be among the kept).
 
     Trigram counts are learned from the text and language of all rows whose ``crc32(id as text)``
     modulo ``folds`` is not ``held_out_fold`` and whose language is not null. ``lang_pred`` is the
@@ -126,6 +128,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     spark = docs.sparkSession
     small_batches(spark)
     held = F.coalesce(fold_of(id_col, folds) == held_out_fold, F.lit(False))
+    rows = docs
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     learn = docs.where("doc_id is not null and not held_out and lang is not null and text is not null").select("text", "lang")
     counts = trigram_counts(learn).toArrow()
@@ -146,4 +149,16 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             sets = [[(langs[j], float(s[j])) for j in np.flatnonzero(s > 0)] for s in shares]
             yield record_batch(schema, (batch.column(0), batch.column(1), [langs[i] if i >= 0 else "und" for i in best], score, sizes.astype(np.int32), pa.array(sets, schema.field("langs").type)))
 
+    if keep is not None:
+        if {"lang_pred", "score"} & {c.lower() for c in keep}:
+            raise ValueError("rename the columns lang_pred and score first")
+        wide = T.StructType([*rows.select(*keep).schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            letters, (langs, logs) = Letters(), shipped.value
+            for batch in batches:
+                best, score, _, _ = infer([t or "" for t in batch.column(text_col).to_pylist()], logs, letters, sweeps, penalty)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([langs[i] if i >= 0 else "und" for i in best], pa.string()), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
+
+        return rows.select(*keep).mapInArrow(add, wide)
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, n_langs int, langs map<string,double>")

@@ -41,7 +41,7 @@ class Hashes:
         self.a = rng.normal(size=(tables, count, size + 1))
         self.b = rng.uniform(0, width * unit, (tables, count))
         self.width, self.reach, self.longest = width * unit, reach * unit, longest
-        self.steps = np.array(list(product((-1, 0, 1), repeat=count)), np.int64).reshape(-1, count)
+        self.steps = np.array(list(product((-1, 0, 1), repeat=count)), np.int64).reshape(3**count, count)
 
     def project(self, x: np.ndarray, table: int, is_query: bool) -> np.ndarray:
         more = np.zeros(len(x)) if is_query else np.sqrt(np.maximum(self.longest**2 - (x**2).sum(axis=1), 0.0))

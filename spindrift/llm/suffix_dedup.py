@@ -138,7 +138,8 @@ def suffix_array(s: np.ndarray, span: int, length: int) -> np.ndarray:
     pairs = np.unique(np.concatenate([t[second] * top + t[second + 1], t[rest] * top + t[rest + 1]]), return_inverse=True)[1]
     below += np.searchsorted(pairs[: len(second)] * top + at[second + 2], pairs[len(second) :] * top + at[rest + 2])
     out = np.empty(n, np.int64)
-    place = below + np.arange(len(rest))
+    # Suffixes alike in all bytes that count stand in any order; keep theirs from crossing.
+    place = np.maximum.accumulate(below) + np.arange(len(rest))
     out[place] = rest
     free = np.ones(n, bool)
     free[place] = False
