@@ -95,11 +95,13 @@ def score_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nda
     """Exact scores of a block of rows for some queries: the k best of each."""
     rough = q @ x.T
     rough[query_ids[:, None] == ids[None, :]] = -np.inf
-    if len(ids) > k:
-        least = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k]
+    order = np.argsort(ids, kind="stable")
+    first = np.r_[0, np.flatnonzero(np.diff(ids[order])) + 1]
+    of_id = np.maximum.reduceat(rough[:, order], first, axis=1)  # rows that share an id count once
+    keep = np.ones(rough.shape, bool)
+    if len(first) > k:
+        least = np.partition(of_id, len(first) - k, axis=1)[:, len(first) - k]
         keep = rough >= (least - 1e-9 * np.abs(least) - 1e-300)[:, None]
-    else:
-        keep = np.ones(rough.shape, bool)
     i, j = np.nonzero(keep & (rough > -np.inf))
     score = np.einsum("ij,ij->i", q[i], x[j])  # one order of summation for every pair, so that copies tie
     best = best_of(query_ids[i], ids[j], score, k)
