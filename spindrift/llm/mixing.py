@@ -124,7 +124,7 @@ def plan_mix(rows: DataFrame, weights: Sequence[float], share: float, cap: float
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slot = draws.repartition(parts, "shard", "rank").select("rank", "blocks", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
     key = F.xxhash64(F.lit(seed), "rank", F.floor(F.col("slot") / F.col("blocks")))
-    taken = slot.select("rank", place("slot", "blocks", key).alias("block")).groupBy("rank", "block").agg(F.count("*").alias("times"))
+    taken = slot.select("rank", place("slot", "blocks", key).alias("block")).groupBy("rank", "block").agg(F.count("*").alias("times")).hint("merge")  # its size estimate misses the slots
 
     before = Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.select("source", "piece", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
