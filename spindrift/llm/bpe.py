@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import record_batch, small_batches
+from .common import Shipped, record_batch, small_batches
 
 #: Fixed values of the public byte-level vocabulary: how text is split before the merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -200,7 +200,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     small_batches(spark)
     with open(vocabulary, encoding="utf-8") as file:
-        shipped = spark.sparkContext.broadcast(Merges.from_json(file.read()))
+        shipped = Shipped(spark, Merges.from_json(file.read()))
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if keep_ids:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,24 @@ def shared_dir(spark: SparkSession) -> str:
     return configured or sc.getCheckpointDir()
 
 
+class Shipped:
+    """A broadcast object of one of this package's classes.
+
+    The classes travel with it, so executors need no copy of the package. A worker unpacks the
+    object once and keeps it between its tasks.
+    """
+
+    def __init__(self, spark: SparkSession, value: object):
+        self.box = spark.sparkContext.broadcast({"packed": cloudpickle.dumps(value)})
+
+    @property
+    def value(self):
+        held = self.box.value
+        if "object" not in held:
+            held["object"] = pickle.loads(held["packed"])
+        return held["object"]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small table with a reliable checkpoint."""
     shared_dir(df.sparkSession)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fold_of, record_batch, small_batches, stored
+from .common import Shipped, as_bytes, fold_of, record_batch, small_batches, stored
 
 FEATURES = ("chars", "words", "word_length", "distinct_words", "repeated_neighbours", "top_word", "upper", "digits", "marks", "symbols", "bangs", "stops", "commas", "bars", "non_ascii", "newlines", "distinct_lines", "line_length", "capital_words", "short_words")
 #: Labelled rows that the fit may use at most: those with the smallest hash of their id.
@@ -221,7 +221,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample).select("doc_id", "y", "x").toArrow()
     ids, y = known.column("doc_id").to_numpy(), (known.column("y").to_numpy() >= 0.5).astype(float)
     x = known.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)) if len(y) else np.zeros((0, len(FEATURES)))
-    model = spark.sparkContext.broadcast(fit(x, y, ids % 7 == 3))
+    model = Shipped(spark, fit(x, y, ids % 7 == 3))
     result = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
