@@ -21,11 +21,11 @@ CLUSTER, CENTRES = 400, 32_768
 #: Clusters that a vector belongs to.
 OVERLAP = 3
 #: Largest half of a shard; larger clusters are cut into blocks, and pairs of blocks are shards.
-BLOCK = 750
+BLOCK = 1000
 #: Nearest vectors that are candidates for an edge, edges that stay, and the slack of the pruning rule.
 CANDIDATES, DEGREE, ALPHA = 48, 16, 1.2
 #: Beam of the greedy search; similarity below the threshold to which a range is expanded.
-BEAM, SLACK = 12, 0.06
+BEAM, SLACK = 4, 0.06
 #: Vectors audited against all others, and the recall under which the search is done again with twice the overlap.
 AUDITED, LEAST_RECALL = 512, 0.98
 
@@ -57,34 +57,41 @@ def prune(sims: np.ndarray) -> np.ndarray:
     return out
 
 
-def range_search(x: np.ndarray, edges: np.ndarray, start: int, least: float) -> np.ndarray:
+def range_search(sims: np.ndarray, edges: np.ndarray, start: int, least: float) -> np.ndarray:
     """Pairs found with a similarity of about ``least`` or more, as a matrix; every vector is a query.
 
-    Greedy search from the medoid with a small beam; once it stands among vectors in range, all of
-    these are expanded until no new one turns up. Similarities are computed for visited vectors only.
+    Each query enters the graph at the medoid and at its own node. Greedy search with a small beam
+    goes on from there; all vectors near the range that turn up are then expanded, for all queries
+    at once, until no new one does. Only pairs that the search has visited can be found.
     """
-    m = len(x)
-    sim = np.full((m, m), -2.0, np.float32)
-    done = np.zeros((m, m), bool)
-    sim[:, start] = x @ x[start]
+    m = len(sims)
+    i, j = np.nonzero(edges >= 0)
+    links = np.zeros((m, m), np.float32)
+    links[i, edges[i, j]] = 1
+    links = np.maximum(links, links.T)  # edges lead back too: in a group of copies all point to a few
+    seen, done = np.eye(m, dtype=bool), np.zeros((m, m), bool)
+    seen[:, start] = True
     active = np.arange(m)
-    while len(active):
-        open_ = np.where(done[active], np.float32(-3), sim[active])
+    for _ in range(m):
+        open_ = np.where(seen[active] & ~done[active], sims[active], -3)
         best = open_.argmax(axis=1)
         top = open_[np.arange(len(active)), best]
-        better = (done[active] & (sim[active] > top[:, None])).sum(axis=1)
-        go = (top > -2) & ((better < BEAM) | (top >= least - SLACK))
+        better = (done[active] & (sims[active] > top[:, None])).sum(axis=1)
+        go = (top > -2) & (better < BEAM)
         active, best = active[go], best[go]
+        if not len(active):
+            break
         done[active, best] = True
-        for at in range(0, len(active), 256):
-            q, b = active[at : at + 256], best[at : at + 256]
-            to = edges[b]
-            i, j = np.nonzero(to >= 0)
-            query, node = q[i], to[i, j]
-            new = sim[query, node] == -2
-            query, node = query[new], node[new]
-            sim[query, node] = np.einsum("ij,ij->i", x[query], x[node])
-    found = sim >= least - 1e-4
+        seen[active] |= links[best] > 0
+    near = sims >= least - SLACK
+    while True:
+        fresh = seen & near & ~done
+        rows = np.flatnonzero(fresh.any(axis=1))
+        if not len(rows):
+            break
+        done |= fresh
+        seen[rows] |= fresh[rows].astype(np.float32) @ links > 0
+    found = seen & (sims >= least - 1e-9)
     np.fill_diagonal(found, False)
     return found | found.T
 
@@ -218,12 +225,11 @@ def search_shards(nodes: DataFrame, least: float, overlap: int) -> tuple[DataFra
         for r, (a, b) in enumerate(zip(start, end, strict=True)):
             edges[r, : b - a] = inside[a:b]
         medoid = int((unit @ unit.mean(axis=0)).argmax())
-        i, j = np.nonzero(np.triu(range_search(unit, edges, medoid, least)))
+        i, j = np.nonzero(np.triu(range_search(unit @ unit.T, edges, medoid, least)))
         real = cosines(x, i, j) >= least
         i, j = i[real], j[real]
         # A pair counts in the first shard of both, and of its blocks' pairs in one.
         sets = group.column("shards").combine_chunks()
-        belongs = np.zeros((len(ids), 0), np.int64)
         width = int(np.diff(sets.offsets.to_numpy()).max(initial=0))
         belongs = np.full((len(ids), width), -1)
         for r, s in enumerate(sets.to_pylist()):
