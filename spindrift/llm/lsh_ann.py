@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import record_batch, stored
+from .common import Shipped, record_batch, small_batches, stored
 from .vectors import matrix, usable
 
 #: Hash tables, the width of a cell in units of the root mean square length of the vectors, the
@@ -19,6 +19,8 @@ from .vectors import matrix, usable
 TABLES, WIDTH, REACH, SUCCESS = 2, 2.4, 1.13, 0.66
 #: Rows of a block of a bucket, and queries that meet a block at a time.
 BLOCK, QUERIES = 2048, 512
+#: Buckets of each table that a query visits first, to bound what the others need to report.
+FIRST = 8
 #: Tables of up to so many rows are one bucket.
 SMALL = 1024
 SEED = 11
@@ -91,19 +93,21 @@ def best_of(query: np.ndarray, row: np.ndarray, score: np.ndarray, k: int) -> np
     return order[at - np.maximum.accumulate(np.where(first, at, 0)) < k]
 
 
-def score_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exact scores of a block of rows for some queries: the k best of each."""
+def score_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exact scores of a block of rows for some queries: the k best of each, not under its bound."""
     rough = q @ x.T
     rough[query_ids[:, None] == ids[None, :]] = -np.inf
     order = np.argsort(ids, kind="stable")
     first = np.r_[0, np.flatnonzero(np.diff(ids[order])) + 1]
     of_id = np.maximum.reduceat(rough[:, order], first, axis=1)  # rows that share an id count once
-    keep = np.ones(rough.shape, bool)
+    least = bound
     if len(first) > k:
-        least = np.partition(of_id, len(first) - k, axis=1)[:, len(first) - k]
-        keep = rough >= (least - 1e-9 * np.abs(least) - 1e-300)[:, None]
+        least = np.maximum(least, np.partition(of_id, len(first) - k, axis=1)[:, len(first) - k])
+    keep = rough >= (least - 1e-9 * np.abs(np.where(least > -np.inf, least, 0)) - 1e-300)[:, None]
     i, j = np.nonzero(keep & (rough > -np.inf))
     score = np.einsum("ij,ij->i", q[i], x[j])  # one order of summation for every pair, so that copies tie
+    enough = score >= bound[i]
+    i, j, score = i[enough], j[enough], score[enough]
     best = best_of(query_ids[i], ids[j], score, k)
     return query_ids[i][best], ids[j][best], score[best]
 
@@ -132,12 +136,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     rows = rows.where(F.size("v") == int(sizes["size"]))
     hashes = Hashes(int(sizes["size"]), hash_count(int(sizes["n"])), tables, float(np.sqrt(sizes["mean"])), float(np.sqrt(sizes["most"])), width, reach, seed)
     used = tables if hashes.steps.shape[1] else 1  # without hashes, all tables are the same one
-    shipped = spark.sparkContext.broadcast(hashes)
+    shipped = Shipped(spark, hashes)
     where = pa.schema([("id", pa.int64()), ("tab", pa.int32()), ("bucket", pa.int64()), ("v", pa.list_(pa.float64()))])
     kind = rows.schema["v"].dataType.simpleString()
     value = pa.float32() if kind == "array<float>" else pa.float64()
     where = where.set(3, pa.field("v", pa.list_(value)))
     ddl = f"id long, tab int, bucket long, v {'array<float>' if value == pa.float32() else 'array<double>'}"
+    asked_schema = where.append(pa.field("early", pa.bool_()))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,8 +159,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                 for t in range(used):
                     found = shipped.value.probes(q, t, success)
                     own = np.repeat(np.arange(len(q)), [len(f) for f in found])
-                    take = pa.array(own)
-                    yield record_batch(where, (part.column(0).take(take), np.full(len(own), t, np.int32), np.concatenate(found), part.column(1).cast(where.field("v").type).take(take)))
+                    take, early = pa.array(own), np.concatenate([np.arange(len(f)) < FIRST for f in found])
+                    yield record_batch(asked_schema, (part.column(0).take(take), np.full(len(own), t, np.int32), np.concatenate(found), part.column(1).cast(where.field("v").type).take(take), early))
 
     placed = stored(rows.select("id", "v").mapInArrow(index, ddl))
     counts = placed.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
@@ -163,8 +168,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     blocks = cut.groupBy("tab", "bucket", "part").agg(F.collect_list(F.struct("id", "v")).alias("held"))
     queries = rows.where("asks").dropDuplicates(["id", "v"])
     chunks = int(max(1, -(-queries.count() // QUERIES)))
-    probes = queries.select("id", "v").mapInArrow(ask, ddl).join(counts.select("tab", "bucket"), ["tab", "bucket"], "left_semi")
-    probes = probes.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks))).groupBy("tab", "bucket", "chunk").agg(F.collect_list(F.struct("id", "v")).alias("asked"))
+    probes = stored(queries.select("id", "v").mapInArrow(ask, f"{ddl}, early boolean").join(counts.select("tab", "bucket"), ["tab", "bucket"], "left_semi"))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +186,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                     items = batch.column(c).slice(i, 1).flatten()
                     sides += [items.field("id").to_numpy(), matrix(items.field("v"))]
                 ids, x, query_ids, q = sides
-                found.append(score_block(ids, x, query_ids, q, k))
+                bound = batch.column(1).slice(i, 1).flatten().field("bound").to_numpy(zero_copy_only=False)
+                found.append(score_block(ids, x, query_ids, q, bound, k))
                 held += len(found[-1][0])
                 if held > 1_000_000:
                     found = [merged()]
@@ -194,7 +199,23 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             yield record_batch(schema, merged())
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # a row holds a block and a chunk
-    met = stored(blocks.join(probes, ["tab", "bucket"]).select("held", "asked").mapInArrow(search, "query_id long, vec_id long, score double"))
-    once = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def visit(some: DataFrame) -> DataFrame:
+        """``(query_id, vec_id, score)``: what the queries find in the buckets, some of it twice."""
+        chunk = F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk")
+        asked = some.groupBy("tab", "bucket", chunk).agg(F.collect_list(F.struct("id", "v", "bound")).alias("asked"))
+        return stored(blocks.join(asked, ["tab", "bucket"]).select("held", "asked").mapInArrow(search, "query_id long, vec_id long, score double"))
+
+    def best(met: DataFrame) -> DataFrame:
+        once = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    # The likeliest buckets first. Their k-th score bounds what the other buckets have to report.
+    nothing = F.lit(float("-inf")).alias("bound")
+    early = visit(probes.where("early").select("id", "tab", "bucket", "v", nothing))
+    bounds = best(early).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
+    later = probes.where("not early").join(bounds, "id", "left").select("id", "tab", "bucket", "v", F.coalesce("least", F.lit(float("-inf"))).alias("bound"))
+    found = best(early.unionByName(visit(later)))
+    small_batches(spark)
+    return found
