@@ -39,7 +39,8 @@ def shared_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min
 
     pairs = stored(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null").mapInArrow(keys, "doc long, key binary"))
     drops = pairs.groupBy("key").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("keeper")).where(F.col("n") >= min_docs).select("key", "keeper")
-    return pairs, drops
+    # Written, so that a later join deals out both sides itself: only then can Spark split a hot key.
+    return pairs, stored(drops)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_chars: int = 20) -> DataFrame:
