@@ -43,28 +43,41 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def second_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles, mixed from the first."""
+    h = hashes ^ np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, distinct: bool = False) -> DataFrame:
-    """``(doc, fp, shingles, words)``: id, fingerprint as a signed long, number of distinct shingles
-    if ``distinct`` (else of all), and a 128-bit hash of the word sequence."""
-    schema = pa.schema([("doc", pa.int64()), ("fp", pa.int64()), ("shingles", pa.int64()), ("words", pa.binary())])
+    """``(doc, fp, shingles, words, fp2)``: id, fingerprint as a signed long, and the number of shingles.
+
+    If ``distinct``, a shingle counts once, ``words`` is a 128-bit hash of the word sequence, and
+    ``fp2`` a second fingerprint (else they are empty and zero).
+    """
+    schema = pa.schema([("doc", pa.int64()), ("fp", pa.int64()), ("shingles", pa.int64()), ("words", pa.binary()), ("fp2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes, keys = [], [], []
+            fps, more, sizes, keys = [], [], [], []
             for text in batch.column(1).to_pylist():
                 data = as_bytes(text)
                 hashes = shingle_hashes(data, width)
-                key = b""
+                key, other = b"", 0
                 if distinct:
                     key = xxhash.xxh3_128_digest(hashes.tobytes())
                     hashes = np.unique(hashes)
+                    other = fingerprint(second_hashes(hashes))
+                more.append(other)
                 fps.append(fingerprint(hashes))
                 sizes.append(len(hashes))
                 keys.append(key)
-            yield record_batch(schema, (batch.column(0), np.array(fps, np.uint64).view(np.int64), sizes, keys))
+            yield record_batch(schema, (batch.column(0), np.array(fps, np.uint64).view(np.int64), sizes, keys, np.array(more, np.uint64).view(np.int64)))
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc long, fp long, shingles long, words binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc long, fp long, shingles long, words binary, fp2 long")
 
 
 def spanning_links(near: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -91,13 +104,22 @@ def spanning_links(near: np.ndarray, radius: int) -> list[tuple[int, int]]:
                 label[label == max(label[i], label[j])] = min(label[i], label[j])
 
 
-def compare_tiles(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int, int]]:
-    """Spanning links between two tiles, or within one, as ``(i, j, distance)``; ``j`` counts on after ``left``."""
+def compare_tiles(left: np.ndarray, right: np.ndarray | None, radius: int, whole: int) -> list[tuple[int, int, int]]:
+    """Spanning links between two tiles, or within one, as ``(i, j, distance)``; ``j`` counts on after ``left``.
+
+    Tiles have a row for each fingerprint, and a row of second ones. A pair links within ``radius``
+    bits of the first and ``whole`` bits of both.
+    """
     other = left if right is None else right
-    near = np.bitwise_count(left[:, None] ^ other[None, :])
+    near = np.bitwise_count(left[0][:, None] ^ other[0][None, :])
     if right is None:
         np.fill_diagonal(near, 255)
     hit = near <= radius
+    if whole > radius:
+        i, j = np.nonzero(hit)
+        near[i, j] += np.bitwise_count(left[1][i] ^ other[1][j])
+        near[~hit] = 255
+        hit = near <= whole
     rows, cols = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
     if not len(rows):
         return []
@@ -107,8 +129,8 @@ def compare_tiles(left: np.ndarray, right: np.ndarray | None, radius: int) -> li
         square = np.full((len(rows) + len(cols),) * 2, 255, np.uint8)
         square[: len(rows), len(rows) :] = near[np.ix_(rows, cols)]
         square[len(rows) :, : len(rows)] = square[: len(rows), len(rows) :].T
-        names = np.r_[rows, len(left) + cols]
-    return [(int(names[i]), int(names[j]), int(square[i, j])) for i, j in spanning_links(square, radius)]
+        names = np.r_[rows, len(left[0]) + cols]
+    return [(int(names[i]), int(names[j]), int(square[i, j])) for i, j in spanning_links(square, whole)]
 
 
 def neighbour_offsets(radius: int, parts: int, step: int, bands: int) -> list[int]:
@@ -128,10 +150,11 @@ def neighbour_offsets(radius: int, parts: int, step: int, bands: int) -> list[in
     return sorted(out)
 
 
-def tile_links(nodes: DataFrame, radius: int, parts: int = 4, step: int = 1, bands: int = 0, tile: int = 1024) -> DataFrame:
+def tile_links(nodes: DataFrame, radius: int, parts: int = 4, step: int = 1, bands: int = 0, tile: int = 1024, whole: int | None = None) -> DataFrame:
     """``(a, b, distance)``: links whose components are those of all pairs within the radius.
 
-    ``nodes`` has ``node``, a distinct fingerprint ``fp`` each (as a rule) and ``band``. Cells are
+    ``nodes`` has ``node``, a distinct fingerprint ``fp`` each (as a rule) and ``band``; with ``whole``,
+    also ``fp2``, and pairs must be within that many bits of both fingerprints. Cells are
     split into tiles of about ``tile`` rows, and tile pairs are compared exactly, so no group of
     any size meets in one task and nothing is dropped. Each tile pair gives spanning links only.
     """
@@ -140,11 +163,12 @@ def tile_links(nodes: DataFrame, radius: int, parts: int = 4, step: int = 1, ban
     for i in range(parts):
         piece = F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
         cell = cell + F.floor(F.bit_count(piece) / step).cast("long") * (128**i)
-    nodes = stored(nodes.select("node", "fp", cell.alias("cell")))
+    other = F.col("fp2") if whole else F.lit(0).cast("long")
+    nodes = stored(nodes.select("node", "fp", other.alias("fp2"), cell.alias("cell")))
     # At most (64 / parts / step + 1) ** parts cells a band: 83,521 for four pieces, so a broadcast stays under 3 MB.
     sizes = nodes.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("n"))
     tiles = nodes.join(F.broadcast(sizes), "cell").withColumn("sub", F.pmod(F.xxhash64("fp", "node"), F.col("n")).cast("int"))
-    tiles = stored(tiles.groupBy("cell", "sub").agg(F.collect_list(F.struct("node", "fp")).alias("items")))
+    tiles = stored(tiles.groupBy("cell", "sub").agg(F.collect_list(F.struct("node", "fp", "fp2")).alias("items")))
     offsets = F.array(*[F.lit(x).cast("long") for x in neighbour_offsets(radius, parts, step, bands)])
     left = tiles.select("sub", F.col("items").alias("left"), "cell", F.explode(offsets).alias("offset")).select("sub", "left", "offset", (F.col("cell") + F.col("offset")).alias("cell"))
     right = tiles.select("cell", F.col("sub").alias("sub2"), F.col("items").alias("right"))
@@ -157,11 +181,12 @@ def tile_links(nodes: DataFrame, radius: int, parts: int = 4, step: int = 1, ban
             sides = []
             for column in (batch.column(0), batch.column(1)):
                 flat = column.values
-                sides.append((column.offsets.to_numpy(), flat.field("node").to_numpy(zero_copy_only=False), flat.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)))
+                codes = np.stack([flat.field(f).to_numpy(zero_copy_only=False).view(np.uint64) for f in ("fp", "fp2")])
+                sides.append((column.offsets.to_numpy(), flat.field("node").to_numpy(zero_copy_only=False), codes))
             for i in range(batch.num_rows):
-                (ids, fps), (ids2, fps2) = [(nodes[at[i] : at[i + 1]], codes[at[i] : at[i + 1]]) for at, nodes, codes in sides]
+                (ids, fps), (ids2, fps2) = [(nodes[at[i] : at[i + 1]], codes[:, at[i] : at[i + 1]]) for at, nodes, codes in sides]
                 names = ids if same[i] else np.concatenate([ids, ids2])
-                out += [(int(names[x]), int(names[y]), d) for x, y, d in compare_tiles(fps, None if same[i] else fps2, radius)]
+                out += [(int(names[x]), int(names[y]), d) for x, y, d in compare_tiles(fps, None if same[i] else fps2, radius, whole or radius)]
             yield record_batch(schema, list(zip(*out, strict=True)) or ([], [], []))
 
     spark = nodes.sparkSession
@@ -191,23 +216,25 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(named, "fp").select(F.col("doc").alias("doc_id"), "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 16, tile: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 20, whole: int = 32, tile: int = 1024) -> DataFrame:
     """``(doc, component)``: groups of documents whose sets of word shingles are alike.
 
     Equal word sequences form a class first. SimHash over distinct shingles proposes links between
-    classes, at a radius that a pair at the similarity exceeds once in a hundred times (9.7 bits
-    are expected to differ, with a deviation of 2.9). Tiles are also cut by the number of shingles:
-    sets that alike differ in size by a factor of 1 / similarity at most, so other tile pairs are
-    skipped. Every link used is then verified on the whole sets (Jaccard at least ``similarity``).
+    classes: within ``radius`` bits of one fingerprint and ``whole`` bits of two. At the similarity,
+    9.7 and 19.4 bits are expected to differ, with deviations of 2.9 and 4.1, so about one pair in
+    a thousand at the limit is passed over, and hardly any unlike pair is proposed. Tiles are also
+    cut by the number of shingles: sets that are alike differ in size by a factor of 1 / similarity
+    at most, so other tile pairs are skipped. Every link used is then verified on the whole sets
+    (Jaccard at least ``similarity``).
 
     Null and empty texts have no shingles: they are copies of one another. Rows with a null id take
     no part. Repeated ids and rows: one entry each id, in the smallest component of its texts.
     """
     prints = stored(fingerprints(docs, id_col, text_col, width, distinct=True).where("doc is not null"))
-    key = ["words", "fp", "shingles"]
+    key = ["words", "fp", "fp2", "shingles"]
     classes = stored(prints.groupBy(*key).agg(F.min("doc").alias("node")))
     band = F.floor(F.log(F.greatest(F.col("shingles"), F.lit(1))) / math.log(1 / similarity) + 1e-9).cast("int")
-    links = tile_links(classes.select("node", "fp", band.alias("band")), radius, parts=1, step=8, bands=1, tile=tile)
+    links = tile_links(classes.select("node", "fp", "fp2", band.alias("band")), radius, parts=1, step=8, bands=1, tile=tile, whole=whole)
     links = links.where("a <> b")
     ends = links.select(F.col("a").alias("doc")).unionByName(links.select(F.col("b").alias("doc"))).distinct()
     sets = shingle_sets(docs.withColumn(id_col, F.col(id_col).cast("long")).join(ends.withColumnRenamed("doc", id_col), id_col, "left_semi"), id_col, text_col, width)
