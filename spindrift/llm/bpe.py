@@ -8,6 +8,7 @@ import json
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,8 @@ from .common import Shipped, record_batch, small_batches
 #: Fixed values of the public byte-level vocabulary: how text is split before the merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Entries of the cache of pieces that a task keeps; it starts anew when full.
-CACHE = 400_000
+#: Pieces in each half of the cache that a worker keeps; a full half replaces the older one.
+CACHE = 150_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -168,10 +169,10 @@ class Decoder:
         return self.state.decode(b"".join(map(self.text.__getitem__, ids)), final)
 
 
-def round_trip(text: str, encoder: Encoder, keep: bool, block: int = 8192) -> tuple[int, str, str, list[int], str]:
+def round_trip(text: str, encoder: Encoder, keep: bool, block: int = 8192) -> tuple[int, str, str, np.ndarray, str]:
     """Number of ids, both hashes, and if ``keep`` the ids and the decoded text, in blocks of pieces."""
     n, said, back = 0, hashlib.sha256(), hashlib.sha256()
-    ids, plain = [], []
+    ids, plain = [np.zeros(0, np.int32)], []
     decoder, pieces = Decoder(encoder.merges), encoder.encode(text)
     while some := list(islice(pieces, block)):
         said.update((b"," if n else b"") + b",".join([x for x, _ in some]))
@@ -180,11 +181,11 @@ def round_trip(text: str, encoder: Encoder, keep: bool, block: int = 8192) -> tu
         chunk = decoder.feed(own)
         back.update(chunk.encode())
         if keep:
-            ids += own
+            ids.append(np.array(own, np.int32))
             plain.append(chunk)
     rest = decoder.feed((), True)
     back.update(rest.encode())
-    return n, said.hexdigest(), back.hexdigest(), ids, "".join([*plain, rest])
+    return n, said.hexdigest(), back.hexdigest(), np.concatenate(ids), "".join([*plain, rest])
 
 
 def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:

@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, record_batch, small_batches
+from .common import fold_of, fresh, record_batch, small_batches
 
 #: Buckets of hashed character trigrams; a model has this many numbers for each language.
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
+#: Characters that are worked on at a time.
+PIECE = 400_000
 SWEEPS = 14
 #: Languages with a smaller share after the first sweeps leave the set before it is weighed.
 LEAST_SHARE = 0.05
@@ -41,6 +43,27 @@ def trigrams(texts: list[str], letters: Letters) -> tuple[np.ndarray, np.ndarray
     return np.searchsorted(ends, middle, side="right"), bucket.astype(np.int64)
 
 
+def pieces_of(texts: list[str], most: int = PIECE) -> Iterator[tuple[list[int], list[str]]]:
+    """The texts in order as groups of pieces of bounded size; a long text is cut before a character
+    that is no letter, where no trigram is lost."""
+    index, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        start = 0
+        while start < len(text):
+            end = min(len(text), start + most)
+            while end < len(text) and text[end].isalpha() and end - start < 4 * most:
+                end += 1
+            index.append(i)
+            held.append(text[start:end])
+            size += end - start
+            start = end
+            if size >= most:
+                yield index, held
+                index, held, size = [], [], 0
+    if held:
+        yield index, held
+
+
 def trigram_counts(docs: DataFrame) -> DataFrame:
     """``(lang, bucket, n)`` over rows ``(text, lang)``; added up in each task before the shuffle."""
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
@@ -53,10 +76,11 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
                 continue
             names = sorted(set(langs))
             code = np.array([names.index(x) for x in langs])
-            doc, bucket = trigrams(texts, letters)
-            table = np.bincount(code[doc] * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
-            for name, row in zip(names, table, strict=True):
-                sums[name] = sums[name] + row if name in sums else row
+            for index, held in pieces_of(texts):
+                doc, bucket = trigrams(held, letters)
+                table = np.bincount(code[np.array(index)[doc]] * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
+                for name, row in zip(names, table, strict=True):
+                    sums[name] = sums[name] + row if name in sums else row
         for name, row in sums.items():
             at = np.flatnonzero(row)
             yield record_batch(schema, ([name] * len(at), at.astype(np.int32), row[at]))
@@ -64,7 +88,20 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def infer(texts: list[str], logs: np.ndarray, letters: Letters, sweeps: int, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def infer(texts: list[str], logs: np.ndarray, letters: Letters, sweeps: int, penalty: float) -> tuple[np.ndarray, ...]:
+    """``infer_group`` of a batch, in groups of documents of bounded size."""
+    out, start = [], 0
+    while start < len(texts):
+        end, size = start, 0
+        while end < len(texts) and (end == start or size + len(texts[end]) <= PIECE):
+            size += len(texts[end])
+            end += 1
+        out.append(infer_group(texts[start:end], logs, letters, sweeps, penalty))
+        start = end
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else infer_group([], logs, letters, sweeps, penalty)
+
+
+def infer_group(texts: list[str], logs: np.ndarray, letters: Letters, sweeps: int, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Predicted language (an index, -1 for none), score, proportions, and size of the chosen set.
 
     ``logs`` holds the log-probabilities, (languages, buckets). Expectation-maximisation over all
@@ -73,10 +110,14 @@ def infer(texts: list[str], logs: np.ndarray, letters: Letters, sweeps: int, pen
     """
     n, kinds = len(texts), len(logs)
     best, score, shares, sizes = np.full(n, -1), np.zeros(n), np.zeros((n, kinds)), np.zeros(n, np.int64)
-    doc, bucket = trigrams(texts, letters)
-    if not len(doc) or not kinds:
+    parts = []
+    for index, held in pieces_of(texts):
+        doc, bucket = trigrams(held, letters)
+        parts.append(np.unique(np.array(index)[doc] * BUCKETS + bucket, return_counts=True))
+    if not sum(len(k) for k, _ in parts) or not kinds:
         return best, score, shares, sizes
-    key, count = np.unique(doc * BUCKETS + bucket, return_counts=True)
+    key, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    count = np.bincount(where, np.concatenate([c for _, c in parts]))
     own, first = np.unique(key // BUCKETS, return_index=True)
     row = np.repeat(np.arange(len(own)), np.diff(np.r_[first, len(key)]))
     log = logs.T[key % BUCKETS]
@@ -114,7 +155,7 @@ def infer(texts: list[str], logs: np.ndarray, letters: Letters, sweeps: int, pen
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out_fold: int = 2, sweeps: int = SWEEPS, penalty: float = PENALTY, keep: list[str] | None = None) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score, n_langs, langs)`` for every row; with ``keep``, those
-    columns of the table, then ``lang_pred`` and ``score`` (they must not be among the kept).
+    columns of the table, then ``lang_pred`` and ``score`` (with underscores before them if such are kept).
 
     Trigram counts are learned from the text and language of all rows whose ``crc32(id as text)``
     modulo ``folds`` is not ``held_out_fold`` and whose language is not null. ``lang_pred`` is the
@@ -150,15 +191,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             yield record_batch(schema, (batch.column(0), batch.column(1), [langs[i] if i >= 0 else "und" for i in best], score, sizes.astype(np.int32), pa.array(sets, schema.field("langs").type)))
 
     if keep is not None:
-        if {"lang_pred", "score"} & {c.lower() for c in keep}:
-            raise ValueError("rename the columns lang_pred and score first")
-        wide = T.StructType([*rows.select(*keep).schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+        new = fresh(rows.select(*keep), "lang_pred", "score")
+        wide = T.StructType([*rows.select(*keep).schema, T.StructField(new[0], T.StringType()), T.StructField(new[1], T.DoubleType())])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             letters, (langs, logs) = Letters(), shipped.value
             for batch in batches:
                 best, score, _, _ = infer([t or "" for t in batch.column(text_col).to_pylist()], logs, letters, sweeps, penalty)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([langs[i] if i >= 0 else "und" for i in best], pa.string()), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([langs[i] if i >= 0 else "und" for i in best], pa.string()), pa.array(score)], names=[*batch.schema.names, *new])
 
         return rows.select(*keep).mapInArrow(add, wide)
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, n_langs int, langs map<string,double>")
