@@ -13,7 +13,7 @@ import xxhash
 from spindrift.llm import bpe, common, language_id, line_dedup, lsh_ann, mixing, pitman_yor, quality_gam, simhash, suffix_dedup, vector_graph
 from spindrift.llm.components import connected_components
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_lines string, key int, doc int, copy int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_lines string, key int, doc int, score int"
 SF = "/root/testdata/sf0.01"
 
 
@@ -415,7 +415,7 @@ def test_vector_links(spark):
         if i is not None:
             least[p] = min(i, least.get(p, i))
     want = [(i, degree[k], least.get(part[k]), i is not None and i == least[part[k]]) for k, (i, _, _) in enumerate(once)]
-    for block in (750, 20):
+    for block in (1000, 20):
         held, vector_graph.BLOCK = vector_graph.BLOCK, block
         try:
             assert ordered(map(tuple, vector_graph.link_vectors(frame).collect())) == ordered(want)
