@@ -7,7 +7,6 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -110,8 +109,3 @@ def record_batch(schema: pa.Schema, columns: Sequence) -> pa.RecordBatch:
 def fold_of(id_col, folds: int):
     """``crc32(doc_id as text) mod folds``."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
-
-
-def list_values(column: pa.ListArray, i: int) -> np.ndarray:
-    """One row of a list column as a numpy array, without Python objects."""
-    return column.values.slice(column.offsets[i].as_py(), column.offsets[i + 1].as_py() - column.offsets[i].as_py()).to_numpy(zero_copy_only=False)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, as_bytes, fresh, record_batch, small_batches, stored, words_of
+from .common import ASCII_SPACE, as_bytes, fresh, small_batches, stored, words_of
 
 #: Words of a block; sources are cut into blocks of this length (the last of a source may be shorter).
 BLOCK = 128
