@@ -34,11 +34,6 @@ def fold_lines(lines: DataFrame, joiner: str, with_page: bool = False) -> DataFr
     return out.select("paper_id", (F.row_number().over(order) - 1).cast("long").alias("section_no"), "heading", text.alias("text"), *(["page"] if with_page else []))
 
 
-def decoded(content: Column) -> Column:
-    """UTF-8 text of a binary column; broken bytes become replacement characters."""
-    return F.expr(f"decode({content}, 'utf-8')") if isinstance(content, str) else F.decode(content, "utf-8")
-
-
 def parse_txt(files: DataFrame) -> DataFrame:
     """One section without a heading for each text ``(paper_id, text)`` that is not blank."""
     return files.select("paper_id", F.lit(0).cast("long").alias("section_no"), F.lit(None).cast("string").alias("heading"), strip("text").alias("text")).where("text <> ''")
