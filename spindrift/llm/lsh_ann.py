@@ -165,7 +165,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     placed = stored(rows.select("id", "v").mapInArrow(index, ddl))
     counts = placed.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     cut = placed.join(counts, ["tab", "bucket"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    blocks = cut.groupBy("tab", "bucket", "part").agg(F.collect_list(F.struct("id", "v")).alias("held"))
+    # Dealt out by block: by bucket alone, a hot bucket would be gathered in one task.
+    spread = cut.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "tab", "bucket", "part")
+    blocks = stored(spread.groupBy("tab", "bucket", "part").agg(F.collect_list(F.struct("id", "v")).alias("held")))
     queries = rows.where("asks").dropDuplicates(["id", "v"])
     chunks = int(max(1, -(-queries.count() // QUERIES)))
     probes = stored(queries.select("id", "v").mapInArrow(ask, f"{ddl}, early boolean").join(counts.select("tab", "bucket"), ["tab", "bucket"], "left_semi"))
