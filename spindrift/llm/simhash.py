@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product, repeat
 
 import numpy as np
@@ -104,8 +104,8 @@ def spanning_links(near: np.ndarray, radius: int) -> list[tuple[int, int]]:
                 label[label == max(label[i], label[j])] = min(label[i], label[j])
 
 
-def compare_tiles(left: np.ndarray, right: np.ndarray | None, radius: int, whole: int) -> list[tuple[int, int, int]]:
-    """Spanning links between two tiles, or within one, as ``(i, j, distance)``; ``j`` counts on after ``left``.
+def tile_distances(left: np.ndarray, right: np.ndarray | None, radius: int, whole: int) -> np.ndarray:
+    """Differing bits of every pair between two tiles, or within one; over ``whole`` where two rows are no pair.
 
     Tiles have a row for each fingerprint, and a row of second ones. A pair links within ``radius``
     bits of the first and ``whole`` bits of both.
@@ -114,12 +114,18 @@ def compare_tiles(left: np.ndarray, right: np.ndarray | None, radius: int, whole
     near = np.bitwise_count(left[0][:, None] ^ other[0][None, :])
     if right is None:
         np.fill_diagonal(near, 255)
-    hit = near <= radius
     if whole > radius:
+        hit = near <= radius
         i, j = np.nonzero(hit)
         near[i, j] += np.bitwise_count(left[1][i] ^ other[1][j])
         near[~hit] = 255
-        hit = near <= whole
+    return near
+
+
+def compare_tiles(left: np.ndarray, right: np.ndarray | None, radius: int, whole: int) -> list[tuple[int, int, int]]:
+    """Spanning links between two tiles, or within one, as ``(i, j, distance)``; ``j`` counts on after ``left``."""
+    near = tile_distances(left, right, radius, whole)
+    hit = near <= whole
     rows, cols = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
     if not len(rows):
         return []
@@ -133,6 +139,30 @@ def compare_tiles(left: np.ndarray, right: np.ndarray | None, radius: int, whole
     return [(int(names[i]), int(names[j]), int(square[i, j])) for i, j in spanning_links(square, whole)]
 
 
+def open_links(left: np.ndarray, right: np.ndarray | None, labels: np.ndarray, failed: np.ndarray, radius: int, whole: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of two tiles that may still join two labels, as ``i, j, distance``: of any two labels the ``most`` closest.
+
+    Positions count as in ``compare_tiles``, in ``labels`` and ``failed`` too. Failed pairs, packed as
+    ``i << 32 | j``, are not proposed again.
+    """
+    near, n = tile_distances(left, right, radius, whole), len(left[0])
+    shift = 0 if right is None else n
+    i, j = failed >> 32, (failed & 0xFFFFFFFF) - shift
+    near[i, j] = 255
+    if right is None:
+        near[j, i] = 255
+        near[np.tril_indices(n)] = 255
+    near[labels[:n, None] == labels[None, shift:]] = 255
+    i, j = np.nonzero(near <= whole)
+    distance, j = near[i, j], j + shift
+    pair = np.stack([np.minimum(labels[i], labels[j]), np.maximum(labels[i], labels[j])], axis=1)
+    order = np.lexsort((j, i, distance, pair[:, 1], pair[:, 0]))
+    fresh = np.r_[True, (pair[order][1:] != pair[order][:-1]).any(axis=1)] if len(order) else np.zeros(0, bool)
+    at = np.arange(len(order))
+    order = order[at - np.maximum.accumulate(np.where(fresh, at, 0)) < most]
+    return i[order], j[order], distance[order]
+
+
 def neighbour_offsets(radius: int, parts: int, step: int, bands: int) -> list[int]:
     """Offsets of the cells that can hold a partner, those of one direction only.
 
@@ -150,14 +180,12 @@ def neighbour_offsets(radius: int, parts: int, step: int, bands: int) -> list[in
     return sorted(out)
 
 
-def tile_links(nodes: DataFrame, radius: int, parts: int = 4, step: int = 1, bands: int = 0, tile: int = 1024, whole: int | None = None) -> DataFrame:
-    """``(a, b, distance)``: links whose components are those of all pairs within the radius.
+#: What names a tile pair.
+PAIR = ["cell", "sub", "cell2", "sub2"]
 
-    ``nodes`` has ``node``, a distinct fingerprint ``fp`` each (as a rule) and ``band``; with ``whole``,
-    also ``fp2``, and pairs must be within that many bits of both fingerprints. Cells are
-    split into tiles of about ``tile`` rows, and tile pairs are compared exactly, so no group of
-    any size meets in one task and nothing is dropped. Each tile pair gives spanning links only.
-    """
+
+def tiles_of(nodes: DataFrame, parts: int, step: int, tile: int, whole: int | None) -> DataFrame:
+    """``(cell, sub, items)``: the nodes of each tile."""
     width = 64 // parts
     cell = F.col("band").cast("long") * (128**parts)
     for i in range(parts):
@@ -168,31 +196,102 @@ def tile_links(nodes: DataFrame, radius: int, parts: int = 4, step: int = 1, ban
     # At most (64 / parts / step + 1) ** parts cells a band: 83,521 for four pieces, so a broadcast stays under 3 MB.
     sizes = nodes.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("n"))
     tiles = nodes.join(F.broadcast(sizes), "cell").withColumn("sub", F.pmod(F.xxhash64("fp", "node"), F.col("n")).cast("int"))
-    tiles = stored(tiles.groupBy("cell", "sub").agg(F.collect_list(F.struct("node", "fp", "fp2")).alias("items")))
+    return stored(tiles.groupBy("cell", "sub").agg(F.collect_list(F.struct("node", "fp", "fp2")).alias("items")))
+
+
+def pairs_of(tiles: DataFrame, radius: int, parts: int, step: int, bands: int) -> DataFrame:
+    """The tile pairs that can hold a link, with the items of both."""
     offsets = F.array(*[F.lit(x).cast("long") for x in neighbour_offsets(radius, parts, step, bands)])
-    left = tiles.select("sub", F.col("items").alias("left"), "cell", F.explode(offsets).alias("offset")).select("sub", "left", "offset", (F.col("cell") + F.col("offset")).alias("cell"))
+    left = tiles.select(F.col("cell").alias("from"), "sub", F.col("items").alias("left"), "cell", F.explode(offsets).alias("offset"))
+    left = left.select("from", "sub", "left", "offset", (F.col("cell") + F.col("offset")).alias("cell"))
     right = tiles.select("cell", F.col("sub").alias("sub2"), F.col("items").alias("right"))
-    pairs = left.join(right, "cell").where("offset > 0 or sub2 >= sub").select("left", "right", F.expr("offset = 0 and sub = sub2").alias("same"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.int32())])
+    pairs = left.join(right, "cell").where("offset > 0 or sub2 >= sub")
+    return pairs.select("left", "right", F.expr("offset = 0 and sub = sub2").alias("same"), F.col("from").alias("cell"), "sub", F.col("cell").alias("cell2"), "sub2")
+
+
+def links_in(pairs: DataFrame, radius: int, whole: int, most: int = 0) -> DataFrame:
+    """``(a, b, distance, code)`` and the tile pair's name: spanning links, or ``open_links`` if ``most``.
+
+    ``code`` holds the positions of both ends. For open links, items have a ``label``, and pairs ``failed``.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.int32()), ("code", pa.int64()), ("cell", pa.int64()), ("sub", pa.int32()), ("cell2", pa.int64()), ("sub2", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, same = [], batch.column(2).to_pylist()
-            sides = []
+            same, sides = batch.column(2).to_pylist(), []
             for column in (batch.column(0), batch.column(1)):
                 flat = column.values
                 codes = np.stack([flat.field(f).to_numpy(zero_copy_only=False).view(np.uint64) for f in ("fp", "fp2")])
-                sides.append((column.offsets.to_numpy(), flat.field("node").to_numpy(zero_copy_only=False), codes))
-            for i in range(batch.num_rows):
-                (ids, fps), (ids2, fps2) = [(nodes[at[i] : at[i + 1]], codes[:, at[i] : at[i + 1]]) for at, nodes, codes in sides]
-                names = ids if same[i] else np.concatenate([ids, ids2])
-                out += [(int(names[x]), int(names[y]), d) for x, y, d in compare_tiles(fps, None if same[i] else fps2, radius, whole or radius)]
-            yield record_batch(schema, list(zip(*out, strict=True)) or ([], [], []))
+                labels = flat.field("label").to_numpy(zero_copy_only=False) if most else None
+                sides.append((column.offsets.to_numpy(), flat.field("node").to_numpy(zero_copy_only=False), codes, labels))
+            for r in range(batch.num_rows):
+                (ids, fps, label), (ids2, fps2, label2) = [(nodes[at[r] : at[r + 1]], codes[:, at[r] : at[r + 1]], labels[at[r] : at[r + 1]] if most else None) for at, nodes, codes, labels in sides]
+                names, other = (ids, None) if same[r] else (np.concatenate([ids, ids2]), fps2)
+                if most:
+                    failed = batch.column(7).slice(r, 1).flatten().to_numpy(zero_copy_only=False)
+                    i, j, d = open_links(fps, other, label if same[r] else np.concatenate([label, label2]), failed, radius, whole, most)
+                else:
+                    i, j, d = np.array(compare_tiles(fps, other, radius, whole), np.int64).reshape(-1, 3).T
+                if len(i):
+                    low, high = np.minimum(i, j), np.maximum(i, j)
+                    yield record_batch(schema, (names[low], names[high], d.astype(np.int32), low << 32 | high, *(pa.repeat(batch.column(c)[r], len(i)) for c in range(3, 7))))
+
+    spark = pairs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # a row holds two tiles
+    columns = ["left", "right", "same", *PAIR, *(["failed"] if most else [])]
+    return pairs.select(*columns).mapInArrow(run, "a long, b long, distance int, code long, cell long, sub int, cell2 long, sub2 int")
+
+
+def tile_links(nodes: DataFrame, radius: int, parts: int = 4, step: int = 1, bands: int = 0, tile: int = 1024, whole: int | None = None) -> DataFrame:
+    """``(a, b, distance)``: links whose components are those of all pairs within the radius.
 
+    ``nodes`` has ``node``, a distinct fingerprint ``fp`` each (as a rule) and ``band``; with ``whole``,
+    also ``fp2``, and pairs must be within that many bits of both fingerprints. Cells are
+    split into tiles of about ``tile`` rows, and tile pairs are compared exactly, so no group of
+    any size meets in one task and nothing is dropped. Each tile pair gives spanning links only.
+    """
+    pairs = pairs_of(tiles_of(nodes, parts, step, tile, whole), radius, parts, step, bands)
+    try:
+        return stored(links_in(pairs, radius, whole or radius).select("a", "b", "distance"))
+    finally:
+        small_batches(nodes.sparkSession)
+
+
+def verified_links(nodes: DataFrame, sets_for: Callable[[DataFrame], DataFrame], similarity: float, radius: int, whole: int, step: int, tile: int) -> DataFrame:
+    """``(a, b)``: verified links whose components are those of all proposed pairs that are alike enough.
+
+    A tile pair proposes spanning links first. Where one of them fails, the pairs of that tile pair
+    that are neither joined by verified links nor compared yet are proposed in further rounds, the
+    closest of any two components first and eight times as many each round, until no proposal fails.
+    So no pair is passed over because of a link that failed, and a group of n copies still
+    gives n - 1 links.
+    """
     spark = nodes.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # a row holds two tiles
+    tiles = tiles_of(nodes, 1, step, tile, whole)
     try:
-        return stored(pairs.mapInArrow(run, "a long, b long, distance int"))
+        links = stored(links_in(pairs_of(tiles, radius, 1, step, 1), radius, whole))
+        small_batches(spark)
+        sets = sets_for(links.where("a <> b").select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+        good, bad, most = None, None, 16
+        while True:
+            asked = links.where("a <> b").select("a", "b").distinct()
+            new = stored(verify(asked, sets, similarity).distinct())
+            good = new if good is None else good.unionByName(new)
+            failed = stored(links.where("a <> b").join(new, ["a", "b"], "left_anti").select("code", *PAIR))
+            if failed.isEmpty():
+                return good
+            bad = failed if bad is None else bad.unionByName(failed)
+            labels = stored(connected_components(good, "a", "b"))
+            again = stored(bad.join(failed.select(*PAIR).distinct(), PAIR, "left_semi").groupBy(*PAIR).agg(F.collect_list("code").alias("failed")))
+            used = again.select("cell", "sub").unionByName(again.select(F.col("cell2").alias("cell"), F.col("sub2").alias("sub"))).distinct()
+            items = tiles.join(used, ["cell", "sub"], "left_semi").select("cell", "sub", F.posexplode("items").alias("pos", "item")).select("cell", "sub", "pos", "item.*")
+            items = items.join(labels, "node", "left").select("cell", "sub", F.struct("pos", "node", "fp", "fp2", F.coalesce("component", "node").alias("label")).alias("item"))
+            held = stored(items.groupBy("cell", "sub").agg(F.sort_array(F.collect_list("item")).alias("items")))
+            right = held.select(F.col("cell").alias("cell2"), F.col("sub").alias("sub2"), F.col("items").alias("right"))
+            pairs = again.join(held.withColumnRenamed("items", "left"), ["cell", "sub"]).join(right, ["cell2", "sub2"])
+            links = stored(links_in(pairs.withColumn("same", F.expr("cell = cell2 and sub = sub2")), radius, whole, most))
+            small_batches(spark)
+            most *= 8
     finally:
         small_batches(spark)
 
@@ -224,8 +323,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     9.7 and 19.4 bits are expected to differ, with deviations of 2.9 and 4.1, so about one pair in
     a thousand at the limit is passed over, and hardly any unlike pair is proposed. Tiles are also
     cut by the number of shingles: sets that are alike differ in size by a factor of 1 / similarity
-    at most, so other tile pairs are skipped. Every link used is then verified on the whole sets
-    (Jaccard at least ``similarity``).
+    at most, so other tile pairs are skipped. Every link used is verified on the whole sets (Jaccard
+    at least ``similarity``), and pairs that a failed link stood for are proposed in its place.
 
     Null and empty texts have no shingles: they are copies of one another. Rows with a null id take
     no part. Repeated ids and rows: one entry each id, in the smallest component of its texts.
@@ -234,12 +333,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = ["words", "fp", "fp2", "shingles"]
     classes = stored(prints.groupBy(*key).agg(F.min("doc").alias("node")))
     band = F.floor(F.log(F.greatest(F.col("shingles"), F.lit(1))) / math.log(1 / similarity) + 1e-9).cast("int")
-    links = tile_links(classes.select("node", "fp", "fp2", band.alias("band")), radius, parts=1, step=8, bands=1, tile=tile, whole=whole)
-    links = links.where("a <> b")
-    ends = links.select(F.col("a").alias("doc")).unionByName(links.select(F.col("b").alias("doc"))).distinct()
-    sets = shingle_sets(docs.withColumn(id_col, F.col(id_col).cast("long")).join(ends.withColumnRenamed("doc", id_col), id_col, "left_semi"), id_col, text_col, width)
-    sets = stored(sets)
-    checked = verify(links.select("a", "b"), sets, similarity)
+
+    def sets_for(ends: DataFrame) -> DataFrame:
+        held = docs.withColumn(id_col, F.col(id_col).cast("long")).join(ends.withColumnRenamed("doc", id_col), id_col, "left_semi")
+        return stored(shingle_sets(held, id_col, text_col, width))
+
+    checked = verified_links(classes.select("node", "fp", "fp2", band.alias("band")), sets_for, similarity, radius, whole, 8, tile)
     same = prints.join(classes, key).where("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b")).distinct()
     found = connected_components(checked.unionByName(same), "a", "b")
     return prints.select("doc").distinct().join(found.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("component"))

@@ -152,6 +152,23 @@ def test_near_duplicates_are_verified(spark):
     assert [got[i] for i in range(len(rows))] == components(len(rows), links)
 
 
+def test_near_duplicates_around_the_limit(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for _ in range(3):
+        base = [word() for _ in range(300)]
+        for _ in range(40):
+            own = list(base)
+            for at in rng.sample(range(300), 4):  # any two are about 0.75 to 0.85 alike
+                own[at] = word()
+            rows.append((len(rows), " ".join(own)))
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in (tuple(x.split()) for _, x in rows)]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    got = {r["doc"]: r["component"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), tile=64).collect()}
+    assert [got[i] for i in range(len(rows))] == components(len(rows), links)
+
+
 def test_pitman_yor(docs, none, spark):
     rows = texts_of(docs)
     held = {i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
