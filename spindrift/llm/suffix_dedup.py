@@ -213,10 +213,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if held:
                 yield emit()
 
-    runs = stored(docs.select("text").mapInArrow(find, "text_key binary, route long, start long, windows long, twice boolean"))
+    # Copies have the same runs; one row of each is enough, and is made before the shuffle.
+    runs = docs.select("text").mapInArrow(find, "text_key binary, route long, start long, windows long, twice boolean")
+    runs = stored(runs.dropDuplicates(["text_key", "start"]))
     place = F.xxhash64("text_key", "start")
     routes = runs.groupBy("route").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.max("twice").alias("twice")).where("low <> high or twice").select("route")
-    wanted = runs.join(routes, "route").groupBy("text_key").agg(F.array_distinct(F.collect_list(F.struct("start", "windows", "route"))).alias("runs"))
+    wanted = runs.join(routes, "route").groupBy("text_key").agg(F.collect_list(F.struct("start", "windows", "route")).alias("runs"))
 
     keyed = keyed_texts(docs, length)
     context_schema = pa.schema([("text_key", pa.binary()), ("start", pa.int64()), ("route", pa.int64()), ("context", pa.binary()), ("bytes", pa.binary())])

@@ -274,6 +274,18 @@ def test_repeats_are_removed(docs, none, spark):
     assert suffix_dedup.remove_repeats(none).collect() == []
 
 
+def test_copies_have_their_runs_once(spark, monkeypatch):
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdef ") for _ in range(400))
+    rows = [(i, text) for i in range(50)] + [(50, "start " + text[100:300] + " end")]
+    tables = []
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df: tables.append(common.stored(df)) or tables[-1])
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=40).collect()
+    assert ordered(map(tuple, got)) == ordered(brute_repeats(rows, 40))
+    runs = next(t for t in tables if "windows" in t.columns)
+    assert runs.count() == runs.select("text_key", "start").distinct().count()
+
+
 def test_suffix_arrays():
     rng = random.Random(3)
     for _ in range(200):
