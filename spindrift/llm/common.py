@@ -6,6 +6,7 @@ import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -28,13 +29,29 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows for the actions inside; the session's setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set."""
+    """The folder that all executors share. Where none is set, a temporary one, in local mode only."""
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if configured is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="spark-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
-    return configured or sc.getCheckpointDir()
+        sc.setCheckpointDir(configured)
+    return configured
 
 
 class Shipped:
@@ -45,8 +62,12 @@ class Shipped:
     """
 
     def __init__(self, spark: SparkSession, value: object):
+        self.local = value
         self.box = spark.sparkContext.broadcast({"packed": cloudpickle.dumps(value)})
 
+    def __getstate__(self) -> dict:
+        return {"box": self.box}
+
     @property
     def value(self):
         held = self.box.value
