@@ -420,37 +420,73 @@ def good(v):
     return v is not None and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v)
 
 
-def test_nearest_neighbours(spark):
-    frame, rows = vectors(spark)
-    held = {(i, tuple(v)) for i, v, _ in rows if i is not None and good(v)}
-    want = []
+def brute_nearest(rows, k=20):
+    held = {(i, tuple(v)) for i, v in rows if i is not None and good(v)}
+    out = {}
     for q, qv in sorted(held):
         if q % 20 == 0:
-            scored = sorted((-float(np.dot(np.array(qv), np.array(v))), i) for i, v in held if i != q)
-            want += [(q, r, i, round(-s, 9)) for r, (s, i) in enumerate(scored[:20], 1)]
+            score: dict = {}
+            for i, v in held:
+                if i != q:
+                    score[i] = max(score.get(i, -np.inf), float(np.dot(np.array(qv), np.array(v))))
+            out[q] = sorted((-round(s, 9), i) for i, s in score.items())[:k]
+    return out
+
+
+def recall(frame, rows):
+    """Of the hashed search; every row that it returns must have its rank and score."""
     from pyspark.sql import functions as F
 
-    got = [(r[0], r[1], r[2], round(r[3], 9)) for r in lsh_ann.nearest(frame, F.col("vec_id") % 20 == 0).select("query_id", "rank", "vec_id", "score").collect()]
-    assert sorted(got) == sorted(want)
-    assert lsh_ann.nearest(frame.where("false"), F.col("vec_id") % 20 == 0).collect() == []
+    want, got = brute_nearest(rows), defaultdict(list)
+    for r in lsh_ann.nearest(frame, F.col("vec_id") % 20 == 0).select("query_id", "rank", "vec_id", "score").collect():
+        got[r["query_id"]].append((r["rank"], -round(r["score"], 9), r["vec_id"]))
+    assert set(got) == set(want)
+    exact = {(i, j): s for i, found in brute_nearest(rows, 10**6).items() for s, j in found}
+    for i, found in got.items():
+        found.sort()
+        assert [x[0] for x in found] == list(range(1, len(want[i]) + 1))
+        assert [x[1:] for x in found] == sorted(x[1:] for x in found)
+        assert all(exact[i, j] == pytest.approx(s) for _, s, j in found)
+    return sum(len({x[2] for x in got[i]} & {j for _, j in want[i]}) for i in want) / sum(map(len, want.values()))
 
 
-def test_nearest_neighbours_recall(spark):
+def test_nearest_neighbours(spark):
     from pyspark.sql import functions as F
 
-    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    got = defaultdict(set)
-    for r in lsh_ann.nearest(frame, F.col("vec_id") % 20 == 0).collect():
-        got[r["query_id"]].add(r["vec_id"])
-    e = frame.toPandas()
-    x, ids = np.array(e["embedding"].tolist(), np.float64), e["vec_id"].to_numpy()
-    hits = total = 0
-    for i in np.flatnonzero(ids % 20 == 0):
-        s = x @ x[i]
-        s[i] = -np.inf
-        hits += len(got[ids[i]] & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
-        total += 20
-    assert hits / total >= 0.9
+    frame, rows = vectors(spark)
+    assert recall(frame, [r[:2] for r in rows]) >= 0.9
+    assert lsh_ann.nearest(frame.where("false"), F.col("vec_id") % 20 == 0).collect() == []
+    assert lsh_ann.nearest(frame.where("vec_id = 20"), F.col("vec_id") % 20 == 0).collect() == []
+    other = frame.withColumnsRenamed({"label": "score"}).withColumns({"id": F.lit("x"), "v": F.lit(1), "rank": F.lit(2), "bucket": F.lit(0)})
+    assert lsh_ann.nearest(other, F.col("vec_id") % 20 == 0).count() == lsh_ann.nearest(frame, F.col("vec_id") % 20 == 0).count()
+
+
+@pytest.mark.parametrize("factor", [1.0, 10.0])
+def test_nearest_neighbours_of_any_lengths(spark, factor):
+    """Hashed buckets only: a few hundred vectors, one far longer than the rest, or all of mixed lengths."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 8)) * (np.exp(rng.normal(size=(600, 1))) if factor == 1.0 else 1.0)
+    x[17] *= factor
+    rows = [(i, [float(np.float32(v)) for v in row]) for i, row in enumerate(x)]
+    assert recall(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), rows) >= 0.9
+
+
+def test_probes_come_by_chance_of_success():
+    hashes = lsh_ann.Hashes(4, 6, 1, {0: 1.0}, 2.4, 1.0, 3)
+    q = np.random.default_rng(1).normal(size=(5, 4))
+    some, more = hashes.probes(q, 0, 0.5), hashes.probes(q, 0, 0.9)
+    for a, b in zip(some, more, strict=True):
+        assert len(a) < len(b) <= 3**6 and (b[: len(a)] == a).all() and len({tuple(c) for c in b}) == len(b)
+
+
+def test_nearest_neighbours_recall(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    held, lsh_ann_good = [(r[0], list(r[1])) for r in frame.collect()], good
+    globals()["good"] = lambda v: v is not None and any(v)
+    try:
+        assert recall(frame, held) >= 0.9
+    finally:
+        globals()["good"] = lsh_ann_good
 
 
 def test_mixing(docs, none):
