@@ -531,28 +531,61 @@ def test_permutations():
             assert sorted(mixing.permuted(x, np.full(n, n), np.full(n, key)).tolist()) == list(range(n))
 
 
-def test_vector_links(spark):
-    frame, rows = vectors(spark, 1)
+def brute_links(rows, least=0.93):
     once = list({(i, None if v is None else tuple(v), g): None for i, v, g in rows})
     ok = [i is not None and g is not None and good(v) for i, v, g in once]
     unit = [np.array(v) / np.linalg.norm(v) if o else None for (_, v, _), o in zip(once, ok, strict=True)]
-    links = [(a, b) for a in range(len(once)) for b in range(a) if ok[a] and ok[b] and once[a][2] == once[b][2] and float(unit[a] @ unit[b]) >= 0.93]
+    links = [(a, b) for a in range(len(once)) for b in range(a) if ok[a] and ok[b] and once[a][2] == once[b][2] and float(unit[a] @ unit[b]) >= least]
     part = components(len(once), links)
-    degree = Counter(x for p in links for x in p)
-    least = {}
+    degree, least_id = Counter(x for p in links for x in p), {}
     for (i, _, _), p in zip(once, part, strict=True):
         if i is not None:
-            least[p] = min(i, least.get(p, i))
-    want = [(i, degree[k], least.get(part[k]), i is not None and i == least[part[k]]) for k, (i, _, _) in enumerate(once)]
-    for block in (1000, 20):
-        held, vector_graph.BLOCK = vector_graph.BLOCK, block
-        try:
-            assert ordered(map(tuple, vector_graph.link_vectors(frame).collect())) == ordered(want)
-        finally:
-            vector_graph.BLOCK = held
+            least_id[p] = min(i, least_id.get(p, i))
+    return [(i, degree[k], least_id.get(part[k]), i is not None and i == least_id[part[k]]) for k, (i, _, _) in enumerate(once)]
+
+
+@pytest.mark.parametrize("block", [1000, 20])
+def test_vector_links(spark, monkeypatch, block):
+    frame, rows = vectors(spark, 1)
+    monkeypatch.setattr(vector_graph, "BLOCK", block)
+    monkeypatch.setattr(vector_graph, "CLUSTER", 25)
+    from pyspark.sql import functions as F
+
+    other = frame.withColumns({"node": F.lit("x"), "v": F.lit(1), "id": F.lit(2), "weight": F.lit(3), "shards": F.lit(4)})
+    assert ordered(map(tuple, vector_graph.link_vectors(other).collect())) == ordered(brute_links(rows))
     assert vector_graph.link_vectors(frame.where("false")).collect() == []
 
 
+def test_vector_links_of_repeated_ids(spark):
+    near = [1.0, 0.1] + [0.0] * 6
+    far = [0.0] * 6 + [1.0, 0.1]
+    rows = [(5, [1.0] + [0.0] * 7, 1), (6, near, 1), (5, [0.0] * 6 + [1.0, 0.0], 2), (7, far, 2), (8, far, 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert ordered(map(tuple, vector_graph.link_vectors(frame).collect())) == ordered([(5, 1, 5, True), (6, 1, 5, False), (5, 1, 5, True), (7, 1, 5, False), (8, 0, 8, True)])
+
+
+def test_low_recall_is_made_good_exactly(spark, monkeypatch):
+    frame, rows = vectors(spark, 2)
+    monkeypatch.setattr(vector_graph, "range_search", lambda graph, least: (np.zeros(0, np.int64),) * 2)
+    monkeypatch.setattr(vector_graph, "BLOCK", 30)
+    assert ordered(map(tuple, vector_graph.link_vectors(frame).collect())) == ordered(brute_links(rows))
+
+
+def test_graph_search_compares_only_what_it_visits():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 48))
+    x = np.r_[x, x[:200] + 0.1 * rng.normal(size=(200, 48)), x[:1] + 0.15 * rng.normal(size=(100, 48))]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = vector_graph.Graph(x).build()
+    assert ((graph.edges >= 0).sum(axis=1) >= 1).all()
+    i, at = np.nonzero(graph.edges >= 0)
+    graph.join(i, graph.edges[i, at])
+    graph.compared = 0
+    found = set(zip(*(a.tolist() for a in vector_graph.range_search(graph, 0.93)), strict=True))
+    want = set(zip(*(a.tolist() for a in np.nonzero(np.triu(x @ x.T >= 0.93, 1))), strict=True))
+    assert found <= want and len(found) >= 0.98 * len(want) and graph.compared < 0.5 * len(x) ** 2
+
+
 def test_language_identification(docs, none, spark):
     documents = spark.read.parquet(f"{SF}/documents.parquet")
     got = language_id.identify(documents).join(documents.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
