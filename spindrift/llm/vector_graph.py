@@ -26,7 +26,7 @@ BLOCK = 1000
 CANDIDATES, DEGREE, ALPHA = 32, 16, 1.2
 #: Beam of the greedy search when the graph is built and when it is asked; similarity below the
 #: threshold to which a range is expanded.
-BUILD_BEAM, BEAM, SLACK = 32, 8, 0.06
+BUILD_BEAM, BEAM, SLACK = 24, 8, 0.06
 #: Vectors audited against all others, and the recall under which a label is compared exactly.
 AUDITED, LEAST_RECALL = 512, 0.98
 
@@ -208,9 +208,8 @@ def link_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     """``(vec_id, n_links, component_id, kept)`` for every distinct row ``(id, label, vector)``.
 
     Vectors of one label link when their cosine, in double precision, is at least ``least``. Equal
-    vectors of a label are one node with a weight, so copies are never expanded into pairs. A label
-    of up to ``2 * BLOCK`` nodes is one shard; nodes of larger labels join the shards of their
-    nearest cluster centres. Each shard builds a pruned graph, the adjacency lists of all shards are
+    vectors of a label are one node with a weight, so copies are never expanded into pairs. Nodes join
+    the shards of their nearest cluster centres, or their label's. Each shard builds a pruned graph, the adjacency lists of all shards are
     united, and every node searches each of its shards. A pair is counted in the first shard that
     both are in, so no pair is listed or counted twice. An audit compares a bounded number of nodes
     with all others; labels whose recall is low, and labels without an audited node if the recall of
@@ -245,18 +244,15 @@ def link_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
 def assign(nodes: DataFrame, overlap: int) -> DataFrame:
     """``(node, v, weight, shards)``: each node with its shards, the nearest centres of its label and length.
 
-    Centres are nodes of large labels drawn by a hash of their name, about ``CENTRES`` at most. A label
-    that is small, or of which none was drawn, is a shard itself.
+    Centres are nodes drawn by a hash of their name, about ``CENTRES`` at most. A label of which none
+    was drawn is a shard itself.
     """
     spark = nodes.sparkSession
     size = F.size("v").alias("size")
-    counts = nodes.groupBy("label", size).agg(F.count("*").alias("n"))
-    total, large = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("n") > 2 * BLOCK, F.col("n"))), F.lit(0))).first()
-    modulus = max(CLUSTER, -(-int(large) // CENTRES))
+    modulus = max(CLUSTER, -(-nodes.count() // CENTRES))
     drawn = nodes.where(F.pmod(F.xxhash64(F.lit(2), "node"), F.lit(modulus)) == 0).select("label", size, "node", "v")
-    drawn = drawn.join(counts.where(F.col("n") > 2 * BLOCK), ["label", "size"], "left_semi")
     centres: dict = {}
-    for r in drawn.collect() if large else []:
+    for r in drawn.collect():
         centres.setdefault((r["label"], r["size"]), []).append((r["node"], r["v"]))
     shipped = {}
     for key, held in centres.items():
