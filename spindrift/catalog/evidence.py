@@ -324,8 +324,8 @@ def context_word_count(spark, sf_dir):
 @query()
 def answer_batch(spark, sf_dir):
     """Every question end to end: guard, retrieve, rerank, assess, answer or decline."""
-    r = reranked(fused(spark, sf_dir), papers(spark, sf_dir), questions(spark, sf_dir), 8)
-    return answer_questions(questions(spark, sf_dir), r)
+    r = reranked(fused(spark, sf_dir), papers(spark, sf_dir), questions(spark, sf_dir), 16)
+    return answer_questions(questions(spark, sf_dir), r, "enforce")
 
 
 @query()

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.adapters import PAPERS_SQL, VECTORS_SQL, papers, table, vectors
 from spindrift.catalog.base import query
-from spindrift.functions.text import content_id, words
+from spindrift.functions.text import content_id
+from spindrift.operators import store
 from spindrift.operators.chunking import fixed_windows
 from spindrift.operators.dense import cosine_topk
+from spindrift.operators.filters import Filters, author_contains, author_tokens, categories, condition, visible
+from spindrift.session import scratch
 
 CHUNKS_SQL = f"""{PAPERS_SQL}, chunks AS (
   SELECT paper_id, owner, doc_id, i * 1400 AS char_start, substr(text, CAST(i * 1400 + 1 AS BIGINT), 1600) AS text,
@@ -27,9 +32,13 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed_windows(sections(spark, sf_dir))
 
 
-def visible(owner, session: str | None):
-    """Shared rows, and a session's own."""
-    return owner.isNull() | (owner == session) if session else owner.isNull()
+def stored(df: DataFrame, change=None) -> DataFrame:
+    """A store of ``df``, and after a mutation of it: committed twice, which changes nothing further."""
+    root = f"{scratch(df.sparkSession)}/store-{uuid.uuid4().hex}"
+    held = store.commit(df, root)
+    for _ in range(2 if change else 0):
+        held = store.commit(change(held), root)
+    return store.latest(df.sparkSession, root)
 
 
 @query(f"WITH {PAPERS_SQL} SELECT 's1' AS session, paper_id FROM papers WHERE owner IS NULL OR owner = 's1' UNION ALL SELECT 'none', paper_id FROM papers WHERE owner IS NULL")
@@ -41,12 +50,12 @@ def filter_owner_visibility(spark, sf_dir):
 
 @query(f"WITH {PAPERS_SQL} SELECT paper_id FROM papers WHERE list_has_any(regexp_extract_all(lower(array_to_string(authors, ' ')), '[a-z0-9]+'), ['src3', 'src7'])")
 def filter_author_tokens(spark, sf_dir):
-    return papers(spark, sf_dir).where(F.arrays_overlap(words(F.array_join("authors", " ")), words(F.lit("SRC3 or src7")))).select("paper_id")
+    return papers(spark, sf_dir).where(author_tokens("authors", "SRC3 or src7")).select("paper_id")
 
 
 @query(f"WITH {PAPERS_SQL} SELECT paper_id FROM papers WHERE concat('[\"', array_to_string(authors, '\",\"'), '\"]') ILIKE '%rc1%'")
 def filter_author_ilike(spark, sf_dir):
-    return papers(spark, sf_dir).where(F.to_json("authors").ilike("%rc1%")).select("paper_id")
+    return papers(spark, sf_dir).where(author_contains("authors", "rc1")).select("paper_id")
 
 
 @query(f"WITH {PAPERS_SQL} SELECT paper_id FROM papers WHERE list_contains(category, 'fr')")
@@ -56,24 +65,23 @@ def filter_category(spark, sf_dir):
 
 @query(f"WITH {PAPERS_SQL} SELECT paper_id, published_date FROM papers WHERE published_date >= DATE '2024-03-01' AND published_date <= DATE '2024-04-30'")
 def filter_date_range(spark, sf_dir):
-    return papers(spark, sf_dir).where(F.col("published_date").between("2024-03-01", "2024-04-30")).select("paper_id", "published_date")
+    return papers(spark, sf_dir).where(condition(Filters(date_from="2024-03-01", date_to="2024-04-30")) | F.col("owner").isNotNull() & F.col("published_date").between("2024-03-01", "2024-04-30")).select("paper_id", "published_date")
 
 
 @query(f"WITH {PAPERS_SQL} SELECT paper_id FROM papers WHERE list_contains(category, 'en') AND list_contains(authors, 'src2') AND published_date >= DATE '2024-02-01' AND owner IS NULL")
 def filter_conjunction(spark, sf_dir):
-    p = papers(spark, sf_dir)
-    return p.where(F.array_contains("category", "en") & F.array_contains("authors", "src2") & (F.col("published_date") >= "2024-02-01") & visible(F.col("owner"), None)).select("paper_id")
+    return papers(spark, sf_dir).where(condition(Filters(category="en", author="src2", date_from="2024-02-01"))).select("paper_id")
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT chunk_id, char_start FROM chunks WHERE paper_id = '17' AND (owner IS NULL OR owner = 's2')")
 def filter_document_scope(spark, sf_dir):
-    p = papers(spark, sf_dir).where((F.col("paper_id") == "17") & visible(F.col("owner"), "s2"))
+    p = papers(spark, sf_dir).where(condition(Filters(document="17", session="s2")))
     return fixed_windows(p.select("paper_id", F.lit(0).alias("section_no"), F.lit(None).cast("string").alias("heading"), "text")).select("chunk_id", "char_start")
 
 
 @query(f"WITH {PAPERS_SQL}, c AS (SELECT DISTINCT unnest(category) AS category FROM papers WHERE owner IS NULL) SELECT category FROM c")
 def distinct_categories(spark, sf_dir):
-    return papers(spark, sf_dir).where("owner is null").select(F.explode("category").alias("category")).distinct()
+    return categories(papers(spark, sf_dir))
 
 
 @query(f"""WITH {PAPERS_SQL}, known AS (SELECT DISTINCT unnest(category) AS c FROM papers WHERE owner IS NULL)
@@ -130,9 +138,10 @@ def semi_in_ids(spark, sf_dir):
 @query(f"WITH {CHUNKS_SQL}, held AS (SELECT DISTINCT chunk_id FROM chunks WHERE doc_id % 3 = 0) SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM held)")
 def chunk_antijoin_new(spark, sf_dir):
     """Passages that the store does not have yet, once each."""
-    all_chunks = chunks(spark, sf_dir)
-    held = all_chunks.where(F.col("paper_id").cast("long") % 3 == 0).select("chunk_id")
-    return all_chunks.select("chunk_id").distinct().join(held, "chunk_id", "left_anti")
+    every = chunks(spark, sf_dir).select("chunk_id", "paper_id")
+    held = every.where(F.col("paper_id").cast("long") % 3 == 0).select("chunk_id").distinct().withColumn("batch", F.lit(1))
+    now = stored(held, lambda at: store.insert_if_absent(at, every.select("chunk_id", F.lit(2).alias("batch")), ["chunk_id"]))
+    return now.where("batch = 2").select("chunk_id")
 
 
 @query("""WITH held AS (SELECT doc_id, 'old' AS title FROM documents WHERE doc_id % 4 = 0),
@@ -143,7 +152,7 @@ def insert_if_absent(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     held = d.where("doc_id % 4 = 0").select("doc_id", F.lit("old").alias("title"))
     new = d.select("doc_id", F.substring_index("text", "\n", 1).alias("title"))
-    return held.unionByName(new.join(held.select("doc_id"), "doc_id", "left_anti"))
+    return stored(held, lambda now: store.insert_if_absent(now, new, ["doc_id"]))
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT c.chunk_id, c.paper_id, p.title, array_to_string(p.category, ',') AS category, p.published_date, v.vec_id IS NOT NULL AS has_vector FROM chunks c JOIN papers p ON c.paper_id = p.paper_id LEFT JOIN embeddings v ON v.vec_id = p.doc_id")
@@ -167,32 +176,34 @@ def page_replace(spark, sf_dir):
     """Passages of one page of some documents are replaced; all others stay."""
     old = chunks(spark, sf_dir).select("chunk_id", "paper_id", "char_start", F.lit("v1").alias("version"))
     new = old.where((F.col("char_start") == 1400) & (F.col("paper_id").cast("long") % 2 == 0)).withColumn("version", F.lit("v2"))
-    kept = old.join(new.select("paper_id", "char_start"), ["paper_id", "char_start"], "left_anti")
-    return kept.unionByName(new).select("chunk_id", "paper_id", "version")
+    return stored(old, lambda now: store.replace_groups(now, new, ["paper_id", "char_start"])).select("chunk_id", "paper_id", "version")
 
 
 @query(f"""WITH {CHUNKS_SQL}, gone AS (SELECT paper_id FROM papers WHERE list_contains(authors, 'src1') AND published_date < DATE '2024-06-01')
 SELECT paper_id, chunk_id FROM chunks WHERE paper_id NOT IN (SELECT paper_id FROM gone)""")
 def ttl_purge(spark, sf_dir):
     """Uploads past their time go, with all their passages."""
-    gone = papers(spark, sf_dir).where(F.array_contains("authors", "src1") & (F.col("published_date") < "2024-06-01")).select("paper_id")
-    return chunks(spark, sf_dir).join(gone, "paper_id", "left_anti").select("paper_id", "chunk_id")
+    expired = F.array_contains("authors", "src1") & (F.col("published_date") < "2024-06-01")
+    p = papers(spark, sf_dir)
+    return stored(chunks(spark, sf_dir).select("paper_id", "chunk_id"), lambda now: store.purge(p, expired, now, ["paper_id"])[1])
 
 
 @query("""SELECT d.doc_id, coalesce(CASE WHEN e.vec_id % 5 <> 0 THEN e.label END, -1) AS label, e.vec_id IS NULL OR e.vec_id % 5 = 0 AS filled
 FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""")
 def backfill_missing(spark, sf_dir):
     """Rows without a value get one; rows that have one are left alone."""
-    v = table(spark, sf_dir, "embeddings").where("vec_id % 5 <> 0").select(F.col("vec_id").alias("doc_id"), "label")
-    d = table(spark, sf_dir, "documents").select("doc_id").join(v, "doc_id", "left")
-    return d.select("doc_id", F.coalesce(F.col("label").cast("long"), F.lit(-1)).alias("label"), F.col("label").isNull().alias("filled"))
+    v = table(spark, sf_dir, "embeddings").where("vec_id % 5 <> 0").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("long").alias("label"))
+    d = table(spark, sf_dir, "documents").select("doc_id").join(v, "doc_id", "left").withColumn("filled", F.col("label").isNull())
+    return stored(d, lambda now: store.backfill(now, d.where("filled").select("doc_id", F.lit(-1).cast("long").alias("label")), ["doc_id"], "label"))
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT 'fixed_overlap' AS strategy, chunk_id FROM chunks UNION ALL SELECT 'short' AS strategy, chunk_id FROM chunks WHERE char_start = 0")
 def persist_variant(spark, sf_dir):
     """Passages by the strategy that made them; writing one strategy anew replaces only its rows."""
     c = chunks(spark, sf_dir)
-    return c.select(F.lit("fixed_overlap").alias("strategy"), "chunk_id").unionByName(c.where("char_start = 0").select(F.lit("short").alias("strategy"), "chunk_id"))
+    one, short = c.select(F.lit("fixed_overlap").alias("strategy"), "chunk_id"), c.where("char_start = 0").select(F.lit("short").alias("strategy"), "chunk_id")
+    stale = one.unionByName(one.limit(10).withColumn("strategy", F.lit("short")))
+    return stored(stale, lambda now: store.replace_groups(now, short, ["strategy"]))
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT (SELECT count(*) FROM papers) AS seen, (SELECT count(*) FROM papers WHERE doc_id % 4 <> 0) AS papers_new, (SELECT count(DISTINCT chunk_id) FROM chunks WHERE doc_id % 4 <> 0) AS chunks_new")
@@ -260,3 +271,26 @@ def knn_postfilter(spark, sf_dir):
 @query(f"WITH {PAPERS_SQL} SELECT paper_id, sha256(concat(paper_id, text)) AS content_id FROM papers")
 def chunk_content_id(spark, sf_dir):
     return papers(spark, sf_dir).select("paper_id", content_id("paper_id", F.col("text")).alias("content_id"))
+
+
+@query(f"""WITH {CHUNKS_SQL} SELECT c.chunk_id, p.title, p.published_date FROM (SELECT DISTINCT chunk_id, paper_id FROM chunks) c JOIN papers p ON c.paper_id = p.paper_id""")
+def index_upsert(spark, sf_dir):
+    """An index that held old titles for some passages, brought up to date; a second run changes nothing."""
+    rows = chunks(spark, sf_dir).select("chunk_id", "paper_id").distinct().join(papers(spark, sf_dir).select("paper_id", "title", "published_date"), "paper_id").select("chunk_id", "title", "published_date")
+    old = rows.where(F.pmod(F.hash("chunk_id"), F.lit(3)) == 0).withColumn("title", F.lit("old"))
+    return stored(old, lambda now: store.upsert(now, rows, ["chunk_id"]))
+
+
+@query("SELECT event_type, count(*) AS total, count(*) FILTER (WHERE value IS NULL OR value >= 300) AS failed FROM events GROUP BY event_type")
+def bulk_errors(spark, sf_dir):
+    """Results of bulk writes, an event's value read as its status, by the kind of event."""
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("event_type").agg(F.count("*").alias("total"), F.count_if(F.col("value").isNull() | (F.col("value") >= 300)).alias("failed"))
+
+
+@query("""SELECT value FROM (SELECT 0 AS k, '' AS s, '# Sources' AS value UNION ALL SELECT 1, '', '' UNION ALL SELECT 2, '', '| source | n |' UNION ALL SELECT 3, '', '|---|---|'
+UNION ALL SELECT 4, source, concat('| ', source, ' | ', CAST(count(*) AS VARCHAR), ' |') FROM documents WHERE source IS NOT NULL GROUP BY source)""")
+def report_table(spark, sf_dir):
+    """A summary written as a Markdown table and read back."""
+    n = table(spark, sf_dir, "documents").where("source is not null").groupBy("source").agg(F.count("*").alias("n"))
+    return store.markdown_report(n, "Sources", ["source", "n"], f"{scratch(spark)}/report-{uuid.uuid4().hex}")

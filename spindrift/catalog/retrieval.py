@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -13,9 +14,13 @@ from spindrift.catalog.base import query
 from spindrift.functions.embedding import hash_embed
 from spindrift.functions.text import ANCHORS, STOPWORDS, overlap, skip_rewrite, tokens
 from spindrift.operators import metrics
+from spindrift.operators.filters import Filters
 from spindrift.operators.fusion import degrade, fuse
-from spindrift.operators.lexical import all_terms, best_field, bm25_scores, top_k
-from spindrift.plans.hybrid import arms, judgements, reranked, retrieve
+from spindrift.operators.lexical import all_terms, best_field, postings
+from spindrift.operators.lexical import bm25_topk as bm25_topk_of
+from spindrift.operators.ranking import top_k
+from spindrift.plans.hybrid import arms, judgements, reranked, retrieve, retrieve_plans
+from spindrift.session import scratch
 
 STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 ANCHOR = "[" + ", ".join(f"'{w}'" for w in ANCHORS) + "]"
@@ -62,7 +67,14 @@ def query_vectors(spark, sf_dir) -> DataFrame:
 
 
 def lexical_ranks(spark, sf_dir, k: int = 50) -> DataFrame:
-    return top_k(bm25_scores(papers(spark, sf_dir), questions(spark, sf_dir), "doc_id", F.col("text")), k)
+    return bm25_topk_of(papers(spark, sf_dir), questions(spark, sf_dir), k, "doc_id", F.col("text"))
+
+
+def once(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read back: a table that a query reads several times."""
+    path = f"{scratch(df.sparkSession)}/once-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def fused(spark, sf_dir) -> DataFrame:
@@ -84,7 +96,7 @@ def bm25_multifield(spark, sf_dir):
 def bm25_contents(spark, sf_dir):
     """The parameters of a public benchmark run, over title and text as one field."""
     p = papers(spark, sf_dir)
-    return top_k(bm25_scores(p, questions(spark, sf_dir), "doc_id", F.concat("title", F.lit(". "), "text"), 0.9, 0.4), 10)
+    return bm25_topk_of(p, questions(spark, sf_dir), 10, "doc_id", F.concat("title", F.lit(". "), "text"), 0.9, 0.4)
 
 
 @query(f"""WITH {PAPERS_SQL}, q AS (SELECT item_id AS qid, array_to_string(list_slice(regexp_extract_all(lower(text), '[a-z0-9]+'), 1, 3), ' ') AS query FROM benchmark),
@@ -239,9 +251,9 @@ SELECT config, count(*) AS n_queries, round(avg(recall), 6) AS recall, round(avg
  SELECT 'bm25' AS config, * FROM ma UNION ALL SELECT 'dense', * FROM mb UNION ALL SELECT 'hybrid', * FROM mc UNION ALL SELECT 'hybrid_rerank', * FROM md) GROUP BY config""")
 def ablation_summary(spark, sf_dir):
     """Means over all judged questions; a question without results scores 0 and stays."""
-    j = judged(spark, sf_dir)
-    lists = arms_union_all(spark, sf_dir)
-    f = fuse(lists)
+    j = once(judged(spark, sf_dir))
+    lists = once(arms_union_all(spark, sf_dir))
+    f = once(fuse(lists))
     r = reranked(f.where("rank <= 50"), papers(spark, sf_dir), questions(spark, sf_dir)).select("qid", "id", F.col("new_rank").alias("rank"))
     configs = {"bm25": lists.where("list_no = 0").select("qid", "id", "rank"), "dense": lists.where("list_no = 1").select("qid", "id", "rank"), "hybrid": f.select("qid", "id", "rank"), "hybrid_rerank": r}
     out = None
@@ -294,13 +306,65 @@ def embed_align(spark, sf_dir):
 
 @query("SELECT item_id, text FROM benchmark")
 def scan_jsonl(spark, sf_dir):
-    """Rows written as JSON lines and read back by a declared schema."""
-    rows = table(spark, sf_dir, "benchmark").select(F.to_json(F.struct("item_id", "text")).alias("line"))
-    return rows.select(F.from_json("line", "item_id long, text string").alias("r")).select("r.*")
+    """Rows written as files of JSON lines and scanned by a declared schema."""
+    path = f"{scratch(spark)}/jsonl-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "benchmark").select("item_id", "text").write.json(path)
+    return spark.read.schema("item_id long, text string").json(path)
 
 
 @query("SELECT CAST(item_id AS VARCHAR) AS query_id, CAST(item_id AS VARCHAR) AS corpus_id, 1 AS score FROM benchmark")
 def scan_benchmark(spark, sf_dir):
-    """Tab-separated judgements by a declared schema."""
-    line = table(spark, sf_dir, "benchmark").select(F.concat_ws("\t", "item_id", "item_id", F.lit("1")).alias("line"))
-    return line.select(F.from_csv("line", "query_id string, corpus_id string, score long", {"sep": "\t"}).alias("r")).select("r.*")
+    """Judgements written as tab-separated files with a header line and scanned by a declared schema."""
+    path = f"{scratch(spark)}/tsv-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("item_id").alias("corpus_id"), F.lit(1).alias("score"))
+    rows.write.csv(path, sep="\t", header=True)
+    return spark.read.schema("query_id string, corpus_id string, score long").csv(path, sep="\t", header=True)
+
+
+# Plans with variants and filters.
+PLANS = """q AS (SELECT item_id * 64 + v AS qid, CASE v WHEN 0 THEN text ELSE concat('about ', text) END AS query, item_id, v FROM benchmark, (SELECT unnest([0, 1]) AS v)),
+qt AS (SELECT DISTINCT qid, term FROM (SELECT qid, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM q))"""
+
+
+def plans_sql(eligible: str = "") -> str:
+    among = (lambda x: f"WHERE {x} IN (SELECT doc_id FROM ok)") if eligible else lambda x: ""
+    return f"""WITH {PAPERS_SQL}, ok AS (SELECT doc_id FROM papers WHERE {eligible or 'true'}), {PLANS}, {bm25_sql('text')},
+bm_ok AS (SELECT * FROM bm {among('id')}), lex AS ({rank_sql('bm_ok', 50)}),
+den_s AS (SELECT q.qid, v.vec_id AS id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
+  FROM q JOIN embeddings a ON a.vec_id = q.item_id + q.v, embeddings v {among('v.vec_id')}), den AS ({rank_sql('den_s', 50)}),
+lists AS (SELECT qid // 64 AS qid, (qid % 64) * 2 AS list_no, rank, id FROM lex UNION ALL SELECT qid // 64, (qid % 64) * 2 + 1, rank, id FROM den),
+{FUSED} SELECT qid, id, score, rank FROM fused WHERE rank <= 50"""
+
+
+def plans_of(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Two variants of each question: its text, and the text about it with the next vector."""
+    v = F.array(F.col("query"), F.concat(F.lit("about "), "query"))
+    q = questions(spark, sf_dir).select("qid", F.posexplode(v).alias("variant_no", "query"))
+    e = vectors(spark, sf_dir).select(F.col("vec_id").alias("at"), F.col("embedding").alias("vector"))
+    return q, q.join(e, F.col("qid") + F.col("variant_no") == F.col("at")).select("qid", "variant_no", "vector")
+
+
+@query(plans_sql())
+def hybrid_variants(spark, sf_dir):
+    """All variants of a question in both arms, and all their lists fused."""
+    return retrieve_plans(papers(spark, sf_dir), vectors(spark, sf_dir), *plans_of(spark, sf_dir))
+
+
+@query(plans_sql("(owner IS NULL OR owner = 's1') AND list_contains(category, 'en') AND published_date >= DATE '2024-02-01'"))
+def hybrid_filtered(spark, sf_dir):
+    """Filters hold in both arms alike, before the ranking."""
+    return retrieve_plans(papers(spark, sf_dir), vectors(spark, sf_dir), *plans_of(spark, sf_dir), Filters(category="en", date_from="2024-02-01", session="s1"))
+
+
+@query(plans_sql("owner IS NULL AND published_date <= DATE '2024-10-31'"))
+def hybrid_sanitised(spark, sf_dir):
+    """A category that no shared paper has is dropped; the date still holds."""
+    return retrieve_plans(papers(spark, sf_dir), vectors(spark, sf_dir), *plans_of(spark, sf_dir), Filters(category="cs.ZZ", date_to="2024-10-31"))
+
+
+@query(f"WITH {LEX} SELECT * FROM lex")
+def bm25_indexed(spark, sf_dir):
+    """The same ranks from a stored table of postings, built once for any questions."""
+    path = f"{scratch(spark)}/index-{uuid.uuid4().hex}"
+    postings(papers(spark, sf_dir), None, "doc_id", F.col("text")).write.parquet(path)
+    return bm25_topk_of(None, questions(spark, sf_dir), 50, index=spark.read.parquet(path))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from spindrift.catalog.base import query
 from spindrift.functions.text import cache_key as key_of
 from spindrift.operators.metrics import floor_percentiles
 from spindrift.operators.temporal import admit, cache_hits
+from spindrift.session import scratch
 from spindrift.streaming.jobs import drain, ingest_new, tumbling_counts
 
 
@@ -104,18 +103,13 @@ def generation_summary(spark, sf_dir):
     return table(spark, sf_dir, "events").where("event_id % 5 <> 0").groupBy("event_type").agg(F.count("*").alias("scored"), F.round(F.coalesce(F.avg("value"), F.lit(0.0)), 4).alias("mean"))
 
 
-@query("""SELECT doc_id, length(text) > 0 AND n_chars <= 5000 AS accepted, CASE WHEN length(text) = 0 THEN 'empty' WHEN n_chars > 5000 THEN 'too large' END AS reason FROM documents""")
+@query("""SELECT doc_id, length(text) > 0 AND strlen(text) <= 5000 AS accepted, CASE WHEN length(text) = 0 THEN 'empty' WHEN strlen(text) > 5000 THEN 'too large' END AS reason FROM documents""")
 def upload_limits(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    reason = F.when(F.length("text") == 0, "empty").when(F.col("n_chars") > 5000, "too large")
+    reason = F.when(F.length("text") == 0, "empty").when(F.octet_length("text") > 5000, "too large")
     return d.select("doc_id", reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
-def scratch(spark) -> str:
-    """The folder that executors share, for a stream's output and state."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-
-
 @query("SELECT chunk_id FROM (SELECT sha256(concat(CAST(doc_id AS VARCHAR), text)) AS chunk_id FROM documents WHERE length(text) > 0) GROUP BY chunk_id")
 def stream_ingest(spark, sf_dir):
     """Documents from a file stream to a table of passages; ids that are there already are passed over."""

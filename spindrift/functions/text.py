@@ -31,7 +31,8 @@ GENERIC_NAMES = (
 
 # Answer texts, tags and patterns.
 ABSTAIN_TEXT = "I don't have enough information in the retrieved context to answer this."
-UNAVAILABLE_TEXT = "The system is temporarily unable to generate an answer due to a service issue. Please try again in a moment."
+TOO_LARGE_TEXT = "That question is outside what this system accepts — please ask something shorter."
+UNGROUNDED_TEXT = "I can't confirm this answer is well-supported by the retrieved papers, so I'm declining rather than risk giving you an unsupported claim."
 DECLINE_TAG = "[DECLINED_TO_GUESS]"
 CITATION = r"\[(\d+)[^\[\]]*\]"
 PREMISE = r"(?i)premise.{0,60}(conflict|contradict|incorrect|is wrong|reversed|opposite|false)"

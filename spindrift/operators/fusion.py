@@ -13,6 +13,9 @@ def fuse(ranked: DataFrame, k: int = K) -> DataFrame:
 
     A list adds 1 / (k + rank). Ties keep the order in which ids first turn up, list by list.
     """
+    # Lists are a union of tables that are each dealt out by question. Spark then takes the union as dealt
+    # out alike, though adaptive execution may have merged the partitions of each in another way.
+    ranked = ranked.repartition("qid")
     sums = ranked.groupBy("qid", "id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score"), F.min(F.struct("list_no", "rank")).alias("seen"))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "seen", "id")
     return sums.select("qid", "id", "score", F.row_number().over(w).cast("long").alias("rank"))

@@ -10,6 +10,17 @@ from spindrift.functions import text as fx
 #: Share of the question's tokens that the context must hold, and of the answer's for it to be grounded.
 SUFFICIENT, GROUNDED = 0.4545, 0.5
 MOST_CHARS = 2000
+#: Passages of the first context, how many more the second attempt has, and the most there may be.
+CONTEXT, WIDER, MOST_CONTEXT = 8, 4, 16
+#: Checks that only watch, or that act on what they find.
+MODES = ("monitor", "enforce")
+CANDIDATES = "array<struct<new_rank:bigint,id:bigint,text:string,paper:bigint>>"
+
+
+def guardrail_mode(asked: str | None, default: str = "monitor") -> str:
+    """What was asked for, in any case; what is not known gives the default."""
+    mode = (asked or "").strip().lower()
+    return mode if mode in MODES else default
 
 
 def extract(context: Column, query: Column) -> Column:
@@ -19,29 +30,82 @@ def extract(context: Column, query: Column) -> Column:
     return F.when(F.size(best) > 0, said).otherwise(fx.ABSTAIN_TEXT)
 
 
-def answer_questions(questions: DataFrame, ranked: DataFrame) -> DataFrame:
-    """``(qid, text, abstained, n_citations, sufficient, grounded, note, attempts)``.
+def joined(context: Column) -> Column:
+    return F.array_join(F.transform(context, lambda c: c["text"]), " ")
+
+
+def diverse(context: Column) -> Column:
+    """The passages span three papers or more, and the first three do not agree on one."""
+    papers = F.transform(context, lambda c: c["paper"])
+    top = F.slice(papers, 1, 3)
+    agree = (F.size(top) == 3) & (F.size(F.array_distinct(top)) == 1) & ~F.exists(top, lambda p: p.isNull())
+    return (F.size(F.array_distinct(F.filter(papers, lambda p: p.isNotNull()))) >= 3) & ~agree
+
+
+def ambiguity(query: Column, context: Column, judged: Column | None = None) -> Column:
+    """The first reason to ask back, or null: a judge's note, numbers in the other order, an unresolved
+    reference, a spread over papers. A signal that cannot be had adds nothing."""
+    note = F.lit(None).cast("string") if judged is None else judged
+    return F.coalesce(
+        note,
+        F.when(fx.transposed(query, joined(context)).isNotNull(), "transposition"),
+        F.when(fx.unresolved_reference(query), "reference"),
+        F.when(diverse(context), "diversity"),
+    )
+
+
+def sufficient(query: Column, context: Column, judged: Column | None = None) -> Column:
+    """No passages: no. Enough of the question's tokens: yes. Else a judge decides, and without one the answer is no."""
+    enough = fx.overlap(query, joined(context)) >= SUFFICIENT
+    return (F.size(context) > 0) & (enough | (F.lit(False) if judged is None else F.coalesce(judged, F.lit(True))))
 
-    ``ranked`` holds the passages of each question ``(qid, new_rank, id, text)``. Questions of no or
-    too many characters stop at once. The answer's citations are checked against the context; a
-    question that is not answered from its first four passages is tried once more with all of them.
+
+def answer_questions(questions: DataFrame, ranked: DataFrame, mode: str = "monitor") -> DataFrame:
+    """``(qid, text, abstained, n_citations, stripped, sufficient, grounded, note, attempts, outcome)``.
+
+    ``ranked`` holds the reranked passages of each question ``(qid, new_rank, id, text)``, 16 of them if
+    there are, and ``paper`` if it is known. Questions of no or too many characters, and those with an
+    ``intent`` of ``out_of_scope``, stop at once. The first context has eight passages. If it does not
+    suffice and checks are enforced, a second attempt has four more. Citations of passages that are
+    not in the context are stripped; an answer without grounds in it is declined if checks are enforced.
     """
-    lists = ranked.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("new_rank", "id", "text"))).alias("context"))
-    rows = questions.join(lists, "qid", "left").withColumn("context", F.coalesce("context", F.array().cast("array<struct<new_rank:bigint,id:bigint,text:string>>")))
-    fits = F.length("query").between(1, MOST_CHARS)
-    rows = rows.withColumn("first", extract(F.slice("context", 1, 4), F.col("query")))
-    retry = F.col("first") == fx.ABSTAIN_TEXT
-    rows = rows.withColumn("attempts", F.when(retry, 2).otherwise(1)).withColumn("text", F.when(fits, F.when(retry, extract(F.col("context"), F.col("query"))).otherwise(F.col("first"))).otherwise("The question is too long."))
-    joined = F.array_join(F.transform("context", lambda c: c["text"]), " ")
-    cited = F.filter(fx.cited("text"), lambda i: i.between(1, F.size("context")))
-    abstained = F.col("text").startswith(fx.ABSTAIN_TEXT) | ~fits
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode}")
+    enforce = F.lit(mode == "enforce")
+    paper = F.col("paper").cast("long") if "paper" in ranked.columns else F.col("id").cast("long")
+    items = ranked.where(F.col("new_rank") <= MOST_CONTEXT).select("qid", F.struct(F.col("new_rank").cast("long").alias("new_rank"), F.col("id").cast("long").alias("id"), "text", paper.alias("paper")).alias("x"))
+    lists = items.groupBy("qid").agg(F.sort_array(F.collect_list("x")).alias("every"))
+    rows = questions.join(lists, "qid", "left").withColumn("every", F.coalesce("every", F.array().cast(CANDIDATES)))
+    fits = F.coalesce(F.length("query").between(1, MOST_CHARS), F.lit(False))
+    scope = F.coalesce(F.col("intent") != "out_of_scope", F.lit(True)) if "intent" in questions.columns else F.lit(True)
+    first = F.slice("every", 1, CONTEXT)
+    again = enforce & fits & scope & ~sufficient(F.col("query"), first)
+    rows = rows.withColumn("fits", fits).withColumn("scope", scope).withColumn("again", again)
+    rows = rows.withColumn("context", F.when(F.col("again"), F.slice("every", 1, min(CONTEXT + WIDER, MOST_CONTEXT))).otherwise(first))
+    rows = rows.withColumn("enough", sufficient(F.col("query"), F.col("context"))).withColumn("said", extract(F.col("context"), F.col("query")))
+    rows = rows.withColumn("marks", fx.cited("said")).withColumn("valid", F.filter("marks", lambda i: i.between(1, F.size("context"))))
+    silent = F.col("said").startswith(fx.ABSTAIN_TEXT)
+    rows = rows.withColumn("grounded", silent | (fx.overlap("said", joined(F.col("context"))) >= GROUNDED))
+    outcome = (
+        F.when(~F.col("fits"), "too_large")
+        .when(~F.col("scope"), "out_of_scope")
+        .when(enforce & ~F.col("enough"), "insufficient")
+        .when(silent, "abstained")
+        .when(enforce & ~F.col("grounded"), "ungrounded")
+        .otherwise("answered")
+    )
+    rows = rows.withColumn("outcome", outcome)
+    texts = F.create_map(*[F.lit(x) for x in ("too_large", fx.TOO_LARGE_TEXT, "out_of_scope", fx.ABSTAIN_TEXT, "insufficient", fx.ABSTAIN_TEXT, "abstained", fx.ABSTAIN_TEXT, "ungrounded", fx.UNGROUNDED_TEXT)])
+    answered = F.col("outcome") == "answered"
     return rows.select(
         "qid",
-        "text",
-        abstained.alias("abstained"),
-        F.when(abstained, 0).otherwise(F.size(cited)).cast("long").alias("n_citations"),
-        (fx.overlap("query", joined) >= SUFFICIENT).alias("sufficient"),
-        (abstained | (fx.overlap("text", joined) >= GROUNDED)).alias("grounded"),
-        F.when(fx.unresolved_reference(F.col("query")), "reference").alias("note"),
-        "attempts",
+        F.when(answered, F.col("said")).otherwise(F.try_element_at(texts, F.col("outcome"))).alias("text"),
+        (~answered).alias("abstained"),
+        F.when(answered, F.size("valid")).otherwise(0).cast("long").alias("n_citations"),
+        F.when(answered, F.size("marks") - F.size("valid")).otherwise(0).cast("long").alias("stripped"),
+        F.col("enough").alias("sufficient"),
+        "grounded",
+        ambiguity(F.col("query"), F.col("context")).alias("note"),
+        F.when(F.col("again"), 2).otherwise(1).alias("attempts"),
+        "outcome",
     )

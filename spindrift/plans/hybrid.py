@@ -4,22 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions.text import overlap
 from spindrift.operators.dense import cosine_topk
+from spindrift.operators.filters import Filters, condition, sanitised
 from spindrift.operators.fusion import fuse, rerank
-from spindrift.operators.lexical import bm25_scores, top_k
+from spindrift.operators.lexical import bm25_topk
 
 RECALL = 50
+#: Variants that a question may have.
+VARIANTS = 64
 
 
-def arms(docs: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, recall: int = RECALL) -> DataFrame:
-    """``(qid, list_no, rank, id)``: the lexical list (0) and the dense list (1) of every question."""
-    lexical = top_k(bm25_scores(docs, queries, "doc_id", F.col("text")), recall).select("qid", F.lit(0).alias("list_no"), "rank", "id")
-    dense = cosine_topk(vectors, query_vectors, recall).select("qid", F.lit(1).alias("list_no"), "rank", "id")
+def arms(docs: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, recall: int = RECALL, eligible: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+    """``(qid, list_no, rank, id)``: the lexical list (0) and the dense list (1) of every question.
+
+    ``eligible`` ids restrict both lists alike. ``index`` is a stored table of postings.
+    """
+    lexical = bm25_topk(docs, queries, recall, "doc_id", F.col("text"), eligible=eligible, index=index).select("qid", F.lit(0).alias("list_no"), "rank", "id")
+    held = vectors if eligible is None else vectors.join(eligible.select(F.col(eligible.columns[0]).alias("vec_id")), "vec_id", "left_semi")
+    dense = cosine_topk(held, query_vectors, recall).select("qid", F.lit(1).alias("list_no"), "rank", "id")
     return lexical.unionByName(dense)
 
 
@@ -27,6 +35,22 @@ def retrieve(docs: DataFrame, vectors: DataFrame, queries: DataFrame, query_vect
     return fuse(arms(docs, vectors, queries, query_vectors)).where(F.col("rank") <= top)
 
 
+def retrieve_plans(papers: DataFrame, vectors: DataFrame, plans: DataFrame, plan_vectors: DataFrame, filters: Filters | None = None, top: int = RECALL, recall: int = RECALL) -> DataFrame:
+    """``(qid, id, score, rank)`` of questions with several variants, under one set of filters.
+
+    ``plans`` has ``(qid, variant_no, query)`` and ``plan_vectors`` ``(qid, variant_no, vector)``, up to
+    ``VARIANTS`` of each question. All variants are searched in one batch, each in both arms, and all
+    lists of a question are fused. A category that no shared paper has is dropped first; the other
+    filters hold for both arms before anything is ranked, and do not change term statistics.
+    """
+    name = (F.col("qid") * VARIANTS + F.col("variant_no")).alias("qid")
+    eligible = None if filters is None else papers.where(condition(sanitised(filters, papers))).select("doc_id")
+    lists = arms(papers, vectors, plans.select(name, "query"), plan_vectors.select(name, "vector"), recall, eligible)
+    variant = F.pmod("qid", F.lit(VARIANTS))
+    named = lists.select(F.floor(F.col("qid") / VARIANTS).cast("long").alias("qid"), (variant * 2 + F.col("list_no")).cast("int").alias("list_no"), "rank", "id")
+    return fuse(named).where(F.col("rank") <= top)
+
+
 def reranked(fused: DataFrame, docs: DataFrame, queries: DataFrame, top: int = 8) -> DataFrame:
     """Fused candidates by the share of the question's tokens in their text."""
     held = fused.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(queries, "qid")
@@ -37,7 +61,7 @@ def judgements(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """``(qid, id, grade)``: 2 where a document holds the question's passage; the document of the
     question's number has grade 1, the one a hundred on grade 0 (the highest grade counts).
 
-    The passages are a stated set, checked for size and searched for in each text.
+    The passages are a stated set, checked for size; one automaton finds all of them in a pass over each text.
     """
     rows = queries.select("qid", "query").collect()
     if sum(len(r["query"]) for r in rows) > 64_000_000:
@@ -46,8 +70,19 @@ def judgements(docs: DataFrame, queries: DataFrame) -> DataFrame:
     schema = pa.schema([("qid", pa.int64()), ("id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, named = ahocorasick.Automaton(), {}
+        for q, passage in shared.value:
+            named.setdefault(passage, []).append(q)
+        for passage, own in named.items():
+            if passage:
+                machine.add_word(passage, own)
+        machine.make_automaton()
+        every = named.get("", [])
         for batch in batches:
-            found = [(q, i) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for q, passage in shared.value if passage in (text or "")]
+            found = []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hits = {q for _, own in machine.iter(text or "") for q in own} if len(machine) else set()
+                found += [(q, i) for q in [*hits, *every]]
             yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in found], pa.int64()), pa.array([i for _, i in found], pa.int64())], schema=schema)
 
     strong = docs.select("doc_id", "text").mapInArrow(run, "qid long, id long").withColumn("grade", F.lit(2))

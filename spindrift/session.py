@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes up to which a side is broadcast; beyond, Spark shuffles both sides.
-BROADCAST_BYTES = 32 << 20
-
 
 def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
     """A session for tests and the local benchmark."""
@@ -27,3 +26,13 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
 def small_side(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
     """A hint to broadcast a side whose number of rows was counted, if it is small."""
     return F.broadcast(df) if rows <= most else df
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that executors share, for stored tables and streams; a temporary one in local mode only."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-")

@@ -215,3 +215,97 @@ def test_cache_entries_live_from_the_miss_on(spark):
 def test_embeddings_are_unit_or_zero():
     v = hash_embed(["a b c", ""])
     assert (v[0] ** 2).sum() == pytest.approx(1) and not v[1].any()
+
+
+def test_vector_search_passes_over_bad_vectors(spark):
+    from spindrift.operators.dense import cosine_topk
+
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [1.0]), (6, [0.0, 0.0]), (7, [1.0, None]), (8, [-1.0, 0.0]), (9, [0.6, 0.8])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0]), (2, None), (3, [float("inf"), 1.0])], "qid long, vector array<double>")
+    got = [tuple(r) for r in cosine_topk(docs, asked, 3).orderBy("qid", "rank").collect()]
+    assert got == [(0, 1, 1.0, 1), (0, 2, 1.0, 2), (0, 9, 0.6, 3), (1, 5, 1.0, 1)]
+    assert cosine_topk(docs, asked.where("qid = 2"), 3).count() == 0
+
+
+def test_bm25_in_tasks_equals_the_joined_form(spark, monkeypatch):
+    from spindrift.operators import lexical
+    from spindrift.operators.ranking import top_k
+
+    texts = ["Red fish, blue fish", "one fish", "", None, "the red house and the blue house", "house", "zzz"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "red FISH"), (2, "house"), (3, "nothing"), (4, "the blue fish")], "qid long, query string")
+    want = sorted(map(tuple, top_k(lexical.bm25_scores(docs.where("text is not null"), asked, "doc_id", F.col("text")), 4).collect()))
+    assert sorted(map(tuple, lexical.bm25_topk(docs.where("text is not null"), asked, 4, "doc_id", F.col("text")).collect())) == want
+    monkeypatch.setattr(lexical, "BLOCK_QUESTIONS", 1)
+    assert sorted(map(tuple, lexical.bm25_topk(docs.where("text is not null"), asked, 4, "doc_id", F.col("text")).collect())) == want
+    some = docs.where("doc_id % 2 = 0").select("doc_id")
+    assert {r["id"] % 2 for r in lexical.bm25_topk(docs, asked, 4, "doc_id", F.col("text"), eligible=some).collect()} == {0}
+
+
+def test_stores_keep_whole_versions(spark, tmp_path):
+    from spindrift.operators import store
+
+    root = str(tmp_path / "s")
+    make = lambda rows: spark.createDataFrame(rows, "k int, v string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert store.versions(spark, root) == []
+    with pytest.raises(FileNotFoundError):
+        store.latest(spark, root)
+    held = store.commit(make([(1, "a"), (2, None)]), root)
+    for _ in range(2):
+        held = store.commit(store.insert_if_absent(held, make([(1, "x"), (3, "c"), (3, "c")]), ["k"]), root)
+    assert rows(held) == [(1, "a"), (2, None), (3, "c")] and store.versions(spark, root) == [1, 2, 3]
+    (tmp_path / "s" / "version=4").mkdir()  # an unfinished run
+    assert rows(store.latest(spark, root)) == rows(held)
+    assert rows(store.backfill(held, make([(1, "no"), (2, "b")]), ["k"], "v")) == [(1, "a"), (2, "b"), (3, "c")]
+    assert rows(store.upsert(held, make([(1, "new"), (9, "z")]), ["k"])) == [(1, "new"), (2, None), (3, "c"), (9, "z")]
+    assert rows(store.replace_groups(make([(1, "a"), (1, "b"), (2, "c")]), make([(1, "z")]), ["k"])) == [(1, "z"), (2, "c")]
+    kept, children = store.purge(held, F.col("v") == "a", make([(1, "child"), (2, "child")]), ["k"])
+    assert rows(kept) == [(2, None), (3, "c")] and rows(children) == [(2, "child")]
+    assert tuple(store.counters(held, make([(1, "a"), (8, "b"), (8, "c")]), ["k"]).first()) == (3, 1)
+    with pytest.raises(RuntimeError):
+        store.raise_on_errors(spark.createDataFrame([(200,), (None,)], "status int"))
+
+
+def test_filters_hold_together(spark):
+    from spindrift.operators.filters import Filters, author_contains, condition, sanitised
+
+    rows = [("1", ["Ann Lee"], ["en"], "2024-02-01", None), ("2", ["Bo"], ["en"], "2024-03-01", "s1"), ("3", ["Ann"], ["fr"], "2024-03-02", "s2"), ("4", ["Annette"], ["en"], None, None)]
+    papers = spark.createDataFrame(rows, "paper_id string, authors array<string>, category array<string>, d string, owner string").withColumn("published_date", F.to_date("d"))
+    ids = lambda f, **k: sorted(r[0] for r in papers.where(condition(f, **k)).select("paper_id").collect())
+    assert ids(Filters()) == ["1", "4"] and ids(Filters(session="s1")) == ["1", "2", "4"]
+    assert ids(Filters(author="ann")) == ["1"] and ids(Filters(author="ann"), author=author_contains) == ["1", "4"]
+    assert ids(Filters(category="en", date_from="2024-02-15", session="s1")) == ["2"] and ids(Filters(document="3", session="s2")) == ["3"]
+    assert sanitised(Filters(category="fr", author="x"), papers) == Filters(author="x") and sanitised(Filters(category="en"), papers).category == "en"
+
+
+def test_answers_of_a_batch(spark):
+    from spindrift.functions import text as fx
+    from spindrift.plans.answers import answer_questions, guardrail_mode
+
+    filler = [(0, n, n, f"filler number text{n} only.") for n in range(1, 9)]
+    late = [*filler, (0, 9, 9, "Tungsten melts extremely late. More.")]
+    ranked = spark.createDataFrame([*late, *[(1, n, 5, "Graphite conducts heat well. And so on.") for n in range(1, 4)]], "qid long, new_rank long, id long, text string")
+    asked = spark.createDataFrame([(0, "tungsten melts extremely late", "factual"), (1, "graphite conducts heat", "factual"), (2, "x" * 2001, "factual"), (3, "", "factual"), (4, "any words", "out_of_scope"), (5, "nothing found here", "factual")], "qid long, query string, intent string")
+    for mode in ("monitor", "enforce"):
+        got = {r["qid"]: r for r in answer_questions(asked, ranked, mode).collect()}
+        assert [got[q]["outcome"] for q in (1, 2, 3, 4)] == ["answered", "too_large", "too_large", "out_of_scope"]
+        assert got[1]["text"] == "Graphite conducts heat well. [1]" and got[1]["n_citations"] == 1 and got[1]["note"] is None
+        assert got[2]["text"] == fx.TOO_LARGE_TEXT and got[4]["text"] == fx.ABSTAIN_TEXT
+        assert got[0]["attempts"] == (2 if mode == "enforce" else 1)
+        assert got[0]["outcome"] == ("answered" if mode == "enforce" else "abstained") and got[0]["note"] == "diversity"
+        assert got[5]["outcome"] == ("insufficient" if mode == "enforce" else "abstained")
+    assert [guardrail_mode(x) for x in (None, "ENFORCE", "what")] == ["monitor", "enforce", "monitor"]
+
+
+def test_ambiguity_has_an_order(spark):
+    from spindrift.plans.answers import CANDIDATES, ambiguity
+
+    spread = [(i, i, f"In 7 parts, {i} things, 30 states from 500 questions", i) for i in range(1, 5)]
+    cases = [("Are there 500 states from 30 questions? it", spread, "transposition"), ("what does it do", spread, "reference"), ("what is the GEM", spread, "diversity"), ("what is the GEM", spread[:2], None)]
+    frame = spark.createDataFrame([(i, q, c) for i, (q, c, _) in enumerate(cases)], f"i int, query string, context {CANDIDATES}")
+    got = [r["n"] for r in frame.select("i", ambiguity(F.col("query"), F.col("context")).alias("n")).orderBy("i").collect()]
+    assert got == [n for _, _, n in cases]
+    judged = frame.select(ambiguity(F.col("query"), F.col("context"), F.lit("judge")).alias("n")).first()["n"]
+    assert judged == "judge"
