@@ -20,9 +20,11 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     edges = cut(edges)
     before = _mark(edges)
-    for _ in range(max_rounds):
+    for round_ in range(max_rounds + 1):
         if not before[0]:
             break
+        if round_ == max_rounds:
+            raise RuntimeError(f"components are not finished after {max_rounds} rounds")
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -231,7 +231,7 @@ def link_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     if poor is not None:
         again = stored(nodes.join(poor, "label", "left_semi"))
         more, ends = search_shards(again.select("node", "v", "weight", F.array(F.xxhash64("label", F.size("v"))).alias("shards")), least, exact=True)
-        links = links.join(again.select("node"), "node", "left_anti").unionByName(more)
+        links = stored(links.join(again.select("node"), "node", "left_anti").unionByName(more))
         edges = edges.unionByName(ends)
     named = nodes.select("node", "weight", "least_id").join(links, "node", "left").join(connected_components(edges, "a", "b"), "node", "left")
     named = stored(named.select("node", "least_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component")))
