@@ -169,8 +169,8 @@ class Decoder:
         return self.state.decode(b"".join(map(self.text.__getitem__, ids)), final)
 
 
-def round_trip(text: str, encoder: Encoder, keep: bool, block: int = 8192) -> tuple[int, str, str, np.ndarray, str]:
-    """Number of ids, both hashes, and if ``keep`` the ids and the decoded text, in blocks of pieces."""
+def round_trip(text: str, encoder: Encoder, keep_ids: bool, keep_text: bool, block: int = 8192) -> tuple[int, str, str, np.ndarray, str]:
+    """Number of ids, both hashes, and the ids and the decoded text if they are to be kept, in blocks of pieces."""
     n, said, back = 0, hashlib.sha256(), hashlib.sha256()
     ids, plain = [np.zeros(0, np.int32)], []
     decoder, pieces = Decoder(encoder.merges), encoder.encode(text)
@@ -180,16 +180,17 @@ def round_trip(text: str, encoder: Encoder, keep: bool, block: int = 8192) -> tu
         n += len(own)
         chunk = decoder.feed(own)
         back.update(chunk.encode())
-        if keep:
+        if keep_ids:
             ids.append(np.array(own, np.int32))
+        if keep_text:
             plain.append(chunk)
     rest = decoder.feed((), True)
     back.update(rest.encode())
     return n, said.hexdigest(), back.hexdigest(), np.concatenate(ids), "".join([*plain, rest])
 
 
-def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of each row, and ``ids``, ``decoded`` if asked for.
+def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of each row, and ``ids`` or ``decoded`` if asked for.
 
     ``vocabulary`` is the path of a ``tokenizers`` file on the driver; its tables are shipped once to
     each executor (about 50,000 entries, whatever the data). Ids equal those of that library without
@@ -205,9 +206,13 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if keep_ids:
-        fields += [("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
-        ddl += ", ids array<int>, decoded string"
+        fields.append(("ids", pa.list_(pa.int32())))
+        ddl += ", ids array<int>"
+    if keep_text:
+        fields.append(("decoded", pa.string()))
+        ddl += ", decoded string"
     schema = pa.schema(fields)
+    parts = [0, 1, 2, *([3] if keep_ids else []), *([4] if keep_text else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = shipped.value
@@ -215,8 +220,8 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
         encoder = merges.__dict__.setdefault("encoder", None) or Encoder(merges)
         merges.encoder = encoder
         for batch in batches:
-            done = [round_trip(t or "", encoder, keep_ids) for t in batch.column(1).to_pylist()]
-            yield record_batch(schema, (batch.column(0), *([x[i] for x in done] for i in range(5 if keep_ids else 3))))
+            done = [round_trip(t or "", encoder, keep_ids, keep_text) for t in batch.column(1).to_pylist()]
+            yield record_batch(schema, (batch.column(0), *([x[i] for x in done] for i in parts)))
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
 

@@ -378,7 +378,7 @@ def test_bpe_equals_the_library(docs, none, spark, tokenizer):
     for i, t in rows:
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids
         want.append((i, len(ids), sha(",".join(map(str, ids))), sha(tokenizer.decode(ids, skip_special_tokens=False)), ids))
-    got = bpe.bpe_round_trip(frame, bpe.vocabulary_path(), keep_ids=True)
+    got = bpe.bpe_round_trip(frame, bpe.vocabulary_path(), keep_ids=True, keep_text=True)
     assert ordered(tuple(r)[:5] for r in got.collect()) == ordered(want)
     assert all(r["decoded"] == (dict(rows)[r["doc_id"]] or "") for r in got.collect() if r["doc_id"] is not None)
     assert bpe.bpe_round_trip(none, bpe.vocabulary_path()).collect() == []

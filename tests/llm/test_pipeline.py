@@ -42,6 +42,23 @@ def test_stages(spark, tmp_path):
     assert ordered((r["doc_id"], r["decoded_sha256"]) for r in encoded.collect()) == ordered((i, sha(t)) for i, t in texts_of(mixed))
 
 
+def test_stages_with_nulls_and_repeated_ids(spark):
+    rows = [(i, t, None if i % 3 else "en", None if i % 4 else "a", None, None, None, None, None) for i, t in enumerate(some_texts())]
+    rows += [rows[3], rows[3], (3, "another text under the same id", "fr", "b", None, None, None, None, None), (None, "no id here", None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    stages = dict(corpus_pipeline.STAGES)
+    known = stages["language_id"](spark, docs, SF)
+    assert known.where("lang is null").isEmpty() and known.where("doc_id is null").count() == 1 and known.where("doc_id = 3").count() == 4
+    lines = stages["line_dedup"](spark, known, SF)
+    assert lines.count() == known.count()
+    once = [stages["simhash_near_dedup"](spark, lines.repartition(n), SF) for n in (2, 5)]
+    assert ordered(map(tuple, once[0].collect())) == ordered(map(tuple, once[1].collect()))
+    ids = [r["doc_id"] for r in once[0].collect()]
+    assert ids.count(3) == 1 and ids.count(None) == 1
+    mixed = stages["mixing"](spark, once[0], SF)
+    assert mixed.columns == docs.columns and stages["bpe"](spark, mixed, SF).count() == mixed.count() > 0
+
+
 def test_run_on_a_table(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 500 and {"doc_id", "ids", "n_tokens"} <= set(out.columns)
