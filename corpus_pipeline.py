@@ -12,34 +12,47 @@ from spindrift.llm.common import read_table, shared_dir
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text, or without a letter in it, are rejected; ``lang`` stays as it was."""
+    """Every document gets the language that its text has; those in which none is found are rejected.
+
+    None is found in a null or empty text, or one without a letter. Null ids are predicted, repeated
+    rows each stay, and an empty table, or one with nothing to learn from, gives an empty result.
+    """
     out = language_id.identify(docs, keep=docs.columns)
     predicted = out.columns[-2]
-    return out.where(F.col(predicted) != "und").select(*docs.columns)
+    named = out.where(F.col(predicted) != "und").withColumn("lang", F.col(predicted))
+    return named.select(*docs.columns)
 
 
 def drop_duplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in three documents or more stay in one of them."""
+    """Lines found in three documents or more stay in one of them; nulls, ids and repeats as in ``dedup_lines``."""
     out = line_dedup.dedup_lines(docs)
     return out.select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near-duplicates stays, and of its rows one; null ids stay."""
+    """The smallest id of each group of near-duplicates stays, and of its rows one; null ids stay.
+
+    Null and empty texts are copies of one another. Of several rows with one id the one with the least
+    hash stays, so reruns agree. An empty table gives an empty result.
+    """
     groups = simhash.near_duplicates(docs)
     kept = groups.where("doc = component").select(F.col("doc").alias("doc_id"))
-    some = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return some.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    held = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    some = held.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("kept_row"))
+    return some.select("kept_row.*").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources come to their target weights: a document is taken in part, once, or more than once."""
+    """Sources come to their target weights: a document is taken in part, once, or more than once.
+
+    Nulls, empty texts and repeats as in ``mix_texts``.
+    """
     return mixing.mix_texts(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text that the mix holds, with the decoded text's hash as a check."""
-    return bpe.bpe_round_trip(docs, bpe.vocabulary_path(), keep_ids=True).drop("decoded")
+    """Token ids of every text that the mix holds, with the decoded text's hash as a check; a row for each."""
+    return bpe.bpe_round_trip(docs, bpe.vocabulary_path(), keep_ids=True)
 
 
 STAGES = [
