@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, record_batch, small_batches, stored, words_of
+from .common import as_bytes, batch_rows, record_batch, small_batches, stored, words_of
 from .components import connected_components
 
 SEED = 42
@@ -51,33 +51,38 @@ def second_hashes(hashes: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, distinct: bool = False) -> DataFrame:
-    """``(doc, fp, shingles, words, fp2)``: id, fingerprint as a signed long, and the number of shingles.
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, distinct: bool = False, short: int = 0) -> DataFrame:
+    """``(doc, fp, shingles, words, fp2, marks)``: id, fingerprint as a signed long, and the number of shingles.
 
-    If ``distinct``, a shingle counts once, ``words`` is a 128-bit hash of the word sequence, and
-    ``fp2`` a second fingerprint (else they are empty and zero).
+    If ``distinct``, a shingle counts once, ``words`` is a 128-bit hash of the word sequence,
+    ``fp2`` a second fingerprint, and ``marks``, of at most ``short`` shingles, the exclusive-or of
+    all hashes and of all without each (else they are empty and zero).
     """
-    schema = pa.schema([("doc", pa.int64()), ("fp", pa.int64()), ("shingles", pa.int64()), ("words", pa.binary()), ("fp2", pa.int64())])
+    schema = pa.schema([("doc", pa.int64()), ("fp", pa.int64()), ("shingles", pa.int64()), ("words", pa.binary()), ("fp2", pa.int64()), ("marks", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, more, sizes, keys = [], [], [], []
+            fps, more, sizes, keys, marks = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 data = as_bytes(text)
                 hashes = shingle_hashes(data, width)
-                key, other = b"", 0
+                key, other, mark = b"", 0, []
                 if distinct:
                     key = xxhash.xxh3_128_digest(hashes.tobytes())
                     hashes = np.unique(hashes)
                     other = fingerprint(second_hashes(hashes))
+                    if 0 < len(hashes) <= short:
+                        whole = np.bitwise_xor.reduce(hashes)
+                        mark = np.r_[whole, whole ^ hashes].view(np.int64).tolist()
                 more.append(other)
+                marks.append(mark)
                 fps.append(fingerprint(hashes))
                 sizes.append(len(hashes))
                 keys.append(key)
-            yield record_batch(schema, (batch.column(0), np.array(fps, np.uint64).view(np.int64), sizes, keys, np.array(more, np.uint64).view(np.int64)))
+            yield record_batch(schema, (batch.column(0), np.array(fps, np.uint64).view(np.int64), sizes, keys, np.array(more, np.uint64).view(np.int64), marks))
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc long, fp long, shingles long, words binary, fp2 long")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc long, fp long, shingles long, words binary, fp2 long, marks array<long>")
 
 
 def spanning_links(near: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -139,28 +144,40 @@ def compare_tiles(left: np.ndarray, right: np.ndarray | None, radius: int, whole
     return [(int(names[i]), int(names[j]), int(square[i, j])) for i, j in spanning_links(square, whole)]
 
 
-def open_links(left: np.ndarray, right: np.ndarray | None, labels: np.ndarray, failed: np.ndarray, radius: int, whole: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of two tiles that may still join two labels, as ``i, j, distance``: of any two labels the ``most`` closest.
+def decide_open(names: np.ndarray, codes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, radius: int, whole: int, similarity: float) -> list[tuple[int, int]]:
+    """Verified links of one tile pair: of its pairs within the radius, enough of those alike to join what all join.
 
-    Positions count as in ``compare_tiles``, in ``labels`` and ``failed`` too. Failed pairs, packed as
-    ``i << 32 | j``, are not proposed again.
+    Rows have a name, both fingerprints, a label (rows of one label are joined already), a set of
+    shingle hashes and the side, 0 or 1; rows of one tile have side 0 alone. Each row is compared
+    with its partners of other labels at once: their shingles are looked up in a mask of its own.
     """
-    near, n = tile_distances(left, right, radius, whole), len(left[0])
-    shift = 0 if right is None else n
-    i, j = failed >> 32, (failed & 0xFFFFFFFF) - shift
-    near[i, j] = 255
-    if right is None:
-        near[j, i] = 255
-        near[np.tril_indices(n)] = 255
-    near[labels[:n, None] == labels[None, shift:]] = 255
-    i, j = np.nonzero(near <= whole)
-    distance, j = near[i, j], j + shift
-    pair = np.stack([np.minimum(labels[i], labels[j]), np.maximum(labels[i], labels[j])], axis=1)
-    order = np.lexsort((j, i, distance, pair[:, 1], pair[:, 0]))
-    fresh = np.r_[True, (pair[order][1:] != pair[order][:-1]).any(axis=1)] if len(order) else np.zeros(0, bool)
-    at = np.arange(len(order))
-    order = order[at - np.maximum.accumulate(np.where(fresh, at, 0)) < most]
-    return i[order], j[order], distance[order]
+    labels, sizes = labels.copy(), np.array([len(x) for x in sets], np.int64)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, np.int64)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    mine, links = np.zeros(len(flat), bool), []
+    left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
+    same = not len(right)
+    right = left if same else right
+    near = tile_distances(codes[:, left], None if same else codes[:, right], radius, whole) <= whole
+    for row, i in enumerate(left.tolist()):
+        j = right[near[row]]
+        j = j[(labels[j] != labels[i]) & (np.minimum(sizes[j], sizes[i]) >= similarity * np.maximum(sizes[j], sizes[i]))]
+        if not len(j):
+            continue
+        own = flat[starts[i] : ends[i]]
+        mine[own] = True
+        stops = np.cumsum(sizes[j])
+        at = np.repeat(starts[j] - stops + sizes[j], sizes[j]) + np.arange(stops[-1])
+        hits = np.r_[0, np.cumsum(mine[flat[at]])]
+        both = hits[stops] - hits[stops - sizes[j]]
+        mine[own] = False
+        alike = j[both >= similarity * (sizes[i] + sizes[j] - both)]
+        joined, first = np.unique(labels[alike], return_index=True)
+        if len(joined):
+            links += [(int(names[i]), int(names[k])) for k in alike[first]]
+            labels[np.isin(labels, joined)] = labels[i]
+    return links
 
 
 def neighbour_offsets(radius: int, parts: int, step: int, bands: int) -> list[int]:
@@ -185,16 +202,20 @@ PAIR = ["cell", "sub", "cell2", "sub2"]
 
 
 def tiles_of(nodes: DataFrame, parts: int, step: int, tile: int, whole: int | None) -> DataFrame:
-    """``(cell, sub, items)``: the nodes of each tile."""
+    """``(cell, sub, items)``: the nodes of each tile, about ``tile`` of them, and at most about 512 shingles for each.
+
+    Long texts have smaller tiles, so that the sets of two tiles fit a task (``nodes`` has ``shingles`` then).
+    """
+    weight = F.col("shingles") if "shingles" in nodes.columns else F.lit(0).cast("long")
     width = 64 // parts
     cell = F.col("band").cast("long") * (128**parts)
     for i in range(parts):
         piece = F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
         cell = cell + F.floor(F.bit_count(piece) / step).cast("long") * (128**i)
     other = F.col("fp2") if whole else F.lit(0).cast("long")
-    nodes = stored(nodes.select("node", "fp", other.alias("fp2"), cell.alias("cell")))
+    nodes = stored(nodes.select("node", "fp", other.alias("fp2"), cell.alias("cell"), weight.alias("weight")))
     # At most (64 / parts / step + 1) ** parts cells a band: 83,521 for four pieces, so a broadcast stays under 3 MB.
-    sizes = nodes.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("n"))
+    sizes = nodes.groupBy("cell").agg(F.ceil(F.greatest(F.count("*") / tile, F.sum("weight") / (512 * tile))).cast("int").alias("n"))
     tiles = nodes.join(F.broadcast(sizes), "cell").withColumn("sub", F.pmod(F.xxhash64("fp", "node"), F.col("n")).cast("int"))
     return stored(tiles.groupBy("cell", "sub").agg(F.collect_list(F.struct("node", "fp", "fp2")).alias("items")))
 
@@ -209,37 +230,68 @@ def pairs_of(tiles: DataFrame, radius: int, parts: int, step: int, bands: int) -
     return pairs.select("left", "right", F.expr("offset = 0 and sub = sub2").alias("same"), F.col("from").alias("cell"), "sub", F.col("cell").alias("cell2"), "sub2")
 
 
-def links_in(pairs: DataFrame, radius: int, whole: int, most: int = 0) -> DataFrame:
-    """``(a, b, distance, code)`` and the tile pair's name: spanning links, or ``open_links`` if ``most``.
+def sides_of(batch: pa.RecordBatch) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]]]:
+    """Each row's number and its tiles, one or two: nodes, both fingerprints and, where items have them, labels."""
+    same, sides = batch.column(2).to_pylist(), []
+    for column in (batch.column(0), batch.column(1)):
+        flat = column.values
+        codes = np.stack([flat.field(f).to_numpy(zero_copy_only=False).view(np.uint64) for f in ("fp", "fp2")])
+        labels = flat.field("label").to_numpy(zero_copy_only=False) if flat.type.get_field_index("label") >= 0 else None
+        sides.append((column.offsets.to_numpy(), flat.field("node").to_numpy(zero_copy_only=False), codes, labels))
+    for r in range(batch.num_rows):
+        cut = [(nodes[at[r] : at[r + 1]], codes[:, at[r] : at[r + 1]], None if labels is None else labels[at[r] : at[r + 1]]) for at, nodes, codes, labels in sides]
+        yield r, cut[:1] if same[r] else cut
+
+
+#: Rows of an Arrow batch of tile pairs.
+PAIR_ROWS = 64
 
-    ``code`` holds the positions of both ends. For open links, items have a ``label``, and pairs ``failed``.
-    """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.int32()), ("code", pa.int64()), ("cell", pa.int64()), ("sub", pa.int32()), ("cell2", pa.int64()), ("sub2", pa.int32())])
+
+def links_in(pairs: DataFrame, radius: int, whole: int) -> DataFrame:
+    """``(a, b, distance)`` and the tile pair's name: spanning links."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.int32()), ("cell", pa.int64()), ("sub", pa.int32()), ("cell2", pa.int64()), ("sub2", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same, sides = batch.column(2).to_pylist(), []
-            for column in (batch.column(0), batch.column(1)):
-                flat = column.values
-                codes = np.stack([flat.field(f).to_numpy(zero_copy_only=False).view(np.uint64) for f in ("fp", "fp2")])
-                labels = flat.field("label").to_numpy(zero_copy_only=False) if most else None
-                sides.append((column.offsets.to_numpy(), flat.field("node").to_numpy(zero_copy_only=False), codes, labels))
-            for r in range(batch.num_rows):
-                (ids, fps, label), (ids2, fps2, label2) = [(nodes[at[r] : at[r + 1]], codes[:, at[r] : at[r + 1]], labels[at[r] : at[r + 1]] if most else None) for at, nodes, codes, labels in sides]
-                names, other = (ids, None) if same[r] else (np.concatenate([ids, ids2]), fps2)
-                if most:
-                    failed = batch.column(7).slice(r, 1).flatten().to_numpy(zero_copy_only=False)
-                    i, j, d = open_links(fps, other, label if same[r] else np.concatenate([label, label2]), failed, radius, whole, most)
-                else:
-                    i, j, d = np.array(compare_tiles(fps, other, radius, whole), np.int64).reshape(-1, 3).T
+            for r, tiles in sides_of(batch):
+                i, j, d = np.array(compare_tiles(tiles[0][1], tiles[1][1] if len(tiles) > 1 else None, radius, whole), np.int64).reshape(-1, 3).T
                 if len(i):
-                    low, high = np.minimum(i, j), np.maximum(i, j)
-                    yield record_batch(schema, (names[low], names[high], d.astype(np.int32), low << 32 | high, *(pa.repeat(batch.column(c)[r], len(i)) for c in range(3, 7))))
+                    names = np.concatenate([t[0] for t in tiles])
+                    yield record_batch(schema, (names[i], names[j], d.astype(np.int32), *(pa.repeat(batch.column(c)[r], len(i)) for c in range(3, 7))))
+
+    return pairs.select("left", "right", "same", *PAIR).mapInArrow(run, "a long, b long, distance int, cell long, sub int, cell2 long, sub2 int")
+
+
+def open_nodes(pairs: DataFrame, radius: int, whole: int) -> DataFrame:
+    """``(node, fp, fp2, label, side)`` and the tile pair's name: nodes with a partner within the radius of another label."""
+    schema = pa.schema([("node", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("label", pa.int64()), ("side", pa.int32()), ("cell", pa.int64()), ("sub", pa.int32()), ("cell2", pa.int64()), ("sub2", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, tiles in sides_of(batch):
+                other = tiles[-1]
+                near = tile_distances(tiles[0][1], other[1] if len(tiles) > 1 else None, radius, whole) <= whole
+                near &= tiles[0][2][:, None] != other[2][None, :]
+                for side, (names, codes, labels) in enumerate(tiles):
+                    at = np.flatnonzero(near.any(axis=1 - side))
+                    if len(at):
+                        yield record_batch(schema, (names[at], *codes[:, at].view(np.int64), labels[at], np.full(len(at), side, np.int32), *(pa.repeat(batch.column(c)[r], len(at)) for c in range(3, 7))))
+
+    return pairs.select("left", "right", "same", *PAIR).mapInArrow(run, "node long, fp long, fp2 long, label long, side int, cell long, sub int, cell2 long, sub2 int")
+
+
+def open_links(nodes: DataFrame, sets: DataFrame, radius: int, whole: int, similarity: float) -> DataFrame:
+    """``(a, b)``: verified links between the open nodes of each tile pair, which meet in one task with their sets."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        node, fp, fp2, label, side = (table.column(c).to_numpy() for c in ("node", "fp", "fp2", "label", "side"))
+        held = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        links = decide_open(node, np.stack([fp, fp2]).view(np.uint64), label, held, side, radius, whole, similarity)
+        return pa.Table.from_batches([record_batch(schema, list(zip(*links, strict=True)) or ([], []))])
 
-    spark = pairs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # a row holds two tiles
-    columns = ["left", "right", "same", *PAIR, *(["failed"] if most else [])]
-    return pairs.select(*columns).mapInArrow(run, "a long, b long, distance int, code long, cell long, sub int, cell2 long, sub2 int")
+    held = sets.select(F.col("doc").alias("node"), F.col("shingles").alias("set"))
+    return nodes.join(held, "node").groupBy(*PAIR).applyInArrow(run, "a long, b long")
 
 
 def tile_links(nodes: DataFrame, radius: int, parts: int = 4, step: int = 1, bands: int = 0, tile: int = 1024, whole: int | None = None) -> DataFrame:
@@ -251,49 +303,40 @@ def tile_links(nodes: DataFrame, radius: int, parts: int = 4, step: int = 1, ban
     any size meets in one task and nothing is dropped. Each tile pair gives spanning links only.
     """
     pairs = pairs_of(tiles_of(nodes, parts, step, tile, whole), radius, parts, step, bands)
-    try:
+    with batch_rows(nodes.sparkSession, PAIR_ROWS):
         return stored(links_in(pairs, radius, whole or radius).select("a", "b", "distance"))
-    finally:
-        small_batches(nodes.sparkSession)
 
 
-def verified_links(nodes: DataFrame, sets_for: Callable[[DataFrame], DataFrame], similarity: float, radius: int, whole: int, step: int, tile: int) -> DataFrame:
+def verified_links(nodes: DataFrame, more: DataFrame, sets_for: Callable[[DataFrame], DataFrame], similarity: float, radius: int, whole: int, step: int, tile: int) -> DataFrame:
     """``(a, b)``: verified links whose components are those of all proposed pairs that are alike enough.
 
-    A tile pair proposes spanning links first. Where one of them fails, the pairs of that tile pair
-    that are neither joined by verified links nor compared yet are proposed in further rounds, the
-    closest of any two components first and eight times as many each round, until no proposal fails.
-    So no pair is passed over because of a link that failed, and a group of n copies still
-    gives n - 1 links.
+    Proposed are all pairs within the radius, and those of ``more``. A tile pair proposes spanning
+    links first. Where one of them fails, that tile pair is decided whole: its nodes with a partner
+    that verified links do not join to them meet in a task with their shingle sets, and every such
+    pair is compared there until it is joined. So no pair is passed over because of a link that
+    failed, no pair is a row before it is verified, and a group of n copies still gives n - 1 links.
     """
     spark = nodes.sparkSession
     tiles = tiles_of(nodes, 1, step, tile, whole)
-    try:
-        links = stored(links_in(pairs_of(tiles, radius, 1, step, 1), radius, whole))
-        small_batches(spark)
-        sets = sets_for(links.where("a <> b").select(F.explode(F.array("a", "b")).alias("doc")).distinct())
-        good, bad, most = None, None, 16
-        while True:
-            asked = links.where("a <> b").select("a", "b").distinct()
-            new = stored(verify(asked, sets, similarity).distinct())
-            good = new if good is None else good.unionByName(new)
-            failed = stored(links.where("a <> b").join(new, ["a", "b"], "left_anti").select("code", *PAIR))
-            if failed.isEmpty():
-                return good
-            bad = failed if bad is None else bad.unionByName(failed)
-            labels = stored(connected_components(good, "a", "b"))
-            again = stored(bad.join(failed.select(*PAIR).distinct(), PAIR, "left_semi").groupBy(*PAIR).agg(F.collect_list("code").alias("failed")))
-            used = again.select("cell", "sub").unionByName(again.select(F.col("cell2").alias("cell"), F.col("sub2").alias("sub"))).distinct()
-            items = tiles.join(used, ["cell", "sub"], "left_semi").select("cell", "sub", F.posexplode("items").alias("pos", "item")).select("cell", "sub", "pos", "item.*")
-            items = items.join(labels, "node", "left").select("cell", "sub", F.struct("pos", "node", "fp", "fp2", F.coalesce("component", "node").alias("label")).alias("item"))
-            held = stored(items.groupBy("cell", "sub").agg(F.sort_array(F.collect_list("item")).alias("items")))
-            right = held.select(F.col("cell").alias("cell2"), F.col("sub").alias("sub2"), F.col("items").alias("right"))
-            pairs = again.join(held.withColumnRenamed("items", "left"), ["cell", "sub"]).join(right, ["cell2", "sub2"])
-            links = stored(links_in(pairs.withColumn("same", F.expr("cell = cell2 and sub = sub2")), radius, whole, most))
-            small_batches(spark)
-            most *= 8
-    finally:
-        small_batches(spark)
+    with batch_rows(spark, PAIR_ROWS):
+        links = stored(links_in(pairs_of(tiles, radius, 1, step, 1), radius, whole).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *PAIR))
+    asked = stored(links.select("a", "b").unionByName(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
+    sets = sets_for(asked.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+    good = stored(verify(asked, sets, similarity).distinct())
+    failed = stored(links.join(good, ["a", "b"], "left_anti").select(*PAIR).distinct())
+    if failed.isEmpty():
+        return good
+    labels = stored(connected_components(good, "a", "b"))
+    used = failed.select("cell", "sub").unionByName(failed.select(F.col("cell2").alias("cell"), F.col("sub2").alias("sub"))).distinct()
+    items = tiles.join(used, ["cell", "sub"], "left_semi").select("cell", "sub", F.explode("items").alias("item")).select("cell", "sub", "item.*")
+    items = items.join(labels, "node", "left").select("cell", "sub", F.struct("node", "fp", "fp2", F.coalesce("component", "node").alias("label")).alias("item"))
+    held = stored(items.groupBy("cell", "sub").agg(F.collect_list("item").alias("items")))
+    right = held.select(F.col("cell").alias("cell2"), F.col("sub").alias("sub2"), F.col("items").alias("right"))
+    pairs = failed.join(held.withColumnRenamed("items", "left"), ["cell", "sub"]).join(right, ["cell2", "sub2"]).withColumn("same", F.expr("cell = cell2 and sub = sub2"))
+    with batch_rows(spark, PAIR_ROWS):
+        still = stored(open_nodes(pairs, radius, whole))
+    found = open_links(still, sets_for(still.select(F.col("node").alias("doc")).distinct()), radius, whole, similarity)
+    return good.unionByName(stored(found.distinct()))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, tile: int = 1024) -> DataFrame:
@@ -323,27 +366,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     9.7 and 19.4 bits are expected to differ, with deviations of 2.9 and 4.1, so about one pair in
     a thousand at the limit is passed over, and hardly any unlike pair is proposed. Tiles are also
     cut by the number of shingles: sets that are alike differ in size by a factor of 1 / similarity
-    at most, so other tile pairs are skipped. Every link used is verified on the whole sets (Jaccard
-    at least ``similarity``), and pairs that a failed link stood for are proposed in its place.
+    at most, so other tile pairs are skipped. Texts so short that alike ones differ in one shingle
+    at most are joined exactly on their sets (``short_links``). Every link used is verified on the whole sets (Jaccard
+    at least ``similarity``), and where one fails, the pairs that it stood for are compared in its place.
 
     Null and empty texts have no shingles: they are copies of one another. Rows with a null id take
     no part. Repeated ids and rows: one entry each id, in the smallest component of its texts.
     """
-    prints = stored(fingerprints(docs, id_col, text_col, width, distinct=True).where("doc is not null"))
+    prints = stored(fingerprints(docs, id_col, text_col, width, distinct=True, short=short_limit(similarity)).where("doc is not null"))
     key = ["words", "fp", "fp2", "shingles"]
-    classes = stored(prints.groupBy(*key).agg(F.min("doc").alias("node")))
+    classes = stored(prints.groupBy(*key).agg(F.min("doc").alias("node"), F.any_value("marks").alias("marks")))
     band = F.floor(F.log(F.greatest(F.col("shingles"), F.lit(1))) / math.log(1 / similarity) + 1e-9).cast("int")
 
     def sets_for(ends: DataFrame) -> DataFrame:
         held = docs.withColumn(id_col, F.col(id_col).cast("long")).join(ends.withColumnRenamed("doc", id_col), id_col, "left_semi")
         return stored(shingle_sets(held, id_col, text_col, width))
 
-    checked = verified_links(classes.select("node", "fp", "fp2", band.alias("band")), sets_for, similarity, radius, whole, 8, tile)
+    checked = verified_links(classes.select("node", "fp", "fp2", "shingles", band.alias("band")), short_links(classes, similarity), sets_for, similarity, radius, whole, 8, tile)
     same = prints.join(classes, key).where("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b")).distinct()
     found = connected_components(checked.unionByName(same), "a", "b")
     return prints.select("doc").distinct().join(found.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("component"))
 
 
+def short_limit(similarity: float) -> int:
+    """The most shingles of sets that differ, where alike, in one shingle of the larger at most."""
+    return math.ceil(2 * similarity / (1 - similarity) - 1e-9) if similarity < 1 else 1
+
+
+def short_links(classes: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: links of short texts, by equal sets or by sets that are equal without one shingle of the larger.
+
+    ``marks`` are 64-bit marks of the set, and of the set without each shingle in turn. The smallest
+    node stands for all nodes of an equal set, so a key of any size meets one row.
+    """
+    short = classes.where("size(marks) > 0").select("node", "marks", "shingles")
+    sets = stored(short.groupBy(F.col("marks")[0].alias("mark"), F.col("shingles").alias("n")).agg(F.min("node").alias("b")))
+    equal = short.select(F.col("node").alias("a"), F.col("marks")[0].alias("mark"), F.col("shingles").alias("n"))
+    less = short.where(F.col("shingles") - 1 >= similarity * F.col("shingles") - 1e-9).select(F.col("node").alias("a"), F.explode(F.expr("slice(marks, 2, size(marks))")).alias("mark"), (F.col("shingles") - 1).alias("n"))
+    return equal.unionByName(less).join(sets, ["mark", "n"]).where("a <> b").select("a", "b").distinct()
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """``(doc, shingles)``: the sorted distinct shingle hashes of each row, packed."""
     schema = pa.schema([("doc", pa.int64()), ("shingles", pa.binary())])

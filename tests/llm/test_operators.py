@@ -169,6 +169,42 @@ def test_near_duplicates_around_the_limit(spark):
     assert [got[i] for i in range(len(rows))] == components(len(rows), links)
 
 
+def test_short_near_duplicates_are_all_found(spark):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(40):
+        base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(rng.randrange(5, 14))]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[1:])), (len(rows) + 2, " ".join([*base, "tail"])), (len(rows) + 3, " ".join(base))]
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} or {t} for t in (tuple(x.split()) for _, x in rows)]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    # A radius of zero proposes equal fingerprints only, so links of texts of up to eight shingles come from their marks.
+    got = {r["doc"]: r["component"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), radius=0, whole=0).collect()}
+    short = [(i, j) for i, j in links if max(len(sets[i]), len(sets[j])) <= 8]
+    assert all(got[i] == got[j] for i, j in short)
+    assert any(sets[i] != sets[j] for i, j in short)
+    whole = {r["doc"]: r["component"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [whole[i] for i in range(len(rows))] == components(len(rows), links)
+
+
+def test_a_tile_pair_is_decided_whole():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 100).astype(np.uint64)
+    sets = []
+    for _ in range(60):
+        own = base.copy()
+        own[rng.choice(100, rng.integers(0, 14), replace=False)] = rng.integers(0, 1 << 63, 1)
+        sets.append(np.unique(own))
+    sets.append(np.zeros(0, np.uint64))
+    codes, names = np.zeros((2, len(sets)), np.uint64), np.arange(len(sets)) * 10
+    for sides in (np.zeros(len(sets), int), np.arange(len(sets)) % 2):
+        alike = [(i, j) for i in range(len(sets)) for j in range(i) if (not sides.any() or sides[i] != sides[j]) and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+        found = simhash.decide_open(names, codes, np.arange(len(sets)), sets, sides, 20, 32, 0.8)
+        pairs = [(a // 10, b // 10) for a, b in found]
+        assert {(max(p), min(p)) for p in pairs} <= set(alike)
+        assert components(len(sets), pairs) == components(len(sets), alike)
+        assert len(pairs) < len(sets)
+
+
 def test_pitman_yor(docs, none, spark):
     rows = texts_of(docs)
     held = {i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
