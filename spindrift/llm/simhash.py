@@ -379,8 +379,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     band = F.floor(F.log(F.greatest(F.col("shingles"), F.lit(1))) / math.log(1 / similarity) + 1e-9).cast("int")
 
     def sets_for(ends: DataFrame) -> DataFrame:
-        held = docs.withColumn(id_col, F.col(id_col).cast("long")).join(ends.withColumnRenamed("doc", id_col), id_col, "left_semi")
-        return stored(shingle_sets(held, id_col, text_col, width))
+        held = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+        return stored(shingle_sets(marked_rows(held, ends), "doc", "text", width))
 
     checked = verified_links(classes.select("node", "fp", "fp2", "shingles", band.alias("band")), short_links(classes, similarity), sets_for, similarity, radius, whole, 8, tile)
     same = prints.join(classes, key).where("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b")).distinct()
@@ -406,6 +406,26 @@ def short_links(classes: DataFrame, similarity: float) -> DataFrame:
     return equal.unionByName(less).join(sets, ["mark", "n"]).where("a <> b").select("a", "b").distinct()
 
 
+#: Bits of a bit table for each id, in one of its rows, and in all: 16 MB at most, whatever the number of ids.
+ID_BITS, ROW_BITS, MOST_BITS = 16, 1 << 15, 1 << 27
+
+
+def marked_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (``doc``, ``text``) whose id is in ``ids``, and a few others, without a shuffle of the texts.
+
+    Ids set a bit each in a table of bounded size, which every task has; a row stays if its bit is
+    set. Of the other rows one in 16 stays at most, until there are more than 8 million ids, and
+    then more: joins on the id drop them later. Null ids go.
+    """
+    bits = max(ROW_BITS, min(1 << (ID_BITS * ids.count()).bit_length(), MOST_BITS))
+    place = F.pmod(F.xxhash64("doc"), F.lit(bits)) + 1
+    row, at = F.bitmap_bucket_number(place).alias("row"), F.bitmap_bit_position(place).alias("at")
+    table = stored(ids.select(row, at).groupBy("row").agg(F.bitmap_construct_agg("at").alias("bits")))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    kept = docs.where("doc is not null").select("doc", "text", row, at).join(F.broadcast(table), "row")
+    return kept.where(F.call_function("getbit", byte, (F.col("at") % 8).cast("int")) == 1).select("doc", "text")
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """``(doc, shingles)``: the sorted distinct shingle hashes of each row, packed."""
     schema = pa.schema([("doc", pa.int64()), ("shingles", pa.binary())])
