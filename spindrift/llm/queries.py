@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_dedup, lsh_ann, mixing, pitman_yor, quality_gam, simhash, suffix_dedup, vector_graph
+from . import bpe, language_id, line_dedup, lsh_ann, mixing, pitman_yor, prefix_trie, quality_gam, simhash, suffix_dedup, vector_graph
 from .common import read_table
 
 
@@ -89,5 +89,46 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "n_langs")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_pitman_yor, op4_quality_gam, op5_suffix_array, op6_bpe, op7_lsh_ann, op8_mixing, op9_vector_graph, op10_language_id)}
-ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op9_vector_graph": OP9_SQL}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+CRC32_SQL = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({x} AS VARCHAR), ''), lambda d: ascii(d)::BIGINT)),
+  lambda a, d: list_reduce(list_prepend(xor(a, d), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda e, z: xor(e >> 1, 3988292384 * (e & 1))))"""
+
+OP11_SQL = f"""
+WITH turns AS (
+  SELECT conv_id AS conv, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS idx
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv, idx, sha256(strlen(role) || ':' || role || text) AS tid, strlen(text) AS size FROM turns
+), convs AS (
+  SELECT conv, conv - conv % 5 AS base, xor({CRC32_SQL.format(x="conv")}, 4294967295) % 9 AS h FROM (SELECT DISTINCT conv FROM own)
+), seqs AS (
+  SELECT c.conv, 0 AS part, o.idx, o.tid, o.size FROM convs c JOIN own o ON o.conv = c.base AND o.idx < c.h
+  UNION ALL SELECT c.conv, 1, o.idx, o.tid, o.size FROM convs c JOIN own o ON o.conv = c.conv AND o.idx >= c.h
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY part, idx) AS pos FROM seqs
+), paths AS (
+  SELECT conv, pos, size, sha256(string_agg(tid, ',') OVER (PARTITION BY conv ORDER BY pos)) AS node FROM placed
+  UNION ALL SELECT conv, 0, 0, '' FROM convs
+), steps AS (
+  SELECT *, lag(node) OVER w AS up, lead(node) OVER w IS NULL AS ends FROM paths WINDOW w AS (PARTITION BY conv ORDER BY pos)
+), nodes AS (
+  SELECT node, pos, min(conv) AS conv_id, count(*) AS n_convs, any_value(up) AS up, any_value(size) AS size,
+         sha256(coalesce(string_agg(CAST(conv AS VARCHAR), ',' ORDER BY conv) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM steps GROUP BY node, pos
+), kids AS (SELECT up, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up),
+below AS (
+  SELECT p.node, count(*) FILTER (WHERE k.n IS NULL) AS n_leaves, sum((u.n_convs - 1) * u.size) AS saved
+  FROM nodes u LEFT JOIN kids k ON k.up = u.node JOIN paths p ON p.conv = u.conv_id AND p.pos <= u.pos GROUP BY p.node
+)
+SELECT n.conv_id, n.pos AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, b.n_leaves,
+       CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.node = n.node LEFT JOIN nodes p ON p.node = n.up LEFT JOIN kids k ON k.up = n.node
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_pitman_yor, op4_quality_gam, op5_suffix_array, op6_bpe, op7_lsh_ann, op8_mixing, op9_vector_graph, op10_language_id, op11_prefix_trie)}
+ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op9_vector_graph": OP9_SQL, "op11_prefix_trie": OP11_SQL}
