@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_dedup, lsh_ann, mixing, pitman_yor, prefix_trie, quality_gam, simhash, suffix_dedup, vector_graph
+from . import bpe, language_id, license_scan, line_dedup, lsh_ann, mixing, pitman_yor, prefix_trie, quality_gam, simhash, suffix_dedup, token_align, vector_graph
 from .common import read_table
 
 
@@ -130,5 +130,13 @@ FROM nodes n JOIN below b ON b.node = n.node LEFT JOIN nodes p ON p.node = n.up
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_pitman_yor, op4_quality_gam, op5_suffix_array, op6_bpe, op7_lsh_ann, op8_mixing, op9_vector_graph, op10_language_id, op11_prefix_trie)}
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.token_links(read_table(spark, sf_dir, "documents").select("doc_id", "text"), *token_align.public_vocabularies())
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_pitman_yor, op4_quality_gam, op5_suffix_array, op6_bpe, op7_lsh_ann, op8_mixing, op9_vector_graph, op10_language_id, op11_prefix_trie, op12_token_align, op13_license_scan)}
 ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op9_vector_graph": OP9_SQL, "op11_prefix_trie": OP11_SQL}
