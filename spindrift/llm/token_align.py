@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import Shipped, batch_rows, record_batch, stored
 
 #: Tokens' words that a worker keeps, words that are aligned at once, and links of a chunk of documents.
-WORDS, BLOCK, CHUNK = 300_000, 100_000, 2_000_000
+WORDS, BLOCK, CHUNK = 200_000, 50_000, 1_000_000
 
 #: Questions that share a starting point.
 STRIDE = 32
@@ -211,7 +211,7 @@ class Aligned:
         if not self.good or not self.n[0]:
             return self.key, 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
         codes, times = self.codes[0] if len(self.codes) == 1 else merged(self.codes)
-        return self.key, *self.n, self.groups, self.links, self.said.hexdigest(), codes, times
+        return self.key, *self.n, self.groups, self.links, self.said.hexdigest(), codes.copy(), times.astype(np.uint32)
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -338,6 +338,7 @@ def link_tables(docs: DataFrame, vocabularies: Shipped, id_col: str, text_col: s
                 chunk, held, size = chunk + 1, [], 0
         if held:
             yield packed(chunk, held)
+        words.clear()  # the worker goes on to other tasks
 
     with batch_rows(docs.sparkSession, 200):
         return stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ddl))
