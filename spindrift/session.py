@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,3 +37,10 @@ def scratch(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     return tempfile.mkdtemp(prefix="spark-")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read back: a table that is read several times, or a cut in the lineage."""
+    path = f"{scratch(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
