@@ -32,13 +32,12 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed_windows(sections(spark, sf_dir))
 
 
-def stored(df: DataFrame, change=None) -> DataFrame:
-    """A store of ``df``, and after a mutation of it: committed twice, which changes nothing further."""
-    root = f"{scratch(df.sparkSession)}/store-{uuid.uuid4().hex}"
-    held = store.commit(df, root)
+def stored(df: DataFrame, by: list[str], change=None) -> DataFrame:
+    """A store of ``df``, and after a mutation of it: run twice, which changes nothing further."""
+    held = store.Store(df.sparkSession, f"{scratch(df.sparkSession)}/store-{uuid.uuid4().hex}", by, 8).create(df)
     for _ in range(2 if change else 0):
-        held = store.commit(change(held), root)
-    return store.latest(df.sparkSession, root)
+        change(held)
+    return held.read()
 
 
 @query(f"WITH {PAPERS_SQL} SELECT 's1' AS session, paper_id FROM papers WHERE owner IS NULL OR owner = 's1' UNION ALL SELECT 'none', paper_id FROM papers WHERE owner IS NULL")
@@ -140,7 +139,7 @@ def chunk_antijoin_new(spark, sf_dir):
     """Passages that the store does not have yet, once each."""
     every = chunks(spark, sf_dir).select("chunk_id", "paper_id")
     held = every.where(F.col("paper_id").cast("long") % 3 == 0).select("chunk_id").distinct().withColumn("batch", F.lit(1))
-    now = stored(held, lambda at: store.insert_if_absent(at, every.select("chunk_id", F.lit(2).alias("batch")), ["chunk_id"]))
+    now = stored(held, ["chunk_id"], lambda at: at.insert_if_absent(every.select("chunk_id", F.lit(2).alias("batch")), ["chunk_id"]))
     return now.where("batch = 2").select("chunk_id")
 
 
@@ -152,7 +151,7 @@ def insert_if_absent(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     held = d.where("doc_id % 4 = 0").select("doc_id", F.lit("old").alias("title"))
     new = d.select("doc_id", F.substring_index("text", "\n", 1).alias("title"))
-    return stored(held, lambda now: store.insert_if_absent(now, new, ["doc_id"]))
+    return stored(held, ["doc_id"], lambda now: now.insert_if_absent(new, ["doc_id"]))
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT c.chunk_id, c.paper_id, p.title, array_to_string(p.category, ',') AS category, p.published_date, v.vec_id IS NOT NULL AS has_vector FROM chunks c JOIN papers p ON c.paper_id = p.paper_id LEFT JOIN embeddings v ON v.vec_id = p.doc_id")
@@ -176,7 +175,7 @@ def page_replace(spark, sf_dir):
     """Passages of one page of some documents are replaced; all others stay."""
     old = chunks(spark, sf_dir).select("chunk_id", "paper_id", "char_start", F.lit("v1").alias("version"))
     new = old.where((F.col("char_start") == 1400) & (F.col("paper_id").cast("long") % 2 == 0)).withColumn("version", F.lit("v2"))
-    return stored(old, lambda now: store.replace_groups(now, new, ["paper_id", "char_start"])).select("chunk_id", "paper_id", "version")
+    return stored(old, ["paper_id"], lambda now: now.replace_groups(new, ["paper_id", "char_start"])).select("chunk_id", "paper_id", "version")
 
 
 @query(f"""WITH {CHUNKS_SQL}, gone AS (SELECT paper_id FROM papers WHERE list_contains(authors, 'src1') AND published_date < DATE '2024-06-01')
@@ -184,8 +183,8 @@ SELECT paper_id, chunk_id FROM chunks WHERE paper_id NOT IN (SELECT paper_id FRO
 def ttl_purge(spark, sf_dir):
     """Uploads past their time go, with all their passages."""
     expired = F.array_contains("authors", "src1") & (F.col("published_date") < "2024-06-01")
-    p = papers(spark, sf_dir)
-    return stored(chunks(spark, sf_dir).select("paper_id", "chunk_id"), lambda now: store.purge(p, expired, now, ["paper_id"])[1])
+    parents = store.Store(spark, f"{scratch(spark)}/store-{uuid.uuid4().hex}", ["paper_id"], 8).create(papers(spark, sf_dir).select("paper_id", "authors", "published_date"))
+    return stored(chunks(spark, sf_dir).select("paper_id", "chunk_id"), ["paper_id"], lambda now: parents.purge(expired, now, ["paper_id"]))
 
 
 @query("""SELECT d.doc_id, coalesce(CASE WHEN e.vec_id % 5 <> 0 THEN e.label END, -1) AS label, e.vec_id IS NULL OR e.vec_id % 5 = 0 AS filled
@@ -194,7 +193,7 @@ def backfill_missing(spark, sf_dir):
     """Rows without a value get one; rows that have one are left alone."""
     v = table(spark, sf_dir, "embeddings").where("vec_id % 5 <> 0").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("long").alias("label"))
     d = table(spark, sf_dir, "documents").select("doc_id").join(v, "doc_id", "left").withColumn("filled", F.col("label").isNull())
-    return stored(d, lambda now: store.backfill(now, d.where("filled").select("doc_id", F.lit(-1).cast("long").alias("label")), ["doc_id"], "label"))
+    return stored(d, ["doc_id"], lambda now: now.backfill(d.where("filled").select("doc_id", F.lit(-1).cast("long").alias("label")), ["doc_id"], "label", batch=3))
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT 'fixed_overlap' AS strategy, chunk_id FROM chunks UNION ALL SELECT 'short' AS strategy, chunk_id FROM chunks WHERE char_start = 0")
@@ -203,7 +202,7 @@ def persist_variant(spark, sf_dir):
     c = chunks(spark, sf_dir)
     one, short = c.select(F.lit("fixed_overlap").alias("strategy"), "chunk_id"), c.where("char_start = 0").select(F.lit("short").alias("strategy"), "chunk_id")
     stale = one.unionByName(one.limit(10).withColumn("strategy", F.lit("short")))
-    return stored(stale, lambda now: store.replace_groups(now, short, ["strategy"]))
+    return stored(stale, ["strategy"], lambda now: now.replace_groups(short, ["strategy"]))
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT (SELECT count(*) FROM papers) AS seen, (SELECT count(*) FROM papers WHERE doc_id % 4 <> 0) AS papers_new, (SELECT count(DISTINCT chunk_id) FROM chunks WHERE doc_id % 4 <> 0) AS chunks_new")
@@ -278,7 +277,7 @@ def index_upsert(spark, sf_dir):
     """An index that held old titles for some passages, brought up to date; a second run changes nothing."""
     rows = chunks(spark, sf_dir).select("chunk_id", "paper_id").distinct().join(papers(spark, sf_dir).select("paper_id", "title", "published_date"), "paper_id").select("chunk_id", "title", "published_date")
     old = rows.where(F.pmod(F.hash("chunk_id"), F.lit(3)) == 0).withColumn("title", F.lit("old"))
-    return stored(old, lambda now: store.upsert(now, rows, ["chunk_id"]))
+    return stored(old, ["chunk_id"], lambda now: now.upsert(rows, ["chunk_id"]))
 
 
 @query("SELECT event_type, count(*) AS total, count(*) FILTER (WHERE value IS NULL OR value >= 300) AS failed FROM events GROUP BY event_type")

@@ -243,31 +243,6 @@ def test_bm25_in_tasks_equals_the_joined_form(spark, monkeypatch):
     assert {r["id"] % 2 for r in lexical.bm25_topk(docs, asked, 4, "doc_id", F.col("text"), eligible=some).collect()} == {0}
 
 
-def test_stores_keep_whole_versions(spark, tmp_path):
-    from spindrift.operators import store
-
-    root = str(tmp_path / "s")
-    make = lambda rows: spark.createDataFrame(rows, "k int, v string")
-    rows = lambda df: sorted(map(tuple, df.collect()))
-    assert store.versions(spark, root) == []
-    with pytest.raises(FileNotFoundError):
-        store.latest(spark, root)
-    held = store.commit(make([(1, "a"), (2, None)]), root)
-    for _ in range(2):
-        held = store.commit(store.insert_if_absent(held, make([(1, "x"), (3, "c"), (3, "c")]), ["k"]), root)
-    assert rows(held) == [(1, "a"), (2, None), (3, "c")] and store.versions(spark, root) == [1, 2, 3]
-    (tmp_path / "s" / "version=4").mkdir()  # an unfinished run
-    assert rows(store.latest(spark, root)) == rows(held)
-    assert rows(store.backfill(held, make([(1, "no"), (2, "b")]), ["k"], "v")) == [(1, "a"), (2, "b"), (3, "c")]
-    assert rows(store.upsert(held, make([(1, "new"), (9, "z")]), ["k"])) == [(1, "new"), (2, None), (3, "c"), (9, "z")]
-    assert rows(store.replace_groups(make([(1, "a"), (1, "b"), (2, "c")]), make([(1, "z")]), ["k"])) == [(1, "z"), (2, "c")]
-    kept, children = store.purge(held, F.col("v") == "a", make([(1, "child"), (2, "child")]), ["k"])
-    assert rows(kept) == [(2, None), (3, "c")] and rows(children) == [(2, "child")]
-    assert tuple(store.counters(held, make([(1, "a"), (8, "b"), (8, "c")]), ["k"]).first()) == (3, 1)
-    with pytest.raises(RuntimeError):
-        store.raise_on_errors(spark.createDataFrame([(200,), (None,)], "status int"))
-
-
 def test_filters_hold_together(spark):
     from spindrift.operators.filters import Filters, author_contains, condition, sanitised
 
