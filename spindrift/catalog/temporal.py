@@ -12,6 +12,7 @@ from spindrift.operators.metrics import floor_percentiles
 from spindrift.operators.temporal import admit, cache_hits
 from spindrift.session import scratch
 from spindrift.streaming.jobs import drain, ingest_new, tumbling_counts
+from spindrift.streaming.state import Cache, Jobs, Limiter, keyed, latest_status, state_on_disk
 
 
 def events(spark, sf_dir) -> DataFrame:
@@ -129,6 +130,64 @@ def stream_rate_windows(spark, sf_dir):
     return spark.read.parquet(drain(spark, f"{source}*", schema, scratch(spark), build))
 
 
+def timed_stream(spark, sf_dir, columns, processor):
+    """Rows of a processor over the events as a file stream, run to its end."""
+    source = f"{sf_dir.rstrip('/')}/events.parquet"
+
+    def build(stream, out, state):
+        e = stream.withColumn("seconds", F.unix_timestamp(F.col("ts").cast("timestamp"))).select("seconds", "event_id", *columns)
+        return keyed(e, processor).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True)
+
+    with state_on_disk(spark):
+        return spark.read.parquet(drain(spark, f"{source}*", spark.read.parquet(source).schema, scratch(spark), build))
+
+
+# Ties within a second go by the event's number, in the batch and in the stream.
+@query(f"""SELECT event_type AS key, event_id, {SECONDS} // 86400 AS bucket, row_number() OVER (PARTITION BY event_type, {SECONDS} // 86400 ORDER BY {SECONDS}, event_id) <= 20 AS admitted FROM events""")
+def stream_rate_limit(spark, sf_dir):
+    """The limiter as a stream with a counter for each caller, let go of when its window has passed."""
+    return timed_stream(spark, sf_dir, [F.col("event_type").alias("key")], Limiter(20, 86_400))
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT CAST(user_id % 50 AS VARCHAR) AS key, {SECONDS} AS seconds, event_id, event_type <> 'error' AS cacheable, row_number() OVER (PARTITION BY user_id % 50 ORDER BY {SECONDS}, event_id) AS i FROM events),
+r AS (SELECT key, seconds, event_id, i, false AS hit, CASE WHEN cacheable THEN seconds + 86400 ELSE -1 END AS until FROM e WHERE i = 1
+ UNION ALL SELECT e.key, e.seconds, e.event_id, e.i, e.seconds < r.until, CASE WHEN e.seconds >= r.until AND e.cacheable THEN e.seconds + 86400 ELSE r.until END FROM r JOIN e ON e.key = r.key AND e.i = r.i + 1)
+SELECT key, seconds, event_id, hit FROM r""")
+def stream_ttl_cache(spark, sf_dir):
+    """The cache as a stream, an entry's time to live being its timer."""
+    key = (F.col("user_id") % 50).cast("string").alias("key")
+    return timed_stream(spark, sf_dir, [key, (F.col("event_type") != "error").alias("cacheable")], Cache(86_400))
+
+
+KIND = "CASE event_type WHEN 'purchase' THEN 'finished' WHEN 'error' THEN 'failed' WHEN 'logout' THEN 'left' ELSE 'started' END"
+STATUS = f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, {KIND} AS kind, {SECONDS} AS seconds, event_id FROM events),
+last AS (SELECT key, arg_max(kind, {{'a': seconds, 'b': event_id}}) AS kind FROM e WHERE kind IN ('started', 'finished', 'failed') GROUP BY key)
+SELECT CAST(c_custkey AS VARCHAR) AS key, CASE kind WHEN 'started' THEN 'processing' WHEN 'finished' THEN 'done' WHEN 'failed' THEN 'error' ELSE 'unknown' END AS status FROM customer LEFT JOIN last ON key = CAST(c_custkey AS VARCHAR)"""
+
+
+def job_events(spark, sf_dir) -> DataFrame:
+    return events(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), F.expr(KIND).alias("kind"), "seconds", "event_id")
+
+
+def asked_jobs(spark, sf_dir, known: DataFrame) -> DataFrame:
+    """The status of every customer's job; one without an event is unknown."""
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"))
+    return asked.join(known, "key", "left").select("key", F.coalesce("status", F.lit("unknown")).alias("status"))
+
+
+@query(STATUS)
+def job_status(spark, sf_dir):
+    """What a job's last event made of it."""
+    return asked_jobs(spark, sf_dir, latest_status(job_events(spark, sf_dir)))
+
+
+@query(STATUS)
+def stream_job_status(spark, sf_dir):
+    """The same from a stream that keeps each job's state; of the rows that it wrote, the last one counts."""
+    rows = timed_stream(spark, sf_dir, [F.col("user_id").cast("string").alias("key"), F.expr(KIND).alias("kind")], Jobs(30 * 86_400))
+    return asked_jobs(spark, sf_dir, rows.groupBy("key").agg(F.max_by("status", F.struct("seconds", "event_id")).alias("status")))
+
+
 # Structured scans.
 @query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
 def pricing_summary(spark, sf_dir):

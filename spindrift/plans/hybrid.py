@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,15 +38,17 @@ def retrieve_plans(papers: DataFrame, vectors: DataFrame, plans: DataFrame, plan
     """``(qid, id, score, rank)`` of questions with several variants, under one set of filters.
 
     ``plans`` has ``(qid, variant_no, query)`` and ``plan_vectors`` ``(qid, variant_no, vector)``, up to
-    ``VARIANTS`` of each question. All variants are searched in one batch, each in both arms, and all
+    ``VARIANTS`` of each question (a number beyond these is an error). All variants are searched in one batch, each in both arms, and all
     lists of a question are fused. A category that no shared paper has is dropped first; the other
     filters hold for both arms before anything is ranked, and do not change term statistics.
     """
-    name = (F.col("qid") * VARIANTS + F.col("variant_no")).alias("qid")
+    no = F.col("variant_no")
+    fits = (no >= 0) & (no < VARIANTS)
+    name = F.when(fits, F.col("qid").cast("long") * VARIANTS + no).otherwise(F.raise_error(F.concat(F.lit("no such variant: "), F.coalesce(no.cast("string"), F.lit("null"))))).alias("qid")
     eligible = None if filters is None else papers.where(condition(sanitised(filters, papers))).select("doc_id")
     lists = arms(papers, vectors, plans.select(name, "query"), plan_vectors.select(name, "vector"), recall, eligible)
     variant = F.pmod("qid", F.lit(VARIANTS))
-    named = lists.select(F.floor(F.col("qid") / VARIANTS).cast("long").alias("qid"), (variant * 2 + F.col("list_no")).cast("int").alias("list_no"), "rank", "id")
+    named = lists.select(F.expr(f"(qid - pmod(qid, {VARIANTS})) div {VARIANTS}").alias("qid"), (variant * 2 + F.col("list_no")).cast("int").alias("list_no"), "rank", "id")
     return fuse(named).where(F.col("rank") <= top)
 
 
@@ -70,6 +71,8 @@ def judgements(docs: DataFrame, queries: DataFrame) -> DataFrame:
     schema = pa.schema([("qid", pa.int64()), ("id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
         machine, named = ahocorasick.Automaton(), {}
         for q, passage in shared.value:
             named.setdefault(passage, []).append(q)
