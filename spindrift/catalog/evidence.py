@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 import pandas as pd
@@ -12,11 +13,13 @@ from pyspark.sql import functions as F
 from spindrift.adapters import PAPERS_SQL, TURNS_SQL, papers, questions, table, turns
 from spindrift.catalog.base import query
 from spindrift.catalog.relations import sections
-from spindrift.catalog.retrieval import RERANKED, fused, overlap_sql, reranked
+from spindrift.catalog.retrieval import RERANKED, fused, overlap_sql, reranked, tokens_sql
 from spindrift.functions import text as fx
 from spindrift.functions.embedding import hash_embed
 from spindrift.operators import chunking
-from spindrift.plans.answers import answer_questions
+from spindrift.operators.store import Store
+from spindrift.plans.answers import ambiguity, answer_questions
+from spindrift.session import scratch, stored
 from spindrift.sources import parsers
 
 SECTIONS_SQL = f"""{PAPERS_SQL}, lines AS (SELECT paper_id, unnest(list_zip(l, range(len(l)))) AS z FROM (SELECT paper_id, string_split(text, chr(10)) AS l FROM papers)),
@@ -220,12 +223,41 @@ def ambiguity_diversity(spark, sf_dir):
     return a.select("qid", "n_papers", ((F.col("n_papers") >= 3) & ~((F.col("top_papers") == 1) & (F.col("top_n") == 3))).alias("flagged"))
 
 
-@query(f"""WITH {RERANKED}, top AS (SELECT qid, count(DISTINCT id % 20) AS n_papers, count(DISTINCT CASE WHEN new_rank <= 3 THEN id % 20 END) AS top_papers, any_value(query) AS query FROM rr GROUP BY qid)
-SELECT qid, CASE WHEN regexp_matches(query, '(?i)\\b(the model|the framework|the system|the approach|the method|the baseline|the paper|the algorithm|it|its)\\b') THEN 'reference' WHEN n_papers >= 3 AND top_papers > 1 THEN 'diversity' END AS note FROM top""")
+def numbers_sql(text: str) -> str:
+    return f"list_transform(regexp_extract_all({text}, '\\d[\\d,]*(?:\\.\\d+)?'), lambda n: CAST(floor(CAST(replace(n, ',', '') AS DOUBLE)) AS BIGINT))"
+
+
+def pairs_sql(text: str) -> str:
+    n = numbers_sql(text)
+    return f"CASE WHEN len({n}) < 2 THEN [] ELSE list_transform(range(1, len({n})), lambda i: {{'a': ({n})[i], 'b': ({n})[i + 1]}}) END"
+
+
+GENERIC, NAMES = "|".join(fx.GENERIC_NAMES), "|".join(fx.ENTITY_NAMES)
+
+
+def note_sql(query_: str, context: str, papers_: str) -> str:
+    """The first of four reasons: a judge's note, numbers in the other order, an unresolved reference, a spread over papers.
+    ``papers_`` is the list of the passages' papers in order."""
+    own, other = pairs_sql(query_), pairs_sql(context)
+    return f"""CASE WHEN len(list_filter({own}, lambda p: p.a <> p.b AND list_contains({other}, {{'a': p.b, 'b': p.a}}) AND NOT list_contains({other}, p))) > 0 THEN 'transposition'
+ WHEN regexp_matches({query_}, '(?i)\\b({GENERIC})\\b') AND NOT regexp_matches({query_}, '(?i)\\b({NAMES})\\b') AND NOT regexp_matches({query_}, '\\b\\d{{4}}\\.\\d{{4,5}}\\b') THEN 'reference'
+ WHEN len(list_distinct({papers_})) >= 3 AND NOT (len({papers_}) >= 3 AND len(list_distinct(list_slice({papers_}, 1, 3))) = 1) THEN 'diversity' END"""
+
+
+# A judge's notes, and questions with two numbers, some of which their papers have in the other order.
+JUDGED_QUERY = "concat(query, CASE qid % 4 WHEN 0 THEN ' from 17 of 4,512 parts' WHEN 1 THEN ' and its end' ELSE '' END)"
+
+
+@query(f"""WITH {RERANKED}, c AS (SELECT qid, {JUDGED_QUERY} AS query, string_agg(CASE WHEN new_rank = 2 AND qid % 8 = 0 THEN concat(text, ' 4,512 from 17') ELSE text END, ' ' ORDER BY new_rank) AS context, list(id % 20 ORDER BY new_rank) AS ps FROM rr GROUP BY qid, query)
+SELECT qid, CASE WHEN qid % 9 = 3 THEN 'unclear' ELSE {note_sql('query', 'context', 'ps')} END AS note FROM c""")
 def ambiguity_signal(spark, sf_dir):
-    """The first reason to ask back: an unresolved reference, then a spread over papers."""
-    d = ambiguity_diversity(spark, sf_dir).join(questions(spark, sf_dir), "qid")
-    return d.select("qid", F.coalesce(F.when(fx.unresolved_reference(F.col("query")), "reference"), F.when(F.col("flagged"), "diversity")).alias("note"))
+    """The first reason to ask back, of four: a judge's note, transposed numbers, an unresolved reference, a spread over papers."""
+    r = reranked(fused(spark, sf_dir), papers(spark, sf_dir), questions(spark, sf_dir))
+    text = F.when((F.col("new_rank") == 2) & (F.col("qid") % 8 == 0), F.concat("text", F.lit(" 4,512 from 17"))).otherwise(F.col("text"))
+    item = F.struct(F.col("new_rank").cast("long").alias("new_rank"), F.col("id").cast("long").alias("id"), text.alias("text"), (F.col("id") % 20).cast("long").alias("paper"))
+    c = r.groupBy("qid", "query").agg(F.sort_array(F.collect_list(item)).alias("context"))
+    judge = F.when(F.col("qid") % 9 == 3, "unclear")
+    return c.select("qid", ambiguity(F.expr(JUDGED_QUERY), F.col("context"), judge).alias("note"))
 
 
 @query(f"""WITH {RERANKED}, c AS (SELECT qid, any_value(query) AS query, string_agg(text, ' ' ORDER BY new_rank) AS context FROM rr GROUP BY qid),
@@ -321,18 +353,56 @@ def context_word_count(spark, sf_dir):
     return r.groupBy("qid").agg(F.sum(fx.word_count("text")).alias("n_words"), F.count_distinct("id").alias("n_papers"))
 
 
-@query()
-def answer_batch(spark, sf_dir):
-    """Every question end to end: guard, retrieve, rerank, assess, answer or decline."""
+# Questions as they are, without text, that nothing answers, out of scope, and that a few passages hold in part.
+ASKED = "CASE item_id % 6 WHEN 1 THEN '' WHEN 2 THEN 'Tungsten graphite basalt quartz cobalt mercury' WHEN 4 THEN concat(text, ' tungsten graphite basalt quartz cobalt mercury of the model') WHEN 5 THEN concat(left(text, 12), ' tungsten graphite basalt quartz cobalt mercury') ELSE text END"
+
+
+def attempt_sql(n: int, size: int) -> str:
+    own = f"list_filter(x, lambda i: i.r <= {size})"
+    return f"""c{n} AS (SELECT qid, query, {own} AS x, array_to_string(list_transform({own}, lambda i: i.t), ' ') AS context, list_transform({own}, lambda i: i.p) AS ps FROM asked),
+h{n} AS (SELECT *, list_filter(x, lambda i: len(list_intersect({tokens_sql('i.t')}, {tokens_sql('query')})) > 0) AS hits FROM c{n}),
+s{n} AS (SELECT *, CASE WHEN len(hits) > 0 THEN concat(regexp_extract(hits[1].t, '(?s)^(.*?[.!?]|.*)(\\s|$)', 1), ' [', hits[1].r, ']') ELSE '{fx.ABSTAIN_TEXT.replace("'", "''")}' END AS said FROM h{n}),
+a{n} AS (SELECT qid, said, len(x) > 0 AND {overlap_sql('query', 'context')} >= 0.4545 AS sufficient, len(hits) = 0 OR starts_with(said, '{fx.ABSTAIN_TEXT.replace("'", "''")}') AS abstained,
+ list_sort(list_distinct(list_transform(regexp_extract_all(said, '\\[(\\d+)[^\\[\\]]*\\]', 1), lambda m: CAST(m AS BIGINT)))) AS marks, len(x) AS n_context, {overlap_sql('said', 'context')} >= 0.5 AS held, {note_sql('query', 'context', 'ps')} AS note FROM s{n})"""
+
+
+RANKED16 = RERANKED.replace("new_rank <= 8", "new_rank <= 16")
+ANSWERED = f"""{RANKED16}, sixteen AS (SELECT qid, list(struct_pack(r := new_rank, t := text, p := id) ORDER BY new_rank) AS x FROM rr GROUP BY qid),
+asked AS (SELECT item_id AS qid, {ASKED} AS query, item_id % 6 = 3 AS off, coalesce(x, []) AS x FROM benchmark LEFT JOIN sixteen ON qid = item_id),
+{attempt_sql(1, 8)}, {attempt_sql(2, 12)},
+fold AS (SELECT q.qid, length(q.query) BETWEEN 1 AND 2000 AS fits, NOT q.off AS scope, NOT a1.sufficient AS skips, NOT a1.sufficient OR a1.abstained OR NOT (a1.abstained OR a1.held) AS again FROM asked q JOIN a1 ON a1.qid = q.qid),
+last AS (SELECT f.*, CASE WHEN again THEN a2 ELSE a1 END AS a FROM fold f JOIN a1 ON a1.qid = f.qid JOIN a2 ON a2.qid = f.qid),
+done AS (SELECT *, fits AND scope AS ran, a.abstained OR a.held AS grounded, len(a.marks) AS n_marks, len(list_filter(a.marks, lambda m: m BETWEEN 1 AND a.n_context)) AS n_valid FROM last),
+named AS (SELECT *, CASE WHEN NOT fits THEN 'too_large' WHEN NOT scope THEN 'out_of_scope' WHEN NOT grounded THEN 'ungrounded' WHEN a.abstained THEN 'abstained' ELSE 'answered' END AS outcome FROM done),
+answered AS (SELECT qid, CASE outcome WHEN 'answered' THEN a.said WHEN 'too_large' THEN '{fx.TOO_LARGE_TEXT.replace("'", "''")}' WHEN 'ungrounded' THEN '{fx.UNGROUNDED_TEXT.replace("'", "''")}' ELSE '{fx.ABSTAIN_TEXT.replace("'", "''")}' END AS text,
+ outcome <> 'answered' AS abstained, CASE WHEN outcome = 'answered' THEN n_valid ELSE 0 END AS n_citations, CASE WHEN outcome = 'answered' THEN n_marks - n_valid ELSE 0 END AS stripped,
+ CASE WHEN ran THEN a.sufficient END AS sufficient, CASE WHEN ran THEN grounded END AS grounded, CASE WHEN ran THEN a.note END AS note,
+ CASE WHEN NOT ran THEN 0 WHEN again THEN 2 ELSE 1 END AS attempts, CASE WHEN NOT ran THEN 0 WHEN again AND NOT skips THEN 2 ELSE 1 END AS generated, CASE WHEN ran AND skips THEN 1 ELSE 0 END AS saved, outcome FROM named)"""
+
+
+def answered(spark, sf_dir) -> DataFrame:
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.expr(ASKED).alias("query"), F.when(F.col("item_id") % 6 == 3, "out_of_scope").alias("intent"))
     r = reranked(fused(spark, sf_dir), papers(spark, sf_dir), questions(spark, sf_dir), 16)
-    return answer_questions(questions(spark, sf_dir), r, "enforce")
+    return answer_questions(asked, r, "enforce")
 
 
-@query()
+@query(f"WITH {ANSWERED} SELECT * FROM answered")
+def answer_batch(spark, sf_dir):
+    """Every question end to end: guard, retrieve, rerank, assess, answer, try again, or decline."""
+    return answered(spark, sf_dir).drop("trace")
+
+
+@query(f"""WITH {ANSWERED}, t AS (SELECT qid, to_json(struct_pack(text := text, abstained := abstained, n_citations := n_citations, note := note, attempts := attempts, outcome := outcome)) AS trace FROM answered)
+SELECT sha256(concat(CAST(qid AS VARCHAR), '|', trace)) AS run_id, qid, CAST(trace AS VARCHAR) AS trace FROM t""")
 def run_log(spark, sf_dir):
-    """A record for each answered question, the trace as JSON."""
-    a = answer_batch(spark, sf_dir)
-    return a.select(F.expr("uuid()").alias("run_id"), "qid", F.to_json(F.struct("text", "abstained", "n_citations", "note")).alias("trace"))
+    """A record for each question, the trace as JSON, named by its content, kept in a store: saving it again adds nothing."""
+    fields = F.struct("text", "abstained", "n_citations", "note", "attempts", "outcome")
+    rows = answered(spark, sf_dir).select("qid", F.to_json(fields, {"ignoreNullFields": "false"}).alias("trace"))
+    rows = stored(rows.select(F.sha2(F.concat_ws("|", F.col("qid").cast("string"), "trace"), 256).alias("run_id"), "qid", "trace"))
+    log = Store(spark, f"{scratch(spark)}/runs-{uuid.uuid4().hex}", ["run_id"], 8).create(rows.limit(0))
+    for _ in range(2):
+        log.insert_if_absent(rows, ["run_id"])
+    return log.read()
 
 
 @query(f"""WITH {TURNS_SQL} SELECT kind, count(*) AS n, round(avg(CAST(refused AS DOUBLE)), 6) AS refusal_rate FROM (

@@ -10,11 +10,13 @@ from spindrift.functions import text as fx
 #: Share of the question's tokens that the context must hold, and of the answer's for it to be grounded.
 SUFFICIENT, GROUNDED = 0.4545, 0.5
 MOST_CHARS = 2000
-#: Passages of the first context, how many more the second attempt has, and the most there may be.
+#: Passages of the first context, how many more each further attempt has, and the most there may be.
 CONTEXT, WIDER, MOST_CONTEXT = 8, 4, 16
+#: Attempts that a question has.
+ATTEMPTS = 2
 #: Checks that only watch, or that act on what they find.
 MODES = ("monitor", "enforce")
-CANDIDATES = "array<struct<new_rank:bigint,id:bigint,text:string,paper:bigint>>"
+CANDIDATES = "array<struct<new_rank:bigint,id:bigint,text:string,paper:bigint,tokens:array<string>>>"
 
 
 def guardrail_mode(asked: str | None, default: str = "monitor") -> str:
@@ -23,13 +25,6 @@ def guardrail_mode(asked: str | None, default: str = "monitor") -> str:
     return mode if mode in MODES else default
 
 
-def extract(context: Column, query: Column) -> Column:
-    """The offline answerer: the first sentence of the first passage that shares a token, cited."""
-    best = F.filter(context, lambda c: F.size(F.array_intersect(fx.tokens(c["text"]), fx.tokens(query))) > 0)
-    said = F.concat(F.regexp_extract(best[0]["text"], r"(?s)^(.*?[.!?]|.*)(\s|$)", 1), F.lit(" ["), best[0]["new_rank"].cast("string"), F.lit("]"))
-    return F.when(F.size(best) > 0, said).otherwise(fx.ABSTAIN_TEXT)
-
-
 def joined(context: Column) -> Column:
     return F.array_join(F.transform(context, lambda c: c["text"]), " ")
 
@@ -54,58 +49,90 @@ def ambiguity(query: Column, context: Column, judged: Column | None = None) -> C
     )
 
 
-def sufficient(query: Column, context: Column, judged: Column | None = None) -> Column:
-    """No passages: no. Enough of the question's tokens: yes. Else a judge decides, and without one the answer is no."""
-    enough = fx.overlap(query, joined(context)) >= SUFFICIENT
-    return (F.size(context) > 0) & (enough | (F.lit(False) if judged is None else F.coalesce(judged, F.lit(True))))
+def shared(own: Column, context: Column) -> Column:
+    """Share of the tokens ``own`` that some passage of the context has; 0 if there are none."""
+    held = F.array_distinct(F.flatten(F.transform(context, lambda c: c["tokens"])))
+    return F.when(F.size(own) == 0, 0.0).otherwise(F.size(F.array_intersect(own, held)) / F.size(own))
+
+
+def attempt(rows: DataFrame, number: int) -> DataFrame:
+    """Add ``attempt_<number>`` (from 1) where the question is ``open``: what is made of the passages that its context has.
+
+    ``every`` are the passages with their ``tokens``, ``own`` the question's. Each step is a column of its
+    own, so that nothing is computed twice.
+    """
+    size = min(CONTEXT + (number - 1) * WIDER, MOST_CONTEXT)
+    rows = rows.withColumn("context", F.when(F.col("open"), F.slice("every", 1, size)))
+    best = F.filter("context", lambda c: F.arrays_overlap(c["tokens"], F.col("own")))
+    rows = rows.withColumn("best", F.try_element_at(best, F.lit(1)))
+    sentence = F.concat(F.regexp_extract(F.col("best.text"), r"(?s)^(.*?[.!?]|.*)(\s|$)", 1), F.lit(" ["), F.col("best.new_rank").cast("string"), F.lit("]"))
+    rows = rows.withColumn("said", F.coalesce(sentence, F.lit(fx.ABSTAIN_TEXT))).withColumn("marks", fx.cited("said"))
+    silent = F.col("said").startswith(fx.ABSTAIN_TEXT)
+    enough = (F.size("context") > 0) & (shared(F.col("own"), F.col("context")) >= SUFFICIENT)
+    made = F.struct(
+        F.lit(number).alias("number"), F.lit(size).alias("top_n"), enough.alias("sufficient"), "said", silent.alias("abstained"), (silent | (shared(fx.tokens("said"), F.col("context")) >= GROUNDED)).alias("grounded"),
+        F.size(F.filter("marks", lambda i: i.between(1, F.size("context")))).alias("valid"), F.size("marks").alias("marks"), ambiguity(F.col("query"), F.col("context")).alias("note"),
+    )
+    return rows.withColumn(f"attempt_{number}", F.when(F.col("open"), made)).drop("context", "best", "said", "marks")
 
 
 def answer_questions(questions: DataFrame, ranked: DataFrame, mode: str = "monitor") -> DataFrame:
-    """``(qid, text, abstained, n_citations, stripped, sufficient, grounded, note, attempts, outcome)``.
+    """``(qid, text, abstained, n_citations, stripped, sufficient, grounded, note, attempts, generated, saved, outcome, trace)``.
 
     ``ranked`` holds the reranked passages of each question ``(qid, new_rank, id, text)``, 16 of them if
     there are, and ``paper`` if it is known. Questions of no or too many characters, and those with an
-    ``intent`` of ``out_of_scope``, stop at once. The first context has eight passages. If it does not
-    suffice and checks are enforced, a second attempt has four more. Citations of passages that are
-    not in the context are stripped; an answer without grounds in it is declined if checks are enforced.
+    ``intent`` of ``out_of_scope``, stop at once. Attempts are a fold: the first context has eight passages, the
+    next one four more. If a context does not suffice and checks are enforced, an attempt that is not the last makes
+    no answer (``saved`` counts these). An answer that abstains or has no grounds in its context is tried
+    again; the last attempt answers in any case, and its answer counts. ``trace`` keeps every attempt
+    that made one. Citations of passages that are not in the context are stripped; a last answer without
+    grounds is declined if checks are enforced.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
     enforce = F.lit(mode == "enforce")
     paper = F.col("paper").cast("long") if "paper" in ranked.columns else F.col("id").cast("long")
-    items = ranked.where(F.col("new_rank") <= MOST_CONTEXT).select("qid", F.struct(F.col("new_rank").cast("long").alias("new_rank"), F.col("id").cast("long").alias("id"), "text", paper.alias("paper")).alias("x"))
+    item = F.struct(F.col("new_rank").cast("long").alias("new_rank"), F.col("id").cast("long").alias("id"), "text", paper.alias("paper"), fx.tokens("text").alias("tokens"))
+    items = ranked.where(F.col("new_rank") <= MOST_CONTEXT).select("qid", item.alias("x"))
     lists = items.groupBy("qid").agg(F.sort_array(F.collect_list("x")).alias("every"))
     rows = questions.join(lists, "qid", "left").withColumn("every", F.coalesce("every", F.array().cast(CANDIDATES)))
     fits = F.coalesce(F.length("query").between(1, MOST_CHARS), F.lit(False))
     scope = F.coalesce(F.col("intent") != "out_of_scope", F.lit(True)) if "intent" in questions.columns else F.lit(True)
-    first = F.slice("every", 1, CONTEXT)
-    again = enforce & fits & scope & ~sufficient(F.col("query"), first)
-    rows = rows.withColumn("fits", fits).withColumn("scope", scope).withColumn("again", again)
-    rows = rows.withColumn("context", F.when(F.col("again"), F.slice("every", 1, min(CONTEXT + WIDER, MOST_CONTEXT))).otherwise(first))
-    rows = rows.withColumn("enough", sufficient(F.col("query"), F.col("context"))).withColumn("said", extract(F.col("context"), F.col("query")))
-    rows = rows.withColumn("marks", fx.cited("said")).withColumn("valid", F.filter("marks", lambda i: i.between(1, F.size("context"))))
-    silent = F.col("said").startswith(fx.ABSTAIN_TEXT)
-    rows = rows.withColumn("grounded", silent | (fx.overlap("said", joined(F.col("context"))) >= GROUNDED))
+    rows = rows.withColumns({"fits": fits, "scope": scope, "open": fits & scope, "own": fx.tokens("query")})
+    made = []
+    for number in range(1, ATTEMPTS + 1):
+        # ``open``: an attempt is still to be made. It answers unless a check holds it back and another may follow.
+        now = f"attempt_{number}"
+        rows = attempt(rows, number)
+        held_back = enforce & ~F.col(now)["sufficient"] if number < ATTEMPTS else F.lit(False)
+        rows = rows.withColumn(f"skips_{number}", F.coalesce(F.col("open") & held_back, F.lit(False)))
+        again = F.col(f"skips_{number}") | F.col(now)["abstained"] | ~F.col(now)["grounded"]
+        rows = rows.withColumn("open", F.coalesce(F.col("open") & again, F.lit(False)))
+        made.append(F.when(~F.col(f"skips_{number}"), F.col(now)))
+    rows = rows.withColumn("trace", F.filter(F.array(*made), lambda a: a.isNotNull())).withColumn("last", F.try_element_at("trace", F.lit(-1)))
     outcome = (
         F.when(~F.col("fits"), "too_large")
         .when(~F.col("scope"), "out_of_scope")
-        .when(enforce & ~F.col("enough"), "insufficient")
-        .when(silent, "abstained")
-        .when(enforce & ~F.col("grounded"), "ungrounded")
+        .when(enforce & ~F.col("last.grounded"), "ungrounded")
+        .when(F.col("last.abstained"), "abstained")
         .otherwise("answered")
     )
     rows = rows.withColumn("outcome", outcome)
-    texts = F.create_map(*[F.lit(x) for x in ("too_large", fx.TOO_LARGE_TEXT, "out_of_scope", fx.ABSTAIN_TEXT, "insufficient", fx.ABSTAIN_TEXT, "abstained", fx.ABSTAIN_TEXT, "ungrounded", fx.UNGROUNDED_TEXT)])
+    texts = F.create_map(*[F.lit(x) for x in ("too_large", fx.TOO_LARGE_TEXT, "out_of_scope", fx.ABSTAIN_TEXT, "abstained", fx.ABSTAIN_TEXT, "ungrounded", fx.UNGROUNDED_TEXT)])
     answered = F.col("outcome") == "answered"
+    saved = sum((F.col(f"skips_{n}").cast("long") for n in range(1, ATTEMPTS + 1)), F.lit(0).cast("long"))
     return rows.select(
         "qid",
-        F.when(answered, F.col("said")).otherwise(F.try_element_at(texts, F.col("outcome"))).alias("text"),
+        F.when(answered, F.col("last.said")).otherwise(F.try_element_at(texts, F.col("outcome"))).alias("text"),
         (~answered).alias("abstained"),
-        F.when(answered, F.size("valid")).otherwise(0).cast("long").alias("n_citations"),
-        F.when(answered, F.size("marks") - F.size("valid")).otherwise(0).cast("long").alias("stripped"),
-        F.col("enough").alias("sufficient"),
-        "grounded",
-        ambiguity(F.col("query"), F.col("context")).alias("note"),
-        F.when(F.col("again"), 2).otherwise(1).alias("attempts"),
+        F.when(answered, F.col("last.valid")).otherwise(0).cast("long").alias("n_citations"),
+        F.when(answered, F.col("last.marks") - F.col("last.valid")).otherwise(0).cast("long").alias("stripped"),
+        F.col("last.sufficient").alias("sufficient"),
+        F.col("last.grounded").alias("grounded"),
+        F.col("last.note").alias("note"),
+        F.coalesce(F.col("last.number"), F.lit(0)).cast("long").alias("attempts"),
+        F.size("trace").cast("long").alias("generated"),
+        saved.alias("saved"),
         "outcome",
+        "trace",
     )

@@ -266,20 +266,24 @@ def test_answers_of_a_batch(spark):
     for mode in ("monitor", "enforce"):
         got = {r["qid"]: r for r in answer_questions(asked, ranked, mode).collect()}
         assert [got[q]["outcome"] for q in (1, 2, 3, 4)] == ["answered", "too_large", "too_large", "out_of_scope"]
-        assert got[1]["text"] == "Graphite conducts heat well. [1]" and got[1]["n_citations"] == 1 and got[1]["note"] is None
-        assert got[2]["text"] == fx.TOO_LARGE_TEXT and got[4]["text"] == fx.ABSTAIN_TEXT
-        assert got[0]["attempts"] == (2 if mode == "enforce" else 1)
-        assert got[0]["outcome"] == ("answered" if mode == "enforce" else "abstained") and got[0]["note"] == "diversity"
-        assert got[5]["outcome"] == ("insufficient" if mode == "enforce" else "abstained")
+        assert got[1]["text"] == "Graphite conducts heat well. [1]" and got[1]["n_citations"] == 1 and got[1]["note"] is None and got[1]["attempts"] == 1
+        assert got[2]["text"] == fx.TOO_LARGE_TEXT and got[4]["text"] == fx.ABSTAIN_TEXT and got[2]["attempts"] == 0 and got[2]["trace"] == []
+        # The first context holds nothing: it is held back, or its answer abstains, and the wider one answers.
+        assert got[0]["outcome"] == "answered" and got[0]["attempts"] == 2 and got[0]["note"] == "diversity"
+        assert (got[0]["generated"], got[0]["saved"]) == ((1, 1) if mode == "enforce" else (2, 0))
+        assert [a["abstained"] for a in got[0]["trace"]] == ([False] if mode == "enforce" else [True, False])
+        # Nothing at all: the last attempt answers although its context does not suffice.
+        assert got[5]["outcome"] == "abstained" and got[5]["attempts"] == 2 and got[5]["sufficient"] is False
     assert [guardrail_mode(x) for x in (None, "ENFORCE", "what")] == ["monitor", "enforce", "monitor"]
 
 
 def test_ambiguity_has_an_order(spark):
-    from spindrift.plans.answers import CANDIDATES, ambiguity
+    from spindrift.plans.answers import ambiguity
 
+    candidates = "array<struct<new_rank:bigint,id:bigint,text:string,paper:bigint>>"
     spread = [(i, i, f"In 7 parts, {i} things, 30 states from 500 questions", i) for i in range(1, 5)]
     cases = [("Are there 500 states from 30 questions? it", spread, "transposition"), ("what does it do", spread, "reference"), ("what is the GEM", spread, "diversity"), ("what is the GEM", spread[:2], None)]
-    frame = spark.createDataFrame([(i, q, c) for i, (q, c, _) in enumerate(cases)], f"i int, query string, context {CANDIDATES}")
+    frame = spark.createDataFrame([(i, q, c) for i, (q, c, _) in enumerate(cases)], f"i int, query string, context {candidates}")
     got = [r["n"] for r in frame.select("i", ambiguity(F.col("query"), F.col("context")).alias("n")).orderBy("i").collect()]
     assert got == [n for _, _, n in cases]
     judged = frame.select(ambiguity(F.col("query"), F.col("context"), F.lit("judge")).alias("n")).first()["n"]
