@@ -8,10 +8,10 @@ not add up to what is among the k best already is never read.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,7 +22,10 @@ from spindrift.operators.ranking import top_k
 from spindrift.session import small_side, stored
 
 #: Documents of a range, and words after which it ends early.
-RANGE_DOCS, RANGE_WORDS = 64, 1_000_000
+RANGE_DOCS, RANGE_WORDS = 256, 1_000_000
+
+#: Files of a bucket, at most; more for larger tables.
+BUCKET_FILES = 4
 
 #: Ranges of a question that are read first, to know what the others have to reach.
 FIRST_RANGES = 4
@@ -54,57 +57,83 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def inverted_ranges(docs: DataFrame, analyser: Analyser, id_col: str, text: Column) -> DataFrame:
+class Range:
+    """Documents of a range while they are read: a number for every word, inverted at once at the end."""
+
+    def __init__(self):
+        self.ids, self.dls, self.place, self.terms, self.docs, self.spots = [], [], {}, [], [], []
+        self.words = 0
+
+    def add(self, doc: int, terms: list[str | None]) -> None:
+        place = self.place
+        own = np.fromiter((-1 if t is None else place.setdefault(t, len(place)) for t in terms), np.int64, len(terms))
+        kept = np.flatnonzero(own >= 0)
+        self.terms.append(own[kept])
+        self.spots.append((kept + 1).astype(np.int32))
+        self.docs.append(np.full(len(kept), len(self.ids)))
+        self.ids.append(doc)
+        self.dls.append(len(kept))
+        self.words += len(kept)
+
+    def rows(self, name: int, schema: pa.Schema) -> pa.RecordBatch:
+        """A row without a term for the documents, and one for each term."""
+        terms, docs, spots = np.concatenate(self.terms), np.concatenate(self.docs), np.concatenate(self.spots)
+        order = np.argsort(terms, kind="stable")  # documents and places are in order already
+        terms, docs, spots = terms[order], docs[order], spots[order]
+        ends = lambda *keys: np.r_[np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1, len(terms)] if len(terms) else np.zeros(0, np.int64)
+        pair, term = ends(terms, docs), ends(terms)
+        tfs = np.diff(np.r_[0, pair])
+        doc = docs[pair - 1]
+        ids, dls = np.array(self.ids), np.array(self.dls)
+        per_term = np.searchsorted(pair, term, "right")  # pairs up to the end of each term
+        first = np.r_[0, len(ids), len(ids) + per_term].astype(np.int32)
+        none = np.r_[0, 0, per_term].astype(np.int32)
+        listed = lambda offsets, values, kind: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+        places = listed(np.r_[0, pair], spots, pa.int32())
+        columns = [
+            pa.array([None, *self.place], pa.string()), pa.array(np.full(len(term) + 1, name)), listed(first, np.r_[ids, ids[doc]], pa.int64()),
+            listed(none, tfs, pa.int32()), listed(first, np.r_[dls, dls[doc]], pa.int32()), pa.ListArray.from_arrays(pa.array(none), places),
+        ]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def inverted_ranges(docs: DataFrame, analyser: Analyser, id_col: str, text: Column, range_docs: int) -> DataFrame:
     """``(term, range, ids, tfs, dls, positions)``, and a row without a term for each range's documents."""
     kinds = [("term", pa.string()), ("range", pa.int64()), ("ids", pa.list_(pa.int64())), ("tfs", pa.list_(pa.int32())), ("dls", pa.list_(pa.int32())), ("positions", pa.list_(pa.list_(pa.int32())))]
     schema = pa.schema(kinds)
 
-    def rows(name: int, ids: list[int], dls: list[int], held: dict[str, dict[int, array]]) -> Iterator[pa.RecordBatch]:
-        out = [(None, name, ids, [], dls, [])]
-        for term, places in held.items():
-            out.append((term, name, [ids[i] for i in places], [len(p) for p in places.values()], [dls[i] for i in places], list(places.values())))
-        for at in range(0, len(out), 5000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, (_, t) in zip(zip(*out[at : at + 5000], strict=True), kinds, strict=True)], schema=schema)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, ids, dls, held, words = TaskContext.get().partitionId() << 32, [], [], {}, 0
+        name, held = TaskContext.get().partitionId() << 32, Range()
         for batch in batches:
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at = len(ids)
-                length = 0
-                for position, term in enumerate(analyser.terms(body)):
-                    if term is not None:
-                        length += 1
-                        held.setdefault(term, {}).setdefault(at, array("i")).append(position + 1)
-                ids.append(doc)
-                dls.append(length)
-                words += length
-                if len(ids) == RANGE_DOCS or words >= RANGE_WORDS:
-                    yield from rows(name, ids, dls, held)
-                    name, ids, dls, held, words = name + 1, [], [], {}, 0
-        if ids:
-            yield from rows(name, ids, dls, held)
+                held.add(doc, analyser.terms(body))
+                if len(held.ids) == range_docs or held.words >= RANGE_WORDS:
+                    yield held.rows(name, schema)
+                    name, held = name + 1, Range()
+        if held.ids:
+            yield held.rows(name, schema)
 
     held = docs.select(F.col(id_col).cast("long").alias("id"), text.cast("string").alias("t")).where("id is not null")
     return held.mapInArrow(run, "term string, range long, ids array<long>, tfs array<int>, dls array<int>, positions array<array<int>>")
 
 
-def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text: Column | str = "text", analyser: Analyser = PLAIN, k1: float = 1.2, b: float = 0.75, buckets: int = 64) -> Inverted:
+def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text: Column | str = "text", analyser: Analyser = PLAIN, k1: float = 1.2, b: float = 0.75, buckets: int = 64, range_docs: int = RANGE_DOCS) -> Inverted:
     """Write an index of ``docs`` to ``path``.
 
     Texts are read once. A task inverts its own ranges, so a term that is everywhere never meets in one
-    task: its rows are sorted by term and range over all tasks. Null ids are left out; a null text is empty.
+    task: its rows are dealt by bucket and range, and sorted by term. Null ids are left out; a null text is empty.
     """
-    ranges = stored(inverted_ranges(docs, analyser, id_col, F.col(text) if isinstance(text, str) else text))
+    ranges = stored(inverted_ranges(docs, analyser, id_col, F.col(text) if isinstance(text, str) else text, range_docs))
     sums = ranges.where("term is null").agg(F.sum(F.size("ids")).alias("n"), F.sum(F.aggregate("dls", F.lit(0).cast("long"), lambda a, x: a + x)).alias("words")).first()
     n, average = sums["n"] or 0, (sums["words"] or 0) / (sums["n"] or 1) or 1.0
     part = F.zip_with("tfs", "dls", lambda tf, dl: tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * dl / average)))
     rows = ranges.where("term is not null").withColumns({"bucket": bucket_of(F.col("term"), buckets), "impact": F.array_max(part)})
-    order = ("bucket", "term", "range")
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/postings")
+    # A bucket is dealt into parts by range as well, so that one with a term of all documents is several files.
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("range"), F.lit(BUCKET_FILES)))
+    dealt.sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/postings")
     spark = docs.sparkSession
     terms = rows.groupBy("bucket", "term").agg(F.sum(F.size("ids")).alias("df"))
-    terms.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
     index = Inverted(path, analyser, buckets, int(n), float(average), k1, b)
     spark.createDataFrame([(index.n, index.average, k1, b, buckets, analyser.english)], "n long, average double, k1 double, b double, buckets int, english boolean").coalesce(1).write.parquet(f"{path}/meta")
     return index

@@ -74,7 +74,7 @@ ASKED = [(1, "w1 w2 w3"), (2, "w25 w30 nowhere"), (3, "nowhere"), (4, ""), (5, "
 def test_pruned_search_equals_a_full_one(spark, folder, k):
     rows = corpus()
     docs, asked = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(ASKED, "qid long, query string")
-    inverted.build_index(docs, folder, buckets=16)
+    inverted.build_index(docs, folder, buckets=16, range_docs=64)
     index = inverted.open_index(spark, folder)
     got = lambda df: sorted((r.qid, r.id, round(r.score, 5), r["rank"]) for r in df.collect())
     want = lambda found: sorted((q, i, round(s, 5), r) for q, i, s, r in found)
@@ -85,7 +85,7 @@ def test_pruned_search_equals_a_full_one(spark, folder, k):
 
 def test_a_question_opens_its_terms_files_and_skips_ranges(spark, folder):
     docs = spark.createDataFrame(corpus(n=3000), "doc_id long, text string").coalesce(1)
-    index = inverted.build_index(docs, folder, buckets=64)
+    index = inverted.build_index(docs, folder, buckets=64, range_docs=64)
     weights = inverted.weighted_terms(index, spark.createDataFrame([(1, "w41 w43 w44 w47")], "qid long, query string"))
     read = inverted.only_asked(index.postings(spark), weights)
     plan = read._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
