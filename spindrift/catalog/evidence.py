@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from spindrift.adapters import PAPERS_SQL, TURNS_SQL, papers, questions, table, turns
 from spindrift.catalog.base import query
 from spindrift.catalog.relations import sections
-from spindrift.catalog.retrieval import RERANKED, fused, overlap_sql, reranked, tokens_sql
+from spindrift.catalog.retrieval import JUDGED, QT, RERANKED, bm25_sql, fused, judged, metrics_sql, overlap_sql, rank_sql, reranked, tokens_sql
 from spindrift.functions import text as fx
 from spindrift.functions.embedding import hash_embed
 from spindrift.operators import chunking
+from spindrift.operators.evaluation import chunking_scores, strategies_of_note
 from spindrift.operators.store import Store
 from spindrift.plans.answers import ambiguity, answer_questions
 from spindrift.session import scratch, stored
@@ -93,11 +94,29 @@ r AS (SELECT *, row_number() OVER (ORDER BY ndcg DESC, ord) AS by_ndcg, row_numb
 SELECT 'winner' AS role, strategy FROM r WHERE by_ndcg = 1 UNION ALL SELECT 'median', strategy FROM r WHERE by_ndcg = n // 2 + 1 UNION ALL SELECT 'efficient', strategy FROM r WHERE by_cost = 1""")
 def select_variants(spark, sf_dir):
     """The best strategy, the median one, and the one with most quality for its passages."""
-    s = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_chunks"), F.round(F.avg("n_chars") / 10000.0, 6).alias("ndcg"))
-    w = Window.partitionBy(F.lit(0))
-    r = s.withColumn("by_ndcg", F.row_number().over(w.orderBy(F.desc("ndcg"), "source"))).withColumn("by_cost", F.row_number().over(w.orderBy((F.col("ndcg") / F.greatest("n_chunks", F.lit(1))).desc(), "source"))).withColumn("n", F.count("*").over(w))
-    pick = lambda role, cond: r.where(cond).select(F.lit(role).alias("role"), F.col("source").alias("strategy"))
-    return pick("winner", "by_ndcg = 1").unionByName(pick("median", "by_ndcg = floor(n / 2) + 1")).unionByName(pick("efficient", "by_cost = 1"))
+    s = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("strategy")).agg(F.count("*").alias("n_chunks"), F.round(F.avg("n_chars") / 10000.0, 6).alias("ndcg"))
+    return strategies_of_note(s)
+
+
+def chunk_sql(name: str, size: int, step: int) -> str:
+    return f"""{name}_c AS (SELECT doc_id * 1000000 + i AS id, doc_id AS paper, substr(text, CAST(i * {step} + 1 AS BIGINT), {size}) AS text
+ FROM (SELECT *, unnest(range(CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= {size} THEN 1 ELSE CAST(ceil((length(text) - {size}) / {step}.0) AS BIGINT) + 1 END)) AS i FROM papers)),
+{bm25_sql('text', name=name).replace('doc_id AS id', 'id').replace('FROM papers', f'FROM {name}_c')},
+{name}_l AS ({rank_sql(name, 50)}), {name}_f AS (SELECT qid, paper, min(rank) AS rank FROM {name}_l JOIN {name}_c ON {name}_c.id = {name}_l.id GROUP BY qid, paper),
+{name}_r AS (SELECT qid, paper AS id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM {name}_f), {metrics_sql(f'{name}_r', 10, f'{name}_m')}"""
+
+
+def scored_sql(strategy: str, name: str) -> str:
+    return f"SELECT '{strategy}' AS strategy, (SELECT count(*) FROM {name}_c) AS n_chunks, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg FROM {name}_m"
+
+
+@query(f"WITH {PAPERS_SQL}, {QT}, {JUDGED}, {chunk_sql('ov', 1600, 1400)}, {chunk_sql('no', 1600, 1600)} {scored_sql('fixed_overlap', 'ov')} UNION ALL {scored_sql('fixed_no_overlap', 'no')}")
+def chunk_strategy_ndcg(spark, sf_dir):
+    """How well each way of cutting finds the judged documents: passages ranked, rolled up to their documents, scored."""
+    s, marks = sections(spark, sf_dir), judged(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("paper_id").orderBy("char_start")) - 1
+    cut = {name: chunking.strategies(hash_embed)[name](s).select((F.col("paper_id").cast("long") * 1_000_000 + place).alias("no"), F.col("paper_id").cast("long").alias("paper"), "text") for name in ("fixed_overlap", "fixed_no_overlap")}
+    return chunking_scores(cut, questions(spark, sf_dir), marks)
 
 
 @query(f"""WITH {SECTIONS_SQL}, c AS (SELECT paper_id, sha256(concat(paper_id, text)) AS chunk_id, section_no FROM secs)

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from spindrift.adapters import PAPERS_SQL, VECTORS_SQL, papers, table, vectors
 from spindrift.catalog.base import query
+from spindrift.functions.embedding import hash_embed
 from spindrift.functions.text import content_id
 from spindrift.operators import store
 from spindrift.operators.chunking import fixed_windows
 from spindrift.operators.dense import cosine_topk
 from spindrift.operators.filters import Filters, author_contains, author_tokens, categories, condition, visible
+from spindrift.plans.reindex import reindex
 from spindrift.session import scratch
 
 CHUNKS_SQL = f"""{PAPERS_SQL}, chunks AS (
@@ -280,6 +282,25 @@ def index_upsert(spark, sf_dir):
     return stored(old, ["chunk_id"], lambda now: now.upsert(rows, ["chunk_id"]))
 
 
+@query(f"""WITH {CHUNKS_SQL} SELECT DISTINCT chunk_id, c.paper_id, p.title, CASE WHEN c.doc_id % 2 = 0 THEN 'hashed' END AS index_model, CASE WHEN c.doc_id % 2 = 0 THEN 64 END AS dim, CASE WHEN c.doc_id % 2 = 0 THEN 'hashed' ELSE 'old' END AS noted
+FROM chunks c JOIN papers p ON p.paper_id = c.paper_id""")
+def reindex_store(spark, sf_dir):
+    """Stores of papers and passages rebuilt as an index: half with vectors, noted on the passages, half without."""
+    root = f"{scratch(spark)}/reindex-{uuid.uuid4().hex}"
+    p = store.Store(spark, f"{root}/papers", ["paper_id"], 8).create(papers(spark, sf_dir).select("paper_id", "title"))
+    held = chunks(spark, sf_dir).select("chunk_id", "paper_id", "text", F.lit("old").alias("embedding_model"), F.lit(1).alias("embedding_dim")).dropDuplicates(["chunk_id"])
+    even, out = F.col("paper_id").cast("long") % 2 == 0, []
+    for name, part, embed in (("even", even, hash_embed), ("odd", ~even, None)):
+        c = store.Store(spark, f"{root}/{name}", ["chunk_id"], 8).create(held.where(part))
+        target = store.Store(spark, f"{root}/{name}-index", ["chunk_id"], 8)
+        for _ in range(2):
+            reindex(c, p, target, embed, "hashed")
+        noted = c.read().select("chunk_id", F.col("embedding_model").alias("noted"))
+        index = target.read().select("chunk_id", "paper_id", "title", F.col("embedding_model").alias("index_model"), F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dim"))
+        out.append(index.join(noted, "chunk_id"))
+    return out[0].unionByName(out[1])
+
+
 @query("SELECT event_type, count(*) AS total, count(*) FILTER (WHERE value IS NULL OR value >= 300) AS failed FROM events GROUP BY event_type")
 def bulk_errors(spark, sf_dir):
     """Results of bulk writes, an event's value read as its status, by the kind of event."""

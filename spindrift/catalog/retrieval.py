@@ -89,7 +89,7 @@ def bm25_topk(spark, sf_dir):
 @query(f"WITH {PAPERS_SQL}, {QT}, {bm25_sql('text')}, {bm25_sql('title', name='bt')}, best AS (SELECT qid, id, max(score) AS score FROM (SELECT * FROM bm UNION ALL SELECT qid, id, round(score * 2.0::DOUBLE, 6) FROM bt) GROUP BY qid, id) {rank_sql('best', 50)}")
 def bm25_multifield(spark, sf_dir):
     """The best of the text and twice the title."""
-    return top_k(best_field(papers(spark, sf_dir), questions(spark, sf_dir), "doc_id", {"text": 1.0, "title": 2.0}), 50)
+    return best_field(papers(spark, sf_dir), questions(spark, sf_dir), "doc_id", {"text": 1.0, "title": 2.0}, 50)
 
 
 @query(f"WITH {PAPERS_SQL}, {QT}, {bm25_sql(chr(39).join(['concat(title, ', '. ', ', text)']), '0.9', '0.4')} {rank_sql('bm', 10)}")
@@ -99,7 +99,7 @@ def bm25_contents(spark, sf_dir):
     return bm25_topk_of(p, questions(spark, sf_dir), 10, "doc_id", F.concat("title", F.lit(". "), "text"), 0.9, 0.4)
 
 
-@query(f"""WITH {PAPERS_SQL}, q AS (SELECT item_id AS qid, array_to_string(list_slice(regexp_extract_all(lower(text), '[a-z0-9]+'), 1, 3), ' ') AS query FROM benchmark),
+@query(f"""WITH {PAPERS_SQL}, q AS (SELECT item_id AS qid, text AS query FROM benchmark),
 qt AS (SELECT DISTINCT qid, term FROM (SELECT qid, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM q)),
 w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM papers),
 tf AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM w) GROUP BY id, term),
@@ -107,10 +107,8 @@ need AS (SELECT qid, count(*) AS need FROM qt GROUP BY qid),
 hit AS (SELECT qid, id, count(*) AS have, sum(tf) AS tf, max(dl) AS dl FROM qt JOIN tf USING (term) GROUP BY qid, id),
 s AS (SELECT hit.qid, id, round(tf::DOUBLE / dl, 6) AS score FROM hit JOIN need ON hit.qid = need.qid WHERE have = need) {rank_sql('s', 50)}""")
 def lexical_all_terms(spark, sf_dir):
-    """Every term must occur; the questions are the first three words of each passage."""
-    short = F.array_join(F.slice(F.regexp_extract_all(F.lower("query"), F.lit("[a-z0-9]+"), F.lit(0)), 1, 3), " ")
-    q = questions(spark, sf_dir).select("qid", short.alias("query"))
-    return top_k(all_terms(papers(spark, sf_dir), q, "doc_id", F.col("text")), 50)
+    """Every term of the question must occur."""
+    return top_k(all_terms(papers(spark, sf_dir), questions(spark, sf_dir), "doc_id", F.col("text")), 50)
 
 
 @query(f"WITH {HYBRID} SELECT qid, list_no, rank, id FROM lists")

@@ -9,7 +9,7 @@ from spindrift.adapters import table
 from spindrift.catalog.base import query
 from spindrift.functions.text import cache_key as key_of
 from spindrift.operators.metrics import floor_percentiles
-from spindrift.operators.temporal import admit, cache_hits
+from spindrift.operators.temporal import admit, cache_hits, may_cache
 from spindrift.session import scratch
 from spindrift.streaming.jobs import drain, ingest_new, tumbling_counts
 from spindrift.streaming.state import Cache, Jobs, Limiter, keyed, latest_status, state_on_disk
@@ -47,6 +47,21 @@ def ttl_cache_hits(spark, sf_dir):
     return cache_hits(e, 86_400)
 
 
+FAILOVER = "event_type <> 'error' AND (event_id % 11 = 0 OR CASE WHEN event_id % 4 = 0 THEN 'b' ELSE 'a' END = CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END)"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT concat(CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END, CAST(user_id % 50 AS VARCHAR)) AS key, {SECONDS} AS seconds, event_id, {FAILOVER} AS cacheable, row_number() OVER (PARTITION BY user_id % 50 ORDER BY {SECONDS}, event_id) AS i FROM events),
+r AS (SELECT key, seconds, event_id, i, false AS hit, CASE WHEN cacheable THEN seconds + 86400 ELSE -1 END AS until FROM e WHERE i = 1
+ UNION ALL SELECT e.key, e.seconds, e.event_id, e.i, e.seconds < r.until, CASE WHEN e.seconds >= r.until AND e.cacheable THEN e.seconds + 86400 ELSE r.until END FROM r JOIN e ON e.key = r.key AND e.i = r.i + 1)
+SELECT key, seconds, event_id, hit FROM r""")
+def ttl_cache_failover(spark, sf_dir):
+    """Keys name the nominal index; what another index served in its place, after a failover, is not cached."""
+    nominal = F.when(F.col("user_id") % 2 == 0, "a").otherwise("b")
+    served = F.when(F.col("event_id") % 11 == 0, None).when(F.col("event_id") % 4 == 0, "b").otherwise("a")
+    key = F.concat(nominal, (F.col("user_id") % 50).cast("string")).alias("key")
+    return cache_hits(events(spark, sf_dir).select(key, "seconds", "event_id", may_cache(F.col("event_type") != "error", served, nominal).alias("cacheable")), 86_400)
+
+
 @query("SELECT conv_id, turn, concat('answer:', sha256(concat(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '|', 'default', '|', 'a'))) AS key FROM conversations WHERE text IS NOT NULL")
 def cache_key(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("text is not null")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.operators import metrics
+from spindrift.operators.lexical import bm25_topk
 from spindrift.session import stored
 
 METRICS = ("recall", "ndcg", "mrr")
@@ -53,3 +54,28 @@ def evaluate(configurations: list[Configuration], judged: DataFrame, k: int = 10
         one = one.withColumns({"config": F.lit(c.name), "needs": F.lit(c.needs)})
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def chunking_scores(cut: dict[str, DataFrame], queries: DataFrame, judged: DataFrame, k: int = 10, recall_size: int = 50) -> DataFrame:
+    """``(strategy, n_chunks, recall, ndcg)``: each strategy's passages ``(no, paper, text)`` are ranked for all questions,
+    rolled up to papers by the first rank, and scored against judgements of papers ``(qid, id, grade)``."""
+    judged, out = stored(judged), None
+    for name, chunks in cut.items():
+        chunks = stored(chunks)
+        found = bm25_topk(chunks, queries, recall_size, "no", F.col("text")).join(chunks.select(F.col("no").alias("id"), "paper"), "id")
+        first = found.groupBy("qid", F.col("paper").alias("id")).agg(F.min("rank").alias("first"))
+        ranked = stored(first.select("qid", "id", F.row_number().over(Window.partitionBy("qid").orderBy("first")).alias("rank")))
+        each = metrics.recall(ranked, judged, k).join(metrics.ndcg(ranked, judged, k), "qid")
+        one = each.agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("ndcg"), 6).alias("ndcg")).select(F.lit(name).alias("strategy"), F.lit(chunks.count()).cast("long").alias("n_chunks"), "recall", "ndcg")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def strategies_of_note(results: DataFrame) -> DataFrame:
+    """``(role, strategy)`` of results ``(strategy, n_chunks, ndcg)``: the best, the median, and the best for its number of
+    passages; ties to the smaller name. Each is a place in a sorted table, so no task sees all rows."""
+    results = stored(results)
+    by_ndcg = results.orderBy(F.desc("ndcg"), "strategy")
+    by_cost = results.orderBy((F.col("ndcg") / F.greatest("n_chunks", F.lit(1))).desc(), "strategy")
+    pick = lambda role, rows: rows.limit(1).select(F.lit(role).alias("role"), "strategy")
+    return pick("winner", by_ndcg).unionByName(pick("median", by_ndcg.offset(results.count() // 2))).unionByName(pick("efficient", by_cost))

@@ -148,13 +148,16 @@ def scorer(shared, k: int, k1: float, b: float):
     return run
 
 
-def best_field(docs: DataFrame, queries: DataFrame, id_col: str, fields: dict[str, float]) -> DataFrame:
-    """Score of the best field, each with its weight."""
-    parts = [bm25_scores(docs, queries, id_col, F.col(f)).withColumn("score", F.round(F.col("score") * weight, 6)) for f, weight in fields.items()]
+def best_field(docs: DataFrame, queries: DataFrame, id_col: str, fields: dict[str, float], k: int) -> DataFrame:
+    """The k best documents of each question by their best field, each field with its weight.
+
+    A document among the k best is among the k best of the field that counts for it, so only these are shuffled.
+    """
+    parts = [bm25_topk(docs, queries, k, id_col, F.col(f)).select("qid", "id", F.round(F.col("score") * weight, 6).alias("score")) for f, weight in fields.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.repartition("qid", "id").groupBy("qid", "id").agg(F.max("score").alias("score"))  # see fuse
+    return top_k(out.repartition("qid", "id").groupBy("qid", "id").agg(F.max("score").alias("score")), k)  # see fuse
 
 
 def all_terms(docs: DataFrame, queries: DataFrame, id_col: str, text: Column) -> DataFrame:

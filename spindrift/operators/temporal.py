@@ -16,6 +16,11 @@ def admit(calls: DataFrame, caller: str, seconds: Column, order: list, limit: in
     return out.withColumn("admitted", F.row_number().over(w) <= limit)
 
 
+def may_cache(ok: Column, served: Column, nominal: Column) -> Column:
+    """A result may be cached if it is one and what served it is what its key names; one that no index served is safe."""
+    return F.coalesce(ok, F.lit(False)) & (served.isNull() | F.coalesce(served == nominal, F.lit(False)))
+
+
 def cache_hits(events: DataFrame, ttl: int) -> DataFrame:
     """Add ``hit`` to events ``(key, seconds, event_id, cacheable)``.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,22 +13,50 @@ from spindrift.functions.text import overlap
 from spindrift.operators.dense import cosine_topk
 from spindrift.operators.filters import Filters, condition, sanitised
 from spindrift.operators.fusion import fuse, rerank
+from spindrift.operators.inverted import Inverted, search, search_fields
+from spindrift.operators.ivf import VectorIndex, search_vectors
 from spindrift.operators.lexical import bm25_topk
+from spindrift.operators.positional import positional_topk
 
 RECALL = 50
 #: Variants that a question may have.
 VARIANTS = 64
 
 
-def arms(docs: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, recall: int = RECALL, eligible: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Backend:
+    """Where a search reads: indexes by term, of one field or several with weights, or one whose terms must all occur
+    (``every_term``), and an index of vectors if there is one (without filters, which are exact only on the vectors)."""
+
+    fields: tuple[tuple[Inverted, float], ...]
+    vectors: VectorIndex | None = None
+    every_term: bool = False
+
+    def lexical(self, queries: DataFrame, k: int, eligible: DataFrame | None = None) -> DataFrame:
+        if self.every_term:
+            return positional_topk(self.fields[0][0], queries, k, eligible=eligible)
+        if len(self.fields) == 1:
+            return search(self.fields[0][0], queries, k, eligible)
+        return search_fields(list(self.fields), queries, k, eligible)
+
+
+def arms(docs: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, recall: int = RECALL, eligible: DataFrame | None = None, index: DataFrame | None = None, backend: Backend | None = None) -> DataFrame:
     """``(qid, list_no, rank, id)``: the lexical list (0) and the dense list (1) of every question.
 
-    ``eligible`` ids restrict both lists alike. ``index`` is a stored table of postings.
+    ``eligible`` ids restrict both lists alike. ``index`` is a stored table of postings. A ``backend`` of
+    stored indexes takes the place of reading documents and vectors.
     """
-    lexical = bm25_topk(docs, queries, recall, "doc_id", F.col("text"), eligible=eligible, index=index).select("qid", F.lit(0).alias("list_no"), "rank", "id")
-    held = vectors if eligible is None else vectors.join(eligible.select(F.col(eligible.columns[0]).alias("vec_id")), "vec_id", "left_semi")
-    dense = cosine_topk(held, query_vectors, recall).select("qid", F.lit(1).alias("list_no"), "rank", "id")
-    return lexical.unionByName(dense)
+    if backend is not None:
+        lexical = backend.lexical(queries, recall, eligible)
+    else:
+        lexical = bm25_topk(docs, queries, recall, "doc_id", F.col("text"), eligible=eligible, index=index)
+    if backend is not None and backend.vectors is not None and eligible is None:
+        dense = search_vectors(backend.vectors, query_vectors, recall)
+    else:
+        held = vectors if eligible is None else vectors.join(eligible.select(F.col(eligible.columns[0]).alias("vec_id")), "vec_id", "left_semi")
+        dense = cosine_topk(held, query_vectors, recall)
+    name = lambda found, no: found.select("qid", F.lit(no).alias("list_no"), "rank", "id")
+    return name(lexical, 0).unionByName(name(dense, 1))
 
 
 def retrieve(docs: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, top: int = RECALL) -> DataFrame:
