@@ -19,7 +19,7 @@ from spindrift.functions.embedding import hash_embed
 from spindrift.operators import chunking
 from spindrift.operators.evaluation import chunking_scores, strategies_of_note
 from spindrift.operators.store import Store
-from spindrift.plans.answers import ambiguity, answer_questions
+from spindrift.plans.answers import ambiguity, answer_questions, refusals, shared, sufficient
 from spindrift.session import scratch, stored
 from spindrift.sources import parsers
 
@@ -279,14 +279,15 @@ def ambiguity_signal(spark, sf_dir):
     return c.select("qid", ambiguity(F.expr(JUDGED_QUERY), F.col("context"), judge).alias("note"))
 
 
-@query(f"""WITH {RERANKED}, c AS (SELECT qid, any_value(query) AS query, string_agg(text, ' ' ORDER BY new_rank) AS context FROM rr GROUP BY qid),
-s AS (SELECT qid, round({overlap_sql('query', 'context')}, 6) AS overlap FROM c) SELECT qid, overlap, overlap >= 0.4545 AS passed FROM s""")
+@query(f"""WITH {RERANKED}, c AS (SELECT qid, CASE WHEN qid % 3 = 0 THEN concat(left(query, 9), ' tungsten graphite basalt quartz') ELSE query END AS query, string_agg(text, ' ' ORDER BY new_rank) AS context FROM rr GROUP BY qid, query),
+s AS (SELECT qid, round({overlap_sql('query', 'context')}, 6) AS overlap FROM c) SELECT qid, overlap, overlap >= 0.4545 OR CASE qid % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true ELSE false END AS passed FROM s""")
 def context_sufficiency(spark, sf_dir):
-    """Whether the context holds enough of the question's tokens; the rest would go to a judge."""
+    """Whether the context holds enough of the question's tokens; else a judge says yes or no, or cannot be asked (every fourth)."""
     r = reranked(fused(spark, sf_dir), papers(spark, sf_dir), questions(spark, sf_dir))
-    c = r.groupBy("qid").agg(F.first("query").alias("query"), context_of("new_rank", " ").alias("context"))
-    s = c.select("qid", F.round(fx.overlap("query", "context"), 6).alias("overlap"))
-    return s.withColumn("passed", F.col("overlap") >= 0.4545)
+    asked = F.when(F.col("qid") % 3 == 0, F.concat(F.expr("left(query, 9)"), F.lit(" tungsten graphite basalt quartz"))).otherwise(F.col("query"))
+    c = r.groupBy("qid", "query").agg(F.collect_list(F.struct("text", fx.tokens("text").alias("tokens"))).alias("context")).withColumn("own", fx.tokens(asked))
+    judge = F.when(F.col("qid") % 4 != 2, F.col("qid") % 4 == 0)
+    return c.select("qid", F.round(shared(F.col("own"), F.col("context")), 6).alias("overlap"), sufficient(F.col("own"), F.col("context"), judge).alias("passed"))
 
 
 def context_of(order: str, joiner: str):
@@ -399,8 +400,9 @@ answered AS (SELECT qid, CASE outcome WHEN 'answered' THEN a.said WHEN 'too_larg
  CASE WHEN NOT ran THEN 0 WHEN again THEN 2 ELSE 1 END AS attempts, CASE WHEN NOT ran THEN 0 WHEN again AND NOT skips THEN 2 ELSE 1 END AS generated, CASE WHEN ran AND skips THEN 1 ELSE 0 END AS saved, outcome FROM named)"""
 
 
-def answered(spark, sf_dir) -> DataFrame:
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.expr(ASKED).alias("query"), F.when(F.col("item_id") % 6 == 3, "out_of_scope").alias("intent"))
+def answered(spark, sf_dir, down=None) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark")
+    asked = b.select(F.col("item_id").alias("qid"), F.expr(ASKED).alias("query"), F.when(F.col("item_id") % 6 == 3, "out_of_scope").alias("intent"), *([] if down is None else [down.alias("down")]))
     r = reranked(fused(spark, sf_dir), papers(spark, sf_dir), questions(spark, sf_dir), 16)
     return answer_questions(asked, r, "enforce")
 
@@ -424,14 +426,12 @@ def run_log(spark, sf_dir):
     return log.read()
 
 
-@query(f"""WITH {TURNS_SQL} SELECT kind, count(*) AS n, round(avg(CAST(refused AS DOUBLE)), 6) AS refusal_rate FROM (
- SELECT CASE turn % 3 WHEN 0 THEN 'false_premise' WHEN 1 THEN 'out_of_corpus' ELSE 'under_specified' END AS kind, length(answer) % 2 = 0 AS refused FROM turns WHERE length(answer) % 7 <> 0) GROUP BY ROLLUP (kind)""")
+@query(f"""WITH {ANSWERED}, o AS (SELECT CASE qid % 3 WHEN 0 THEN 'false_premise' WHEN 1 THEN 'out_of_corpus' ELSE 'under_specified' END AS kind, CASE WHEN qid % 7 = 0 AND outcome NOT IN ('too_large', 'out_of_scope') THEN 'failed' ELSE outcome END AS outcome FROM answered)
+SELECT kind, count(*) FILTER (WHERE outcome <> 'failed') AS n, count(*) FILTER (WHERE outcome = 'failed') AS n_failed, round(avg(CASE WHEN outcome <> 'failed' THEN CAST(outcome <> 'answered' AS DOUBLE) END), 6) AS refusal_rate FROM o GROUP BY ROLLUP (kind)""")
 def abstention_rollup(spark, sf_dir):
-    """Refusals by kind and overall; failures of the service are left out first."""
-    t = turns(spark, sf_dir).where(F.length("answer") % 7 != 0)
-    kind = F.element_at(F.array(*[F.lit(x) for x in ("false_premise", "out_of_corpus", "under_specified")]), (F.col("turn") % 3 + 1).cast("int"))
-    r = t.select(kind.alias("kind"), (F.length("answer") % 2 == 0).cast("double").alias("refused"))
-    return r.rollup("kind").agg(F.count("*").alias("n"), F.round(F.avg("refused"), 6).alias("refusal_rate"))
+    """Refusals by kind and overall; questions that the service failed on are counted apart."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("false_premise", "out_of_corpus", "under_specified")]), (F.col("qid") % 3 + 1).cast("int"))
+    return refusals(answered(spark, sf_dir, F.col("item_id") % 7 == 0).withColumn("kind", kind))
 
 
 @query("""WITH r AS (SELECT source, CASE WHEN max(doc_id) % 5 = 0 THEN NULL ELSE round(avg(CAST(n_chars % 2 = 0 AS DOUBLE)), 6) END AS rate FROM documents GROUP BY source)

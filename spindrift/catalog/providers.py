@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from spindrift.adapters import papers, questions, table
 from spindrift.catalog.base import query
 from spindrift.catalog.retrieval import JUDGED, RERANKED, arms_union_all, fuse, fused, judged, metrics_sql, tokens_sql
+from spindrift.functions.embedding import hash_embed
 from spindrift.operators.evaluation import METRICS, Configuration, evaluate
-from spindrift.plans.providers import question_share, rerank_ladder, role_ladders, text_share
+from spindrift.plans.providers import embed_ladder, question_share, rerank_ladder, role_ladders, text_share
 from spindrift.session import stored
 from spindrift.sources.dispatch import parse_files
 
@@ -60,6 +61,27 @@ def role_ladder(spark, sf_dir):
     return role_ladders(bindings, overrides)
 
 
+def turns_away(embed, every: int):
+    """An embedder that cannot take texts of some lengths."""
+
+    def run(texts: list[str]):
+        if any(len(t) % every == 0 for t in texts):
+            raise ConnectionError("turned away")
+        return embed(texts)
+
+    return run
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) % 5 <> 0 THEN 'first' WHEN length(text) % 2 <> 0 THEN 'second' END AS provider,
+ CASE WHEN length(text) % 5 <> 0 THEN 64 WHEN length(text) % 2 <> 0 THEN 32 END AS dim,
+ CASE WHEN length(text) % 5 <> 0 THEN NULL WHEN length(text) % 2 <> 0 THEN 'first: ConnectionError: turned away' ELSE 'first: ConnectionError: turned away; second: ConnectionError: turned away' END AS reason FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""")
+def embed_ladder_served(spark, sf_dir):
+    """Embeddings by the first provider that takes a text; the second one has another width, and some texts have none."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = embed_ladder(d, [("first", turns_away(hash_embed, 5)), ("second", turns_away(lambda t: hash_embed(t, 32), 2))], "doc_id")
+    return out.select("doc_id", "provider", F.when(F.col("vector").isNotNull(), F.size("vector")).alias("dim"), "reason")
+
+
 def status_sql(name: str, needs: str, source: str, failed: str = "false", status: str = "ran") -> str:
     """A configuration whose questions fail where ``failed`` holds; a failure is a miss."""
     means = ", ".join(f"round(avg(CASE WHEN failed THEN 0 ELSE {m} END), 6) AS {m}, round(avg(CASE WHEN NOT failed THEN {m} END), 6) AS {m}_answered" for m in METRICS)

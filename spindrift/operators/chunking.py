@@ -131,15 +131,29 @@ def semantic(sections: DataFrame, embed: Callable[[list[str]], np.ndarray], leas
     return rows.select("paper_id", "section_no", "heading", F.col("g.part").alias("text"), (F.col("base") + F.col("g.a")).alias("char_start"), (F.col("base") + F.col("g.b")).alias("char_end"), content_id("paper_id", F.col("g.part")).alias("chunk_id"))
 
 
-def strategies(embed: Callable[[list[str]], np.ndarray]) -> dict[str, Callable[[DataFrame], DataFrame]]:
-    """Chunkers by name; callers may add their own."""
-    return {
-        "fixed_no_overlap": lambda s: fixed_windows(s, overlap=0),
-        "fixed_overlap": fixed_windows,
-        "recursive_separator": recursive_separator,
-        "structure_aware": structure_aware,
-        "semantic": lambda s: semantic(s, embed),
-    }
+Chunker = Callable[[DataFrame], DataFrame]
+Embed = Callable[[list[str]], np.ndarray]
+
+#: Chunkers by name, each made from an embedding.
+REGISTERED: dict[str, Callable[[Embed], Chunker]] = {
+    "fixed_no_overlap": lambda embed: lambda s: fixed_windows(s, overlap=0),
+    "fixed_overlap": lambda embed: fixed_windows,
+    "recursive_separator": lambda embed: recursive_separator,
+    "structure_aware": lambda embed: structure_aware,
+    "semantic": lambda embed: lambda s: semantic(s, embed),
+}
+
+
+def register(name: str, make: Callable[[Embed], Chunker]) -> None:
+    """Add a chunker; a name is given once."""
+    if name in REGISTERED:
+        raise ValueError(f"{name} is registered already")
+    REGISTERED[name] = make
+
+
+def strategies(embed: Embed) -> dict[str, Chunker]:
+    """All registered chunkers by name."""
+    return {name: make(embed) for name, make in REGISTERED.items()}
 
 
 def dedup_by_id(chunks: DataFrame, order: list[str]) -> DataFrame:

@@ -12,6 +12,10 @@ SUFFICIENT, GROUNDED = 0.4545, 0.5
 MOST_CHARS = 2000
 #: Passages of the first context, how many more each further attempt has, and the most there may be.
 CONTEXT, WIDER, MOST_CONTEXT = 8, 4, 16
+#: What a question is told for which no provider gives an answer.
+DEGRADED_TEXT = "No answer can be given at the moment; the passages that were found are listed."
+#: Outcomes that are refusals; a failure of the service is neither a refusal nor an answer.
+REFUSALS = ("too_large", "out_of_scope", "abstained", "ungrounded")
 #: Attempts that a question has.
 ATTEMPTS = 2
 #: Checks that only watch, or that act on what they find.
@@ -55,6 +59,13 @@ def shared(own: Column, context: Column) -> Column:
     return F.when(F.size(own) == 0, 0.0).otherwise(F.size(F.array_intersect(own, held)) / F.size(own))
 
 
+def sufficient(own: Column, context: Column, judge: Column | None = None) -> Column:
+    """No passages: no. Enough of the question's tokens ``own``: yes. Else a judge decides, one that cannot say lets
+    the context pass, and without a judge it does not."""
+    enough = shared(own, context) >= SUFFICIENT
+    return (F.size(context) > 0) & (enough | (F.lit(False) if judge is None else F.coalesce(judge, F.lit(True))))
+
+
 def attempt(rows: DataFrame, number: int) -> DataFrame:
     """Add ``attempt_<number>`` (from 1) where the question is ``open``: what is made of the passages that its context has.
 
@@ -68,7 +79,7 @@ def attempt(rows: DataFrame, number: int) -> DataFrame:
     sentence = F.concat(F.regexp_extract(F.col("best.text"), r"(?s)^(.*?[.!?]|.*)(\s|$)", 1), F.lit(" ["), F.col("best.new_rank").cast("string"), F.lit("]"))
     rows = rows.withColumn("said", F.coalesce(sentence, F.lit(fx.ABSTAIN_TEXT))).withColumn("marks", fx.cited("said"))
     silent = F.col("said").startswith(fx.ABSTAIN_TEXT)
-    enough = (F.size("context") > 0) & (shared(F.col("own"), F.col("context")) >= SUFFICIENT)
+    enough = sufficient(F.col("own"), F.col("context"), F.col("judge") if "judge" in rows.columns else None)
     made = F.struct(
         F.lit(number).alias("number"), F.lit(size).alias("top_n"), enough.alias("sufficient"), "said", silent.alias("abstained"), (silent | (shared(fx.tokens("said"), F.col("context")) >= GROUNDED)).alias("grounded"),
         F.size(F.filter("marks", lambda i: i.between(1, F.size("context")))).alias("valid"), F.size("marks").alias("marks"), ambiguity(F.col("query"), F.col("context")).alias("note"),
@@ -81,7 +92,9 @@ def answer_questions(questions: DataFrame, ranked: DataFrame, mode: str = "monit
 
     ``ranked`` holds the reranked passages of each question ``(qid, new_rank, id, text)``, 16 of them if
     there are, and ``paper`` if it is known. Questions of no or too many characters, and those with an
-    ``intent`` of ``out_of_scope``, stop at once. Attempts are a fold: the first context has eight passages, the
+    ``intent`` of ``out_of_scope``, stop at once. A boolean ``judge`` decides on contexts that hold too few of the
+    question's tokens, and questions that are ``down`` are those for which no provider gives an answer: they are told so
+    and count as failures of the service. Attempts are a fold: the first context has eight passages, the
     next one four more. If a context does not suffice and checks are enforced, an attempt that is not the last makes
     no answer (``saved`` counts these). An answer that abstains or has no grounds in its context is tried
     again; the last attempt answers in any case, and its answer counts. ``trace`` keeps every attempt
@@ -110,15 +123,17 @@ def answer_questions(questions: DataFrame, ranked: DataFrame, mode: str = "monit
         rows = rows.withColumn("open", F.coalesce(F.col("open") & again, F.lit(False)))
         made.append(F.when(~F.col(f"skips_{number}"), F.col(now)))
     rows = rows.withColumn("trace", F.filter(F.array(*made), lambda a: a.isNotNull())).withColumn("last", F.try_element_at("trace", F.lit(-1)))
+    down = F.coalesce(F.col("down"), F.lit(False)) if "down" in questions.columns else F.lit(False)
     outcome = (
         F.when(~F.col("fits"), "too_large")
         .when(~F.col("scope"), "out_of_scope")
+        .when(down, "failed")
         .when(enforce & ~F.col("last.grounded"), "ungrounded")
         .when(F.col("last.abstained"), "abstained")
         .otherwise("answered")
     )
     rows = rows.withColumn("outcome", outcome)
-    texts = F.create_map(*[F.lit(x) for x in ("too_large", fx.TOO_LARGE_TEXT, "out_of_scope", fx.ABSTAIN_TEXT, "abstained", fx.ABSTAIN_TEXT, "ungrounded", fx.UNGROUNDED_TEXT)])
+    texts = F.create_map(*[F.lit(x) for x in ("too_large", fx.TOO_LARGE_TEXT, "out_of_scope", fx.ABSTAIN_TEXT, "abstained", fx.ABSTAIN_TEXT, "ungrounded", fx.UNGROUNDED_TEXT, "failed", DEGRADED_TEXT)])
     answered = F.col("outcome") == "answered"
     saved = sum((F.col(f"skips_{n}").cast("long") for n in range(1, ATTEMPTS + 1)), F.lit(0).cast("long"))
     return rows.select(
@@ -136,3 +151,11 @@ def answer_questions(questions: DataFrame, ranked: DataFrame, mode: str = "monit
         "outcome",
         "trace",
     )
+
+
+def refusals(outcomes: DataFrame, kind: str = "kind") -> DataFrame:
+    """``(kind, n, n_failed, refusal_rate)`` of outcomes by kind and over all (null): failures of the service are a bucket
+    of their own, and the rate is over the rest."""
+    ran = F.col("outcome") != "failed"
+    refused = F.when(ran, F.col("outcome").isin(*REFUSALS).cast("double"))
+    return outcomes.rollup(kind).agg(F.count_if(ran).alias("n"), F.count_if(~ran).alias("n_failed"), F.round(F.avg(refused), 6).alias("refusal_rate"))

@@ -122,3 +122,51 @@ def role_ladders(bindings: DataFrame, overrides: DataFrame) -> DataFrame:
     held = bindings.join(named, "role", "left")
     ranked = held.withColumn("rung", F.row_number().over(Window.partitionBy("role").orderBy("rung")).cast("long"))
     return ranked.where("only is null or rung = 1").select("role", "rung", F.coalesce("only", "provider").alias("provider"))
+
+
+#: An embedder gives a vector for each text.
+Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
+
+
+def embed_ladder(texts: DataFrame, rungs: list[tuple[str, Embedder]], key: str, text: str = "text", batch: int = 256) -> DataFrame:
+    """``(key, vector, provider, reason)``: each batch of texts by the first rung that gives a finite vector of one width for each.
+
+    Where a whole batch fails on a rung, its texts are tried there one by one, so that a text that a provider cannot
+    take does not send the others to the next one. A text that no rung takes has no vector and no provider. Vectors of
+    different providers are of different spaces: a search compares those of one provider only. Equal texts
+    are embedded once.
+    """
+    kind = texts.schema[key].dataType.simpleString()
+    schema = pa.schema([("digest", pa.string()), ("vector", pa.list_(pa.float64())), ("provider", pa.string()), ("reason", pa.string())])
+
+    def vectors(embed: Embedder, some: list[str]) -> list[list[float]]:
+        out = [[float(x) for x in v] for v in embed(some)]
+        if len(out) != len(some):
+            raise ValueError(f"{len(out)} vectors for {len(some)} texts")
+        if len({len(v) for v in out}) > 1 or not all(math.isfinite(x) for v in out for x in v):
+            raise ValueError("a vector is not finite or of another width")
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                part = whole.slice(at, batch)
+                some = [t or "" for t in part.column(1).to_pylist()]
+                done: dict[int, tuple] = {}
+                reasons: dict[int, list[str]] = {i: [] for i in range(len(some))}
+                for name, embed in rungs:
+                    left = [i for i in range(len(some)) if i not in done]
+                    try:
+                        done |= {i: (v, name) for i, v in zip(left, vectors(embed, [some[i] for i in left]), strict=True)}
+                    except Exception:  # one by one, to find out which texts it is
+                        for i in left:
+                            try:
+                                done[i] = (vectors(embed, [some[i]])[0], name)
+                            except Exception as e:
+                                reasons[i].append(f"{name}: {type(e).__name__}: {e}")
+                rows = [(*done.get(i, (None, None)), "; ".join(reasons[i]) or None) for i in range(len(some))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[c] for r in rows], type=schema.field(c + 1).type) for c in range(3))], schema=schema)
+
+    named = texts.select(F.col(key).cast(kind).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("digest", F.sha2(F.col("t").cast("binary"), 256))
+    once = named.groupBy("digest").agg(F.first("t").alias("t")).mapInArrow(run, "digest string, vector array<double>, provider string, reason string")
+    return named.select("k", "digest").join(once, "digest").select(F.col("k").alias(key), "vector", "provider", "reason")

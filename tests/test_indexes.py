@@ -151,3 +151,20 @@ def test_no_vectors(spark, folder, points):
     index = ivf.build_vectors(points.where("vec_id < 3"), folder)
     assert ivf.search_vectors(index, points.where("vec_id = 1").selectExpr("vec_id as qid", "embedding as vector"), 10).count() == 3
     assert ivf.probe(index, points.where("vec_id = 5000").selectExpr("vec_id as qid", "embedding as vector"), 10, 1).count() == 0
+
+
+def test_backends_give_the_lists_of_a_scan(spark, tmp_path):
+    from spindrift.plans.hybrid import Backend, arms
+
+    docs = spark.createDataFrame(corpus(n=100), "doc_id long, text string").where("doc_id is not null")
+    asked = spark.createDataFrame(ASKED, "qid long, query string")
+    vectors = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 5)]) for i in range(100)], "vec_id long, embedding array<double>")
+    own = vectors.where("vec_id between 1 and 6").selectExpr("vec_id as qid", "embedding as vector")
+    index = inverted.build_index(docs, str(tmp_path / "terms"))
+    backend = Backend(((index, 1.0),), ivf.build_vectors(vectors, str(tmp_path / "cells"), cells=1))
+    want = {tuple(r) for r in arms(docs, vectors, asked, own, 9).collect()}
+    assert {tuple(r) for r in arms(docs, vectors, asked, own, 9, backend=backend).collect()} == want
+    some = docs.where("doc_id % 2 = 0").select("doc_id")
+    assert {tuple(r) for r in arms(docs, vectors, asked, own, 9, some, backend=backend).collect()} == {tuple(r) for r in arms(docs, vectors, asked, own, 9, some).collect()}
+    every = Backend(((inverted.build_index(docs, str(tmp_path / "stems"), analyser=ENGLISH), 1.0),), every_term=True)
+    assert {r.id for r in every.lexical(asked.where("qid = 5"), 200).collect()} == {i for i, t in corpus(n=100) if t and i is not None and "w1" in t.split()}

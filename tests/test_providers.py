@@ -4,7 +4,10 @@ import pytest
 
 from spindrift.catalog.providers import packed_docx
 from spindrift.operators.evaluation import Configuration, evaluate
-from spindrift.plans.providers import REGISTRY, Registry, question_share, rerank_ladder, role_ladders
+from spindrift.functions.embedding import hash_embed
+from spindrift.operators import chunking
+from spindrift.plans.answers import answer_questions, refusals
+from spindrift.plans.providers import REGISTRY, Registry, embed_ladder, question_share, rerank_ladder, role_ladders
 from spindrift.sources.dispatch import parse_files, scan_files
 
 
@@ -90,3 +93,37 @@ def test_files_go_to_their_parsers(spark, tmp_path):
     }
     none = spark.createDataFrame([(None, None), ("x.txt", None)], "path string, content binary")
     assert sorted((r.status for r in parse_files(none).collect())) == ["empty", "unsupported"]
+
+
+def test_embeddings_fall_back_text_by_text(spark):
+    def picky(texts):
+        if "bad" in texts:
+            raise ValueError("bad")
+        return hash_embed(texts, 8)
+
+    rows = [(1, "good"), (2, "bad"), (3, None), (4, "good"), (None, "bad")]
+    df = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    out = {r.id: (len(r.vector), r.provider) for r in embed_ladder(df, [("picky", picky), ("rest", lambda t: hash_embed(t, 4))], "id").collect()}
+    assert out == {1: (8, "picky"), 2: (4, "rest"), 3: (8, "picky"), 4: (8, "picky"), None: (4, "rest")}
+    none = embed_ladder(df, [("short", lambda t: hash_embed(t)[1:]), ("nan", lambda t: [[float("nan")]] * len(t))], "id").collect()
+    assert len(none) == 5 and all(r.vector is None and r.provider is None and r.reason.startswith("short: ") for r in none)
+    assert embed_ladder(df.limit(0), [("picky", picky)], "id").count() == 0
+
+
+def test_judges_and_failures_of_the_service(spark):
+    ranked = spark.createDataFrame([(q, n, n, f"Iron rusts slowly {n}. More.") for q in range(4) for n in range(1, 4)], "qid long, new_rank long, id long, text string")
+    rows = [(0, "iron tungsten graphite basalt quartz", True, False), (1, "iron tungsten graphite basalt quartz", False, False), (2, "iron tungsten graphite basalt quartz", None, False), (3, "iron rusts slowly", None, True)]
+    asked = spark.createDataFrame(rows, "qid long, query string, judge boolean, down boolean")
+    out = {r.qid: r for r in answer_questions(asked, ranked, "enforce").collect()}
+    assert [out[q].sufficient for q in range(3)] == [True, False, True] and [out[q].saved for q in range(3)] == [0, 1, 0]
+    assert [out[q].outcome for q in range(4)] == ["answered", "answered", "answered", "failed"]
+    outcomes = spark.createDataFrame([("a", "answered"), ("a", "abstained"), ("a", "failed"), ("b", "failed")], "kind string, outcome string")
+    assert {tuple(r) for r in refusals(outcomes).collect()} == {("a", 2, 1, 0.5), ("b", 0, 1, None), (None, 2, 2, 0.5)}
+
+
+def test_chunkers_are_registered_once(monkeypatch):
+    monkeypatch.setattr(chunking, "REGISTERED", dict(chunking.REGISTERED))
+    chunking.register("own", lambda embed: lambda s: s)
+    assert "own" in chunking.strategies(hash_embed) and len(chunking.strategies(hash_embed)) == 6
+    with pytest.raises(ValueError, match="registered already"):
+        chunking.register("semantic", lambda embed: lambda s: s)
