@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 
 import pandas as pd
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 
 from spindrift.adapters import papers, questions, table
 from spindrift.catalog.base import query
-from spindrift.catalog.retrieval import JUDGED, RERANKED, arms_union_all, fuse, fused, judged, metrics_sql, tokens_sql
+from spindrift.catalog.retrieval import ANCHOR, JUDGED, RERANKED, arms_union_all, fuse, fused, judged, metrics_sql, tokens_sql
 from spindrift.functions.embedding import hash_embed
 from spindrift.operators.evaluation import METRICS, Configuration, evaluate
+from spindrift.plans.planner import plan_questions
 from spindrift.plans.providers import embed_ladder, question_share, rerank_ladder, role_ladders, text_share
 from spindrift.session import stored
 from spindrift.sources.dispatch import parse_files
@@ -61,6 +63,34 @@ def role_ladder(spark, sf_dir):
     return role_ladders(bindings, overrides)
 
 
+def planner(refused: int, broken: int, intent: str):
+    """A planner that turns some questions away and answers some in a way that cannot be read."""
+
+    def plan(told: str, query: str) -> str:
+        if len(query) % refused == 0:
+            raise ConnectionError("turned away")
+        if len(query) % broken == 0:
+            return "{"
+        return json.dumps({"normalized": query, "expansions": [f"about {query}", query], "filters": {"category": "en"}, "intent": intent})
+
+    return plan
+
+
+@query(f"""WITH q AS (SELECT item_id AS qid, CASE WHEN item_id % 4 = 0 THEN concat(text, ' model') ELSE text END AS query FROM benchmark),
+s AS (SELECT *, item_id_skip AS skipped FROM (SELECT *, len(regexp_split_to_array(trim(query, chr(32) || chr(9) || chr(10) || chr(13)), '\\s+')) >= 6
+ AND NOT len(list_filter(regexp_split_to_array(trim(query, chr(32) || chr(9) || chr(10) || chr(13)), '\\s+'), lambda w: length(w) BETWEEN 2 AND 4 AND w = upper(w) AND w <> lower(w))) > 0
+ AND list_has_any({tokens_sql('query')}, {ANCHOR}) AS item_id_skip FROM q)),
+r AS (SELECT *, CASE WHEN skipped THEN NULL WHEN length(query) % 3 <> 0 AND length(query) % 5 <> 0 THEN 'first' WHEN length(query) % 2 <> 0 AND length(query) % 7 <> 0 THEN 'second' END AS served FROM s)
+SELECT qid, query AS normalized, CASE WHEN served IS NULL THEN '' ELSE concat('about ', query, '|', query) END AS expansions, CASE served WHEN 'first' THEN 'comparative' WHEN 'second' THEN 'multi_hop' ELSE 'factual' END AS intent,
+ CASE WHEN served IS NOT NULL THEN 'en' END AS category, served, NOT skipped AND served IS NULL AS degraded,
+ CASE WHEN NOT skipped AND served IS NULL THEN CASE WHEN length(query) % 2 = 0 THEN 'second: ConnectionError: turned away' ELSE 'second: ValueError: the plan is not JSON' END END AS reason, skipped FROM r""")
+def plan_ladder_served(spark, sf_dir):
+    """Questions planned by the first planner whose plan can be read; some need none, some stand as they are."""
+    q = questions(spark, sf_dir).select("qid", F.when(F.col("qid") % 4 == 0, F.concat("query", F.lit(" model"))).otherwise(F.col("query")).alias("query"))
+    out = plan_questions(q, [("first", planner(3, 5, "comparative")), ("second", planner(2, 7, "multi_hop"))], ["en", "de"])
+    return out.select("qid", "normalized", F.array_join("expansions", "|").alias("expansions"), "intent", "category", "served", "degraded", "reason", "skipped")
+
+
 def turns_away(embed, every: int):
     """An embedder that cannot take texts of some lengths."""
 

@@ -7,6 +7,7 @@ from spindrift.operators.evaluation import Configuration, evaluate
 from spindrift.functions.embedding import hash_embed
 from spindrift.operators import chunking
 from spindrift.plans.answers import answer_questions, refusals
+from spindrift.plans.planner import instructions, parse_plan, plan_questions, variants
 from spindrift.plans.providers import REGISTRY, Registry, embed_ladder, question_share, rerank_ladder, role_ladders
 from spindrift.sources.dispatch import parse_files, scan_files
 
@@ -127,3 +128,35 @@ def test_chunkers_are_registered_once(monkeypatch):
     assert "own" in chunking.strategies(hash_embed) and len(chunking.strategies(hash_embed)) == 6
     with pytest.raises(ValueError, match="registered already"):
         chunking.register("semantic", lambda embed: lambda s: s)
+
+
+GOOD = '{"normalized": "n", "expansions": ["a", "n"], "filters": {"author": "x", "date_from": "2024-01-02"}, "intent": "multi_hop"}'
+
+
+@pytest.mark.parametrize(
+    "raw",
+    ["", None, "[]", "{}", GOOD.replace("multi_hop", "other"), GOOD.replace('"n",', "1,", 1), GOOD.replace('["a", "n"]', '"a"'), GOOD.replace('"x"', "3"), GOOD.replace("2024-01-02", "soon"), GOOD.replace('{"author": "x", "date_from": "2024-01-02"}', "[1]")],
+)
+def test_plans_that_cannot_be_read(raw):
+    with pytest.raises(ValueError):
+        parse_plan(raw)
+
+
+def test_plans(spark):
+    def second(told, query):
+        if query == "twice":
+            raise TimeoutError("no")
+        assert "de, en" in told
+        return GOOD
+
+    first = lambda told, query: "{" if query != "whole" else GOOD
+    long = "which method of these is the best one for tables"
+    asked = spark.createDataFrame([(1, "whole"), (2, "second"), (3, "twice"), (4, long), (5, None), (6, "whole")], "qid long, query string")
+    out = {r.qid: r for r in plan_questions(asked, [("first", first), ("second", second)], ["en", "de"]).collect()}
+    assert [out[q].served for q in range(1, 7)] == ["first", "second", None, None, "second", "first"]
+    assert out[1].author == "x" and out[1].date_from == "2024-01-02" and out[1].category is None and not out[1].degraded
+    assert (out[3].degraded, out[3].normalized, out[3].reason) == (True, "twice", "second: TimeoutError: no")
+    assert (out[4].skipped, out[4].degraded, out[4].normalized) == (True, False, long)
+    assert plan_questions(asked, [], always=True).where("degraded and reason = 'no planner'").count() == 6
+    every = {(r.qid, r.variant_no): r["query"] for r in variants(plan_questions(asked.where("qid = 1"), [("first", first)])).collect()}
+    assert every == {(1, 0): "n", (1, 1): "a"} and "category has" not in instructions()
