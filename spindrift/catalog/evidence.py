@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
 
 import pandas as pd
@@ -20,7 +19,7 @@ from spindrift.operators import chunking
 from spindrift.operators.evaluation import chunking_scores, strategies_of_note
 from spindrift.operators.store import Store
 from spindrift.plans.answers import ambiguity, answer_questions, refusals, shared, sufficient
-from spindrift.session import scratch, stored
+from spindrift.session import scratch_path, stored
 from spindrift.sources import parsers
 
 SECTIONS_SQL = f"""{PAPERS_SQL}, lines AS (SELECT paper_id, unnest(list_zip(l, range(len(l)))) AS z FROM (SELECT paper_id, string_split(text, chr(10)) AS l FROM papers)),
@@ -420,7 +419,7 @@ def run_log(spark, sf_dir):
     fields = F.struct("text", "abstained", "n_citations", "note", "attempts", "outcome")
     rows = answered(spark, sf_dir).select("qid", F.to_json(fields, {"ignoreNullFields": "false"}).alias("trace"))
     rows = stored(rows.select(F.sha2(F.concat_ws("|", F.col("qid").cast("string"), "trace"), 256).alias("run_id"), "qid", "trace"))
-    log = Store(spark, f"{scratch(spark)}/runs-{uuid.uuid4().hex}", ["run_id"], 8).create(rows.limit(0))
+    log = Store(spark, scratch_path(spark, "runs"), ["run_id"], 8).create(rows.limit(0))
     for _ in range(2):
         log.insert_if_absent(rows, ["run_id"])
     return log.read()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from spindrift.adapters import PAPERS_SQL, papers, questions, vectors
@@ -12,17 +10,13 @@ from spindrift.catalog.retrieval import LEX, query_vectors, rank_sql
 from spindrift.functions.analysis import ENGLISH, ENGLISH_STOPWORDS, STEP2, STEP3, STEP4
 from spindrift.operators import inverted, ivf
 from spindrift.operators.positional import positional_topk
-from spindrift.session import scratch
-
-
-def new_path(spark, name: str) -> str:
-    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+from spindrift.session import scratch_path
 
 
 @query(f"WITH {LEX} SELECT * FROM lex")
 def bm25_blockmax(spark, sf_dir):
     """The ranks of ``bm25_topk`` from an index by term, reading ranges that can hold one of the best only."""
-    index = inverted.build_index(papers(spark, sf_dir), new_path(spark, "terms"))
+    index = inverted.build_index(papers(spark, sf_dir), scratch_path(spark, "terms"))
     return inverted.search(index, questions(spark, sf_dir), 50)
 
 
@@ -86,7 +80,7 @@ qt AS (SELECT DISTINCT id AS qid, term FROM termed WHERE kind = 'q')"""
   FROM qt JOIN tf ON qt.term = tf.term JOIN df ON df.term = tf.term JOIN dl ON dl.id = tf.id, st GROUP BY qid, tf.id) {rank_sql('bm', 50)}""")
 def bm25_stemmed(spark, sf_dir):
     """Stems without stop words, alike in the index and the questions."""
-    index = inverted.build_index(papers(spark, sf_dir), new_path(spark, "stems"), analyser=ENGLISH)
+    index = inverted.build_index(papers(spark, sf_dir), scratch_path(spark, "stems"), analyser=ENGLISH)
     return inverted.search(index, questions(spark, sf_dir), 50)
 
 
@@ -99,12 +93,12 @@ alone AS (SELECT qid, id, 0.1::DOUBLE * sum(1.0::DOUBLE / (k * k)) / (pi() * pi(
 s AS (SELECT f.qid, f.id, round(coalesce(a.score, n.score, 0), 6) AS score FROM full_ f LEFT JOIN near n ON n.qid = f.qid AND n.id = f.id LEFT JOIN alone a ON a.qid = f.qid AND a.id = f.id) {rank_sql('s', 50)}""")
 def lexical_ts_rank(spark, sf_dir):
     """Whole questions, of which every term must stand in a document, by how near to one another the terms stand."""
-    index = inverted.build_index(papers(spark, sf_dir), new_path(spark, "places"), analyser=ENGLISH)
+    index = inverted.build_index(papers(spark, sf_dir), scratch_path(spark, "places"), analyser=ENGLISH)
     return positional_topk(index, questions(spark, sf_dir), 50)
 
 
 @query()
 def knn_ivf(spark, sf_dir):
     """The nearest vectors from a stored index of cells; an audit sets how many are read."""
-    index = ivf.build_vectors(vectors(spark, sf_dir), new_path(spark, "cells"))
+    index = ivf.build_vectors(vectors(spark, sf_dir), scratch_path(spark, "cells"))
     return ivf.search_vectors(index, query_vectors(spark, sf_dir), 50)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +15,7 @@ from spindrift.operators.chunking import fixed_windows
 from spindrift.operators.dense import cosine_topk
 from spindrift.operators.filters import Filters, author_contains, author_tokens, categories, condition, visible
 from spindrift.plans.reindex import reindex
-from spindrift.session import scratch
+from spindrift.session import scratch_path
 
 CHUNKS_SQL = f"""{PAPERS_SQL}, chunks AS (
   SELECT paper_id, owner, doc_id, i * 1400 AS char_start, substr(text, CAST(i * 1400 + 1 AS BIGINT), 1600) AS text,
@@ -36,7 +35,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored(df: DataFrame, by: list[str], change=None) -> DataFrame:
     """A store of ``df``, and after a mutation of it: run twice, which changes nothing further."""
-    held = store.Store(df.sparkSession, f"{scratch(df.sparkSession)}/store-{uuid.uuid4().hex}", by, 8).create(df)
+    held = store.Store(df.sparkSession, scratch_path(df.sparkSession, "store"), by, 8).create(df)
     for _ in range(2 if change else 0):
         change(held)
     return held.read()
@@ -185,7 +184,7 @@ SELECT paper_id, chunk_id FROM chunks WHERE paper_id NOT IN (SELECT paper_id FRO
 def ttl_purge(spark, sf_dir):
     """Uploads past their time go, with all their passages."""
     expired = F.array_contains("authors", "src1") & (F.col("published_date") < "2024-06-01")
-    parents = store.Store(spark, f"{scratch(spark)}/store-{uuid.uuid4().hex}", ["paper_id"], 8).create(papers(spark, sf_dir).select("paper_id", "authors", "published_date"))
+    parents = store.Store(spark, scratch_path(spark, "store"), ["paper_id"], 8).create(papers(spark, sf_dir).select("paper_id", "authors", "published_date"))
     return stored(chunks(spark, sf_dir).select("paper_id", "chunk_id"), ["paper_id"], lambda now: parents.purge(expired, now, ["paper_id"]))
 
 
@@ -286,7 +285,7 @@ def index_upsert(spark, sf_dir):
 FROM chunks c JOIN papers p ON p.paper_id = c.paper_id""")
 def reindex_store(spark, sf_dir):
     """Stores of papers and passages rebuilt as an index: half with vectors, noted on the passages, half without."""
-    root = f"{scratch(spark)}/reindex-{uuid.uuid4().hex}"
+    root = scratch_path(spark, "reindex")
     p = store.Store(spark, f"{root}/papers", ["paper_id"], 8).create(papers(spark, sf_dir).select("paper_id", "title"))
     held = chunks(spark, sf_dir).select("chunk_id", "paper_id", "text", F.lit("old").alias("embedding_model"), F.lit(1).alias("embedding_dim")).dropDuplicates(["chunk_id"])
     even, out = F.col("paper_id").cast("long") % 2 == 0, []
@@ -313,4 +312,4 @@ UNION ALL SELECT 4, source, concat('| ', source, ' | ', CAST(count(*) AS VARCHAR
 def report_table(spark, sf_dir):
     """A summary written as a Markdown table and read back."""
     n = table(spark, sf_dir, "documents").where("source is not null").groupBy("source").agg(F.count("*").alias("n"))
-    return store.markdown_report(n, "Sources", ["source", "n"], f"{scratch(spark)}/report-{uuid.uuid4().hex}")
+    return store.markdown_report(n, "Sources", ["source", "n"], scratch_path(spark, "report"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -20,7 +19,7 @@ from spindrift.operators.lexical import all_terms, best_field, postings
 from spindrift.operators.lexical import bm25_topk as bm25_topk_of
 from spindrift.operators.ranking import top_k
 from spindrift.plans.hybrid import arms, judgements, reranked, retrieve, retrieve_plans
-from spindrift.session import scratch
+from spindrift.session import scratch_path
 
 STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 ANCHOR = "[" + ", ".join(f"'{w}'" for w in ANCHORS) + "]"
@@ -72,7 +71,7 @@ def lexical_ranks(spark, sf_dir, k: int = 50) -> DataFrame:
 
 def once(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read back: a table that a query reads several times."""
-    path = f"{scratch(df.sparkSession)}/once-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, "once")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -305,7 +304,7 @@ def embed_align(spark, sf_dir):
 @query("SELECT item_id, text FROM benchmark")
 def scan_jsonl(spark, sf_dir):
     """Rows written as files of JSON lines and scanned by a declared schema."""
-    path = f"{scratch(spark)}/jsonl-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "jsonl")
     table(spark, sf_dir, "benchmark").select("item_id", "text").write.json(path)
     return spark.read.schema("item_id long, text string").json(path)
 
@@ -313,7 +312,7 @@ def scan_jsonl(spark, sf_dir):
 @query("SELECT CAST(item_id AS VARCHAR) AS query_id, CAST(item_id AS VARCHAR) AS corpus_id, 1 AS score FROM benchmark")
 def scan_benchmark(spark, sf_dir):
     """Judgements written as tab-separated files with a header line and scanned by a declared schema."""
-    path = f"{scratch(spark)}/tsv-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "tsv")
     rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("item_id").alias("corpus_id"), F.lit(1).alias("score"))
     rows.write.csv(path, sep="\t", header=True)
     return spark.read.schema("query_id string, corpus_id string, score long").csv(path, sep="\t", header=True)
@@ -363,6 +362,6 @@ def hybrid_sanitised(spark, sf_dir):
 @query(f"WITH {LEX} SELECT * FROM lex")
 def bm25_indexed(spark, sf_dir):
     """The same ranks from a stored table of postings, built once for any questions."""
-    path = f"{scratch(spark)}/index-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "index")
     postings(papers(spark, sf_dir), None, "doc_id", F.col("text")).write.parquet(path)
     return bm25_topk_of(None, questions(spark, sf_dir), 50, index=spark.read.parquet(path))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.text import words
 from spindrift.operators.ranking import FOUND, Best, top_k
-from spindrift.session import scratch, small_side
+from spindrift.session import scratch_path, small_side
 
 #: Terms and questions that meet in one matrix; larger batches of questions are asked in blocks.
 BLOCK_TERMS, BLOCK_QUESTIONS = 20_000, 512
@@ -90,7 +89,7 @@ def bm25_topk(docs: DataFrame | None, queries: DataFrame, k: int, id_col: str =
     vocabulary = sorted({t for own in asked.values() for t in own})
     held = index if index is not None else postings(docs, vocabulary, id_col, text)
     if index is None:
-        path = f"{scratch(spark)}/postings-{uuid.uuid4().hex}"
+        path = scratch_path(spark, "postings")
         held.write.parquet(path)
         held = spark.read.parquet(path)
     stats = held.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()

@@ -39,8 +39,31 @@ def scratch(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-")
 
 
+#: Folders that this process has written to the shared folder, for ``clean_up``.
+WRITTEN: list[str] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder's place in the shared folder."""
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete all tables that queries have written so far; returns their number.
+
+    A query's result reads them, so this comes when the results are no longer needed.
+    """
+    n = 0
+    while WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read back: a table that is read several times, or a cut in the lineage."""
-    path = f"{scratch(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, "stored")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from spindrift.session import WRITTEN
+
 
 def tumbling_counts(events: DataFrame, time_col: str, key: str, window: str = "60 seconds", late: str = "10 minutes") -> DataFrame:
     """Calls of each key in each window, complete once the watermark has passed it."""
@@ -35,6 +37,7 @@ def ingest_new(stream: DataFrame, target: str, key: str, checkpoint: str) -> Dat
 def drain(spark: SparkSession, source: str, schema, folder: str, build) -> str:
     """Run a file stream to its end; returns the path of what ``build(stream, path, checkpoint)`` writes."""
     at = f"{folder}/{uuid.uuid4().hex}"
+    WRITTEN.append(at)
     stream = spark.readStream.schema(schema).parquet(source)
     build(stream, f"{at}/out", f"{at}/state").start().awaitTermination()
     return f"{at}/out"

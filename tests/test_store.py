@@ -114,3 +114,15 @@ def test_counters(spark, make):
     assert tuple(store.counters(make([(1, "a"), (2, "b"), (3, "c")]), make([(1, "a"), (8, "b"), (8, "c")]), ["k"]).first()) == (3, 1)
     with pytest.raises(RuntimeError):
         store.raise_on_errors(spark.createDataFrame([(200,), (None,)], "status int"))
+
+
+def test_clean_up(spark):
+    from spindrift import session
+
+    before = list(session.WRITTEN)
+    session.WRITTEN.clear()  # other tests' tables stay
+    held = session.stored(spark.range(3))
+    (path,) = session.WRITTEN
+    assert held.count() == 3 and os.path.exists(path.removeprefix("file:"))
+    assert session.clean_up(spark) == 1 and not os.path.exists(path.removeprefix("file:")) and session.WRITTEN == []
+    session.WRITTEN += before
