@@ -16,7 +16,7 @@ from spindrift.catalog.retrieval import JUDGED, QT, RERANKED, bm25_sql, fused, j
 from spindrift.functions import text as fx
 from spindrift.functions.embedding import hash_embed
 from spindrift.operators import chunking
-from spindrift.operators.evaluation import chunking_scores, strategies_of_note
+from spindrift.operators.evaluation import chunking_scores, gate, strategies_of_note
 from spindrift.operators.store import Store
 from spindrift.plans.answers import ambiguity, answer_questions, refusals, shared, sufficient
 from spindrift.session import scratch_path, stored
@@ -439,5 +439,4 @@ def gate_verdict(spark, sf_dir):
     """A rate against a threshold, from above and from below; a missing rate was not run."""
     d = table(spark, sf_dir, "documents").groupBy("source").agg(F.round(F.avg((F.col("n_chars") % 2 == 0).cast("double")), 6).alias("r"), F.max("doc_id").alias("m"))
     d = d.select("source", F.when(F.col("m") % 5 != 0, F.col("r")).alias("rate"))
-    gate = lambda ok: F.when(F.col("rate").isNull(), "not run").when(ok, "PASS").otherwise("FAIL")
-    return d.select("source", "rate", gate(F.col("rate") >= 0.5).alias("higher"), gate(F.col("rate") <= 0.5).alias("lower"))
+    return d.select("source", "rate", gate(F.col("rate"), 0.5).alias("higher"), gate(F.col("rate"), 0.5, False).alias("lower"))

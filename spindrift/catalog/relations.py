@@ -303,8 +303,36 @@ def reindex_store(spark, sf_dir):
 @query("SELECT event_type, count(*) AS total, count(*) FILTER (WHERE value IS NULL OR value >= 300) AS failed FROM events GROUP BY event_type")
 def bulk_errors(spark, sf_dir):
     """Results of bulk writes, an event's value read as its status, by the kind of event."""
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("total"), F.count_if(F.col("value").isNull() | (F.col("value") >= 300)).alias("failed"))
+    return store.bulk_errors(table(spark, sf_dir, "events"), "value", ["event_type"])
+
+
+DUMPED = ("labels", "benchmark", "conversations", "customer")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, true AS same FROM {t}" for t in DUMPED))
+def dump_restore(spark, sf_dir):
+    """Tables dumped, restored and compared row by row, repeats included."""
+    folder = scratch_path(spark, "dump")
+    tables = {t: table(spark, sf_dir, t) for t in DUMPED}
+    store.dump(tables, folder)
+    out = None
+    for name, held in store.restore(spark, folder).items():
+        lost = tables[name].exceptAll(held).unionByName(held.exceptAll(tables[name]))
+        one = held.agg(F.lit(name).alias("name"), F.count("*").alias("n")).crossJoin(lost.agg((F.count("*") == 0).alias("same")))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT made, category FROM (SELECT DISTINCT unnest([lang, source]) AS category FROM documents WHERE doc_id % 10 <> 0), (SELECT unnest(['first', 'again']) AS made) UNION ALL SELECT 'later', category FROM (SELECT DISTINCT unnest([lang, source]) AS category FROM documents WHERE doc_id % 10 <> 0 AND lang = 'en')")
+def categories_cached(spark, sf_dir):
+    """Categories of shared papers, made anew after a day: a reader within the day gets what was made first."""
+    p, root = papers(spark, sf_dir), scratch_path(spark, "categories")
+    narrow = p.where(F.array_contains("category", "en"))
+    day, out = 86_400, None
+    for made, now, source in (("first", 1e6, p), ("again", 1e6 + day - 1, narrow), ("later", 1e6 + day, narrow)):
+        one = store.cached_table(spark, root, day, now, lambda source=source: categories(source)).select(F.lit(made).alias("made"), "category")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("""SELECT value FROM (SELECT 0 AS k, '' AS s, '# Sources' AS value UNION ALL SELECT 1, '', '' UNION ALL SELECT 2, '', '| source | n |' UNION ALL SELECT 3, '', '|---|---|'

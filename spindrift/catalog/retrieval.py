@@ -13,6 +13,7 @@ from spindrift.catalog.base import query
 from spindrift.functions.embedding import hash_embed
 from spindrift.functions.text import ANCHORS, STOPWORDS, overlap, skip_rewrite, tokens
 from spindrift.operators import metrics
+from spindrift.operators.evaluation import against_published
 from spindrift.operators.filters import Filters
 from spindrift.operators.fusion import degrade, fuse
 from spindrift.operators.lexical import all_terms, best_field, postings
@@ -261,6 +262,14 @@ def ablation_summary(spark, sf_dir):
     return out
 
 
+@query(f"""WITH {PAPERS_SQL}, {QT}, {bm25_sql(chr(39).join(['concat(title, ', '. ', ', text)']), '0.9', '0.4')}, bench AS ({rank_sql('bm', 10)}), {JUDGED}, {metrics_sql('bench', 10, 'm')},
+a AS (SELECT count(*) AS n_queries, round(avg(ndcg), 6) AS mean FROM m)
+SELECT n_queries, mean, 0.665::DOUBLE AS published, round(mean - 0.665::DOUBLE, 6) AS difference, CASE WHEN abs(round(mean - 0.665::DOUBLE, 6)) <= 0.02 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM a""")
+def validation_run(spark, sf_dir):
+    """The mean nDCG of the public benchmark's parameters against its published value (of other texts, so it differs here)."""
+    return against_published(metrics.ndcg(bm25_contents(spark, sf_dir), judged(spark, sf_dir), 10), "ndcg", 0.665, 0.02)
+
+
 @query(f"WITH {JUDGED} SELECT qid, id % 50 AS paper, max(grade) AS grade FROM judged GROUP BY qid, id % 50")
 def derive_doc_qrels(spark, sf_dir):
     """Judgements of papers from those of their passages: the highest grade."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.operators import metrics
@@ -79,3 +79,17 @@ def strategies_of_note(results: DataFrame) -> DataFrame:
     by_cost = results.orderBy((F.col("ndcg") / F.greatest("n_chunks", F.lit(1))).desc(), "strategy")
     pick = lambda role, rows: rows.limit(1).select(F.lit(role).alias("role"), "strategy")
     return pick("winner", by_ndcg).unionByName(pick("median", by_ndcg.offset(results.count() // 2))).unionByName(pick("efficient", by_cost))
+
+
+def gate(value: Column, threshold: float, higher_is_better: bool = True) -> Column:
+    """PASS or FAIL of a value against a threshold; a value that is missing was not run."""
+    ok = value >= threshold if higher_is_better else value <= threshold
+    return F.when(value.isNull(), "not run").when(ok, "PASS").otherwise("FAIL")
+
+
+def against_published(each: DataFrame, metric: str, published: float, tolerance: float) -> DataFrame:
+    """``(n_queries, mean, published, difference, verdict)``: the mean of a metric over all questions against a published
+    value, which it has to come within ``tolerance`` of."""
+    mean = each.agg(F.count("*").alias("n_queries"), F.round(F.avg(metric), 6).alias("mean")).withColumn("published", F.lit(published))
+    difference = F.round(F.col("mean") - F.col("published"), 6)
+    return mean.select("n_queries", "mean", "published", difference.alias("difference"), gate(F.abs(difference), tolerance, False).alias("verdict"))

@@ -10,12 +10,14 @@ without a further effect, nulls in keys included, which is how an unfinished run
 from __future__ import annotations
 
 import functools
+import json
 import operator
 import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BUCKET = "store_bucket"
 
@@ -229,9 +231,9 @@ def counters(held: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     return new.agg(F.count("*").alias("seen")).crossJoin(added)
 
 
-def bulk_errors(results: DataFrame, status: str = "status") -> DataFrame:
-    """``(total, failed)``: results of a bulk write; a status of 300 or more, or none, has failed."""
-    return results.agg(F.count("*").alias("total"), F.count_if(F.col(status).isNull() | (F.col(status) >= 300)).alias("failed"))
+def bulk_errors(results: DataFrame, status: str = "status", by: Sequence[str] = ()) -> DataFrame:
+    """``(total, failed)``, for each value of ``by``: results of a bulk write; a status of 300 or more, or none, has failed."""
+    return results.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(F.col(status).isNull() | (F.col(status) >= 300)).alias("failed"))
 
 
 def raise_on_errors(results: DataFrame, status: str = "status") -> None:
@@ -250,3 +252,53 @@ def markdown_report(rows: DataFrame, title: str, columns: Sequence[str], path: s
     lines = lines.repartition(1).sortWithinPartitions("no", "place", "value").select("value")  # a summary: a row for each configuration
     lines.write.mode("overwrite").text(path)
     return rows.sparkSession.read.option("wholetext", True).text(path).select(F.explode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("value"))
+
+
+def dump(tables: dict[str, DataFrame], folder: str) -> DataFrame:
+    """Write tables as compressed JSON lines, with a manifest ``(name, ddl, n, checksum)`` that is written last.
+
+    The checksum does not depend on the order of rows. A folder without a manifest is no whole dump.
+    """
+    spark, rows = next(iter(tables.values())).sparkSession, []
+    for name, df in tables.items():
+        df.write.option("compression", "gzip").option("ignoreNullFields", False).json(f"{folder}/{name}")
+        n, checksum = df.agg(F.count("*"), row_checksum(df)).first()
+        rows.append((name, df.schema.json(), n, checksum))
+    manifest = spark.createDataFrame(rows, "name string, schema string, n long, checksum string")
+    manifest.coalesce(1).write.json(f"{folder}/manifest")
+    return manifest
+
+
+def row_checksum(df: DataFrame) -> Column:
+    """The exclusive-or of the rows' hashes, and their sum, as text: equal for equal rows in any order, repeats included."""
+    value = F.xxhash64(*df.columns)
+    return F.concat_ws(":", F.coalesce(F.bit_xor(value), F.lit(0)).cast("string"), F.coalesce(F.sum(value.cast("decimal(38,0)")), F.lit(0)).cast("string"))
+
+
+def restore(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of a whole dump, read by their own schemas; a table that lacks rows, or has others, is an error."""
+    out = {}
+    for m in spark.read.json(f"{folder}/manifest", schema="name string, schema string, n long, checksum string").collect():
+        held = spark.read.schema(StructType.fromJson(json.loads(m["schema"]))).json(f"{folder}/{m['name']}")
+        n, checksum = held.agg(F.count("*"), row_checksum(held)).first()
+        if (n, checksum) != (m["n"], m["checksum"]):
+            raise ValueError(f"{m['name']} has {n} rows of {m['n']}, or not the same ones")
+        out[m["name"]] = held
+    return out
+
+
+def cached_table(spark: SparkSession, root: str, seconds: float, now: float, make: Callable[[], DataFrame]) -> DataFrame:
+    """A small table that is made anew once it is ``seconds`` old; entries are folders named by the time they were made.
+
+    Of two that make one at a time both may be written, which are alike; a reader takes the newest whole one.
+    """
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = lambda p: fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+    made = [int(s.getPath().getName()) for s in fs.listStatus(path) if whole(s.getPath())] if fs.exists(path) else []
+    fresh = [t for t in made if 0 <= now - t / 1000 < seconds]
+    at = max(fresh, default=int(now * 1000))
+    if not fresh:
+        make().write.mode("overwrite").parquet(f"{root}/{at}")
+    return spark.read.parquet(f"{root}/{at}")

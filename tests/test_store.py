@@ -126,3 +126,27 @@ def test_clean_up(spark):
     assert held.count() == 3 and os.path.exists(path.removeprefix("file:"))
     assert session.clean_up(spark) == 1 and not os.path.exists(path.removeprefix("file:")) and session.WRITTEN == []
     session.WRITTEN += before
+
+
+def test_dump_and_restore(spark, tmp_path):
+    tables = {"a": spark.createDataFrame([(1, "x", [1.5], None), (1, "x", [1.5], None), (None, "é\n\"", None, None)], "k int, v string, l array<double>, d date"), "b": spark.createDataFrame([], "k long")}
+    store.dump(tables, str(tmp_path / "d"))
+    held = store.restore(spark, str(tmp_path / "d"))
+    assert {n: sorted(map(str, t.collect())) for n, t in held.items()} == {n: sorted(map(str, t.collect())) for n, t in tables.items()}
+    assert held["a"].schema == tables["a"].schema
+    tables["a"].limit(1).write.mode("append").option("ignoreNullFields", False).json(str(tmp_path / "d" / "a"))
+    with pytest.raises(ValueError, match="a has 4 rows of 3"):
+        store.restore(spark, str(tmp_path / "d"))
+
+
+def test_cached_tables_grow_old(spark, make, tmp_path):
+    made = []
+
+    def now(value):
+        return lambda: made.append(value) or make([(1, value)])
+
+    ask = lambda at, value: rows(store.cached_table(spark, str(tmp_path / "c"), 60, at, now(value)))
+    assert [ask(1000, "a"), ask(1059, "b"), ask(1060, "c"), ask(1061, "d")] == [[(1, "a")], [(1, "a")], [(1, "c")], [(1, "c")]]
+    assert made == ["a", "c"]
+    (tmp_path / "c" / "2000000").mkdir()  # an unfinished entry
+    assert ask(2000, "e") == [(1, "e")]
