@@ -10,12 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.adapters import papers, questions, table
+from spindrift.adapters import papers, questions, table, vectors
 from spindrift.catalog.base import query
-from spindrift.catalog.retrieval import ANCHOR, JUDGED, RERANKED, arms_union_all, fuse, fused, judged, metrics_sql, tokens_sql
+from spindrift.catalog.retrieval import ANCHOR, JUDGED, RERANKED, arms_union_all, fuse, fused, judged, metrics_sql, overlap_sql, plans_sql, tokens_sql
 from spindrift.functions.embedding import hash_embed
 from spindrift.operators.evaluation import METRICS, Configuration, evaluate
-from spindrift.plans.planner import plan_questions
+from spindrift.plans.hybrid import retrieve_plans
+from spindrift.plans.planner import plan_questions, variants
 from spindrift.plans.providers import embed_ladder, question_share, rerank_ladder, role_ladders, text_share
 from spindrift.session import stored
 from spindrift.sources.dispatch import parse_files
@@ -158,6 +159,24 @@ def ablation_status(spark, sf_dir):
     )
 
 
+FULL = plans_sql().rsplit(" SELECT qid, id, score, rank FROM fused", 1)[0]
+
+
+@query(f"""{FULL}, {JUDGED}, held AS (SELECT f.qid, f.id, f.rank, round({overlap_sql('b.text', 'p.text')}, 6) AS s1 FROM fused f JOIN papers p ON p.doc_id = f.id JOIN benchmark b ON b.item_id = f.qid WHERE f.rank <= 50),
+rz AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY s1 DESC, rank) AS rank FROM held), {metrics_sql('rz', 10, 'm')}
+SELECT 'full' AS config, 'ran' AS status, count(*) AS n_queries, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg, round(avg(mrr), 6) AS mrr FROM m""")
+def ablation_full(spark, sf_dir):
+    """The whole chain: questions planned, all their variants searched in both arms, fused, and reranked by a ladder."""
+    asked = questions(spark, sf_dir)
+    plans = stored(variants(plan_questions(asked, [("planner", planner(10**9, 10**9, "factual"))], always=True)))
+    e = vectors(spark, sf_dir).select(F.col("vec_id").alias("at"), F.col("embedding").alias("vector"))
+    own = plans.join(e, F.col("qid") + F.col("variant_no") == F.col("at")).select("qid", "variant_no", "vector")
+    found = retrieve_plans(papers(spark, sf_dir), vectors(spark, sf_dir), plans, own)
+    held = found.join(papers(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), "id").join(asked, "qid").select("qid", "query", "id", "rank", "text")
+    ranked = rerank_ladder(held, [("first", question_share)], 50).select("qid", "id", F.col("new_rank").alias("rank"))
+    return evaluate([Configuration("full", "planner, postings, vectors, first", ranked)], judged(spark, sf_dir)).select("config", "status", "n_queries", *METRICS)
+
+
 def packed_docx(lines: list[str]) -> bytes:
     """A word-processor file: a heading, and a paragraph for each line."""
     space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
