@@ -148,7 +148,11 @@ def parse_html_sections(spark, sf_dir):
     return parsers.parse_html(table(spark, sf_dir, "pages").select(F.col("page_id").alias("paper_id"), "html"), "html")
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, CAST(z[2] AS BIGINT) AS pos, regexp_replace(z[1], '^\s+|\s+$', '', 'g') AS line FROM (
+ SELECT doc_id, unnest(list_zip(l, range(len(l)))) AS z FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0b-\x1f]', '', 'g'), chr(10)) AS l FROM documents))),
+r AS (SELECT *, pos % 4 = 0 AS h, sum(CAST(pos % 4 = 0 AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM l WHERE line <> ''),
+g AS (SELECT doc_id, run, max(CASE WHEN h THEN line END) AS heading, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT h) AS text FROM r GROUP BY doc_id, run)
+SELECT doc_id AS paper_id, row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS section_no, heading, text FROM g WHERE text IS NOT NULL""")
 def parse_docx(spark, sf_dir):
     """Documents written as word-processor files, every fourth line a heading, and parsed again."""
 
