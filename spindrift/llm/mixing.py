@@ -148,7 +148,8 @@ def mix_sizes(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: floa
     ``share`` times all words, none above ``cap`` times its own. Each output shard draws multinomial
     counts of blocks; a source's slots map to its blocks through a pseudorandom permutation for each
     pass over them, and slots and blocks join by that index. ``taken`` counts repeats. A source's
-    taken words differ from its target by less than a block; no block is taken more than ``cap``
+    taken words differ from its target by less than three blocks: one by rounding, and as much for each
+    pass over its last block, which is shorter than the others; no block is taken more than ``cap``
     times; the same table gives the same result on any cluster.
 
     Null or empty text: size 0, nothing taken. Null source: a source of its own, the last. Null id
