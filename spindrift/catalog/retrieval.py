@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +19,7 @@ from spindrift.operators.lexical import all_terms, best_field, postings
 from spindrift.operators.lexical import bm25_topk as bm25_topk_of
 from spindrift.operators.ranking import top_k
 from spindrift.plans.hybrid import arms, judgements, reranked, retrieve, retrieve_plans
+from spindrift.plans.providers import embed_ladder
 from spindrift.session import scratch_path
 
 STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
@@ -283,31 +283,36 @@ def doc_rollup_first(spark, sf_dir):
     return r.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("first_rank")).cast("long"))
 
 
-@query()
+#: CRC-32 of an ASCII word: for each byte, eight steps of the reflected polynomial.
+WORD_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(word, ''), lambda d: ascii(d)::BIGINT)),
+  lambda a, d: list_reduce(list_prepend(xor(a, d), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda e, z: xor(e >> 1, 3988292384 * (e & 1)))), 4294967295)"""
+
+
+HASHED = f"""w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS word FROM documents),
+h AS (SELECT word, {WORD_CRC32} AS h FROM (SELECT DISTINCT word FROM w)),
+c AS (SELECT doc_id, h % 64 AS place, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS n FROM w JOIN h USING (word) GROUP BY doc_id, h % 64),
+v AS (SELECT doc_id, sum(CASE WHEN place = 0 THEN n ELSE 0 END)::DOUBLE AS first, sqrt(sum(n * n)::DOUBLE) AS norm FROM c GROUP BY doc_id)"""
+
+
+@query(f"WITH {HASHED} SELECT c.doc_id, place, round(n / norm, 9) AS component FROM c JOIN v ON v.doc_id = c.doc_id WHERE n <> 0")
 def embed_hash(spark, sf_dir):
-    """Embeddings of all documents by the offline provider, in Arrow batches."""
+    """Embeddings of all documents by the offline provider, in Arrow batches; the components that are not zero."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("array<double>")
     def embed(text: pd.Series) -> pd.Series:
-        return pd.Series(list(hash_embed(text.fillna("").tolist()).astype(np.float32)))
+        return pd.Series(list(hash_embed(text.fillna("").tolist())))
 
-    return table(spark, sf_dir, "documents").select("doc_id", embed("text").alias("embedding")).select("doc_id", F.to_json("embedding").alias("embedding"))
+    parts = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(embed("text")).alias("place", "component")).where("component <> 0")
+    return parts.select("doc_id", F.col("place").cast("long").alias("place"), F.round("component", 9).alias("component"))
 
 
-@query()
+@query(f"""WITH {HASHED}
+SELECT d.doc_id, round(coalesce(CASE WHEN norm > 0 THEN first / norm END, 0), 9) AS component FROM documents d LEFT JOIN v ON v.doc_id = d.doc_id""")
 def embed_align(spark, sf_dir):
-    """Distinct texts are embedded once, and every row gets the vector of its text."""
-
-    @F.pandas_udf("double")
-    def first(text: pd.Series) -> pd.Series:
-        v = hash_embed(text.fillna("").tolist())
-        if len(v) != len(text):
-            raise ValueError("an embedding is missing")
-        return pd.Series(v[:, 0])
-
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("key"), "text")
-    once = d.groupBy("key").agg(F.first("text").alias("text")).select("key", first("text").alias("component"))
-    return d.select("doc_id", "key").join(once, "key").select("doc_id", "component")
+    """Distinct texts are embedded once, and every row gets the vector of its text (its first component here)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = embed_ladder(d, [("hashed", hash_embed)], "doc_id")
+    return out.select("doc_id", F.round(F.col("vector")[0], 9).alias("component"))
 
 
 @query("SELECT item_id, text FROM benchmark")
