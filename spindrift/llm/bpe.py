@@ -5,6 +5,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -19,7 +20,7 @@ from .common import Shipped, record_batch, small_batches
 #: Fixed values of the public byte-level vocabulary: how text is split before the merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Pieces in each half of the cache that a worker keeps; a full half replaces the older one.
+#: Pieces in each half of the cache that a task keeps; a full half replaces the older one.
 CACHE = 150_000
 
 
@@ -119,39 +120,39 @@ def transduce(piece: Iterable[int], m: Merges) -> Iterator[int]:
 
 
 class Encoder:
-    """Encodes texts; keeps the ids of the latest pieces in a cache of bounded size."""
+    """Encodes texts; keeps the ids of the latest pieces, packed, in a cache of bounded size."""
 
     def __init__(self, merges: Merges):
         self.merges, self.young, self.old = merges, {}, {}
+        self.decimal = {i: b"%d" % i for i in merges.text}
         self.split = regex.compile(SPLIT)
         names = "|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True)))
         self.cut = regex.compile(names) if names else None
 
-    def piece(self, text: str) -> tuple[bytes, tuple[int, ...]]:
-        """Decimal ids joined by commas, and the ids."""
+    def piece(self, text: str) -> bytes:
+        """The ids as four bytes each."""
         found = self.old.get(text)
         if found is None:
             m, data = self.merges, text.encode()
             short = len(data) < 2 * (m.longest + m.lookahead)  # what the transducer would keep whole
-            ids = tuple(merge_all([m.single[b] for b in data], m.rank, m.made) if short else transduce(data, m))
-            found = (b",".join(b"%d" % i for i in ids), ids)
+            ids = merge_all([m.single[b] for b in data], m.rank, m.made) if short else transduce(data, m)
+            found = array("i", ids).tobytes()
         if len(text) <= 64:
             if len(self.young) >= CACHE:
                 self.old, self.young = self.young, {}
             self.young[text] = found
         return found
 
-    def encode(self, text: str) -> Iterator[tuple[bytes, tuple[int, ...]]]:
-        """Each piece of the text in order; special tokens stand for themselves."""
+    def encode(self, text: str) -> Iterator[bytes]:
+        """The packed ids of each piece of the text in order; special tokens stand for themselves."""
         at = 0
         for hit in self.cut.finditer(text) if self.cut else ():
             yield from self._plain(text[at : hit.start()])
-            token = self.merges.special[hit[0]]
-            yield b"%d" % token, (token,)
+            yield array("i", [self.merges.special[hit[0]]]).tobytes()
             at = hit.end()
         yield from self._plain(text[at:] if at else text)
 
-    def _plain(self, text: str) -> Iterator[tuple[bytes, tuple[int, ...]]]:
+    def _plain(self, text: str) -> Iterator[bytes]:
         get, piece = self.young.get, self.piece
         pieces = self.split.findall(text) if len(text) <= 1 << 20 else (hit[0] for hit in self.split.finditer(text))
         for p in pieces:
@@ -175,13 +176,14 @@ def round_trip(text: str, encoder: Encoder, keep_ids: bool, keep_text: bool, blo
     ids, plain = [np.zeros(0, np.int32)], []
     decoder, pieces = Decoder(encoder.merges), encoder.encode(text)
     while some := list(islice(pieces, block)):
-        said.update((b"," if n else b"") + b",".join([x for x, _ in some]))
-        own = [i for _, p in some for i in p]
+        packed = np.frombuffer(b"".join(some), np.int32)
+        own = packed.tolist()
+        said.update((b"," if n else b"") + b",".join(map(encoder.decimal.__getitem__, own)))
         n += len(own)
         chunk = decoder.feed(own)
         back.update(chunk.encode())
         if keep_ids:
-            ids.append(np.array(own, np.int32))
+            ids.append(packed)
         if keep_text:
             plain.append(chunk)
     rest = decoder.feed((), True)
@@ -215,10 +217,8 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     parts = [0, 1, 2, *([3] if keep_ids else []), *([4] if keep_text else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = shipped.value
-        # The worker keeps a broadcast value between its tasks, and with it the cache of pieces.
-        encoder = merges.__dict__.setdefault("encoder", None) or Encoder(merges)
-        merges.encoder = encoder
+        # The cache goes with its task: Spark keeps more workers than run at a time, and idle ones would each hold one.
+        encoder = Encoder(shipped.value)
         for batch in batches:
             done = [round_trip(t or "", encoder, keep_ids, keep_text) for t in batch.column(1).to_pylist()]
             yield record_batch(schema, (batch.column(0), *([x[i] for x in done] for i in parts)))
