@@ -1,16 +1,21 @@
 """Language-model scores by a hierarchical Pitman-Yor model, sampled over the whole corpus.
 
 Each preceding word has a restaurant that serves the words which follow it. All of them share one
-parent, the restaurant of words without context, whose own parent is an even base. A word that makes
-up less than one token in 2 ** 20 of training is *rare*: rare words are one dish of these
-restaurants, share one context, and are told apart by a third restaurant, in which words that
-training lacks are one outcome. So probabilities after any word add up to one.
+parent, the restaurant of words without context, whose own parent is an even base over the words of
+training, with half for one outcome that stands for all others. Every word of training has a
+restaurant and is a dish, whatever its count and the size of the corpus.
+
+Only how a word is named depends on its count: those with at least one token in 2 ** 20 of training
+have numbers that every task knows, all others are named by 63 bits of a hash. A bucket lists the
+names that it holds, and what is known of a word in the whole corpus is joined to it by name.
 
 Occurrences of word pairs are dealt once, packed, to buckets of restaurants; the restaurant of a
 very common word is cut into pieces by the word that follows. In each round, Spark tasks sweep over
 the seating of their restaurants (Gibbs: the tables of a dish from their conditional, given all
 others), the number of tables of each word is added up, and the driver samples the one parent
-restaurant and draws strength and discount on a grid. Probabilities are averaged over the sweeps.
+restaurant and draws strength and discount on a grid. The parent's base is even, so words with
+equally many tables are alike there, and a histogram of these numbers is all that the driver needs.
+Probabilities are averaged over the sweeps.
 """
 
 from __future__ import annotations
@@ -28,9 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import Shipped, as_bytes, batch_rows, fold_of, record_batch, stored, words_of
 
-#: Bits of a word's number, and the share of tokens (1 in 2 ** SHARE) from which a word is not rare.
-#: By that share no more than 2 ** SHARE words are numbered, whatever the size of the corpus.
-BITS, SHARE = 22, 20
+#: Bits of a word's number in a bucket, and the share of tokens (1 in 2 ** SHARE) from which every task knows it.
+#: By that share no more than 2 ** SHARE words are broadcast, whatever the size of the corpus.
+BITS, SHARE = 28, 20
 #: Tokens of a bucket of restaurants; a context with more than an eighth of it is cut into pieces.
 BUCKET = 1_600_000
 #: Tokens and documents that a task packs at a time.
@@ -136,11 +141,11 @@ class Seating(NamedTuple):
     large: np.ndarray  # of the other dishes: their number, log customers, tables but one
 
     @classmethod
-    def of(cls, customers: np.ndarray, tables: np.ndarray) -> Seating:
+    def of(cls, customers: np.ndarray, tables: np.ndarray, weight: np.ndarray | None = None) -> Seating:
         few = customers <= EXACT
-        pairs = np.bincount(customers[few] * (EXACT + 1) + tables[few], minlength=(EXACT + 1) ** 2)
-        c, t = customers[~few], tables[~few]
-        return cls(pairs, np.array([len(c), np.log(c).sum(), (t - 1).sum()], np.float64))
+        pairs = np.bincount(customers[few] * (EXACT + 1) + tables[few], None if weight is None else weight[few], minlength=(EXACT + 1) ** 2)
+        c, t, w = customers[~few], tables[~few], 1.0 if weight is None else weight[~few]
+        return cls(pairs, np.array([(np.ones(len(c)) * w).sum(), (np.log(c) * w).sum(), ((t - 1) * w).sum()], np.float64))
 
     def weights(self) -> np.ndarray:
         """Log weights of the tables of all dishes for each discount: S(c, t), and its limit for large c."""
@@ -185,55 +190,44 @@ def sweep_rooms(context: np.ndarray, dish: np.ndarray, customers: np.ndarray, to
     return Rooms(contexts, room, sums / (sweeps - burn_in), tables)
 
 
-def sample_parent(customers: np.ndarray, base: np.ndarray, sweeps: int, burn_in: int, rng: np.random.Generator) -> np.ndarray:
-    """Averaged probabilities of one restaurant's dishes; strength and discount are drawn in every sweep."""
-    tables, seen = np.minimum(customers, 1), customers > 0
-    c, up, d, strength = customers[seen], base[seen], 0.5, 1.0
-    out = np.zeros(len(customers))
-    for sweep in range(sweeps):
-        tables[seen] = seat(c, tables.sum() - tables[seen], up, strength, d, stirling(d), rng)
-        held = Seating.of(c, tables[seen])
-        d, strength = draw_parameters(held.weights() + room_weights(tables.sum()[None], c.sum()[None]), rng)
-        if sweep >= burn_in:
-            out += (customers - d * tables + (strength + d * tables.sum()) * base) / (customers.sum() + strength)
-    return out / (sweeps - burn_in)
-
-
-class RareWords(NamedTuple):
-    """The restaurant of rare words. All have one base, so a word's chance depends on its count alone."""
+class Parent(NamedTuple):
+    """The restaurant of words without context. All have one base, so a word's chance depends on its customers alone."""
 
     counts: np.ndarray
-    log10: np.ndarray
+    chance: np.ndarray
     unknown: float
 
     @classmethod
-    def fit(cls, counts: np.ndarray, kinds: np.ndarray, rng: np.random.Generator, sweeps: int, burn_in: int) -> RareWords:
-        """``kinds`` words occur ``counts`` times. Half of the base goes to words that training lacks."""
+    def first(cls, counts: np.ndarray, kinds: np.ndarray) -> Parent:
+        """A start before any sweep: ``kinds`` words have ``counts`` customers."""
+        total, even = float((counts * kinds).sum()), 0.5 / max(kinds.sum(), 1)
+        return cls(counts, (counts + even) / (total + 1), (0.5 if len(counts) else 1.0) / (total + 1))
+
+    @classmethod
+    def fit(cls, counts: np.ndarray, kinds: np.ndarray, rng: np.random.Generator, sweeps: int, burn_in: int) -> Parent:
+        """Averaged chances; strength and discount are drawn in every sweep. Half of the base goes to words that training lacks."""
         if not len(counts):
-            return cls(np.zeros(0, np.int64), np.zeros(0), 0.0)
-        total, even, d, strength = int((counts * kinds).sum()), 0.5 / kinds.sum(), 0.5, 1.0
-        tables, chance, unknown = np.ones(len(counts)), np.zeros(len(counts)), 0.0
+            return cls.first(counts, kinds)
+        some = np.minimum(kinds, 1000)  # words of one count are alike: their draws are weighted
+        which, weight = np.repeat(np.arange(len(counts)), some), np.repeat(kinds / some, some)
+        total, even, d, strength = float((counts * kinds).sum()), 0.5 / kinds.sum(), 0.5, 1.0
+        customers, up = counts[which], np.full(len(which), even)
+        tables, chance, unknown = np.ones(len(which), np.int64), np.zeros(len(counts)), 0.0
         for sweep in range(sweeps):
-            held, many = Seating(np.zeros((EXACT + 1) ** 2), np.zeros(3)), []
-            for i, (c, n) in enumerate(zip(counts.tolist(), kinds.tolist(), strict=True)):
-                some = min(n, 1000)  # words of one count are alike: their draws are weighted
-                others = np.full(some, float((tables * kinds).sum() - tables[i]))
-                drawn = seat(np.full(some, c), others, np.full(some, even), strength, d, stirling(d) if c > 1 else np.zeros((EXACT + 1,) * 2), rng)
-                got = Seating.of(np.full(some, c), drawn)
-                held = Seating(held.pairs + got.pairs * (n / some), held.large + got.large * (n / some))
-                many.append(drawn.mean())
-            tables = np.array(many)
-            opened = float((tables * kinds).sum())
-            d, strength = draw_parameters(held.weights() + room_weights(np.array([opened]), np.array([total])), rng)
+            tables = seat(customers, (tables * weight).sum() - tables, up, strength, d, stirling(d), rng)
+            opened = float((tables * weight).sum())
+            d, strength = draw_parameters(Seating.of(customers, tables, weight).weights() + room_weights(np.array([opened]), np.array([total])), rng)
             if sweep >= burn_in:
-                chance += (counts - d * tables + (strength + d * opened) * even) / (strength + total)
+                mean = np.bincount(which, tables, len(counts)) / some
+                chance += (counts - d * mean + (strength + d * opened) * even) / (strength + total)
                 unknown += (strength + d * opened) / (strength + total) / 2
-        n = sweeps - burn_in
-        return cls(counts, np.log10(chance / n), float(np.log10(unknown / n)))
+        return cls(counts, chance / (sweeps - burn_in), unknown / (sweeps - burn_in))
 
     def of(self, n: np.ndarray) -> np.ndarray:
-        i = np.minimum(np.searchsorted(self.counts, n), max(len(self.counts) - 1, 0))
-        return np.where(n > 0, self.log10[i], self.unknown) if len(self.counts) else np.full(len(n), self.unknown)
+        """Chance of words with so many customers; 0 for those that training lacks."""
+        if not len(self.counts):
+            return np.full(len(n), self.unknown)
+        return np.where(n > 0, self.chance[np.minimum(np.searchsorted(self.counts, n), len(self.counts) - 1)], self.unknown)
 
 
 def packed(a: np.ndarray) -> bytes:
@@ -259,7 +253,7 @@ def risen(b: bytes, dtype) -> np.ndarray:
 
 
 class Words(dict):
-    """Numbers of frequent words; a rare word's is negative and made of 63 bits of a hash."""
+    """Numbers of frequent words; any other word's is negative and made of 63 bits of a hash, its name."""
 
     def __missing__(self, word: bytes) -> int:
         return -1 - (xxhash.xxh64_intdigest(word) >> 1)
@@ -269,7 +263,7 @@ class Plan(NamedTuple):
     """What every task knows: the numbers of frequent words, their counts, and how contexts are dealt."""
 
     words: Words
-    counts: np.ndarray  # by number; then all rare words; then the starts of documents
+    counts: np.ndarray  # by number; then the starts of documents
     pieces: np.ndarray  # of each context
     buckets: int
     rare_buckets: int
@@ -277,15 +271,26 @@ class Plan(NamedTuple):
     kinds: int
 
     @property
-    def rare(self) -> int:
-        return len(self.counts) - 2
+    def start(self) -> int:
+        return len(self.counts) - 1
 
     def base(self, n: np.ndarray) -> np.ndarray:
         return np.log10((n + 0.5) / (self.total + 0.5 * (self.kinds + 1)))
 
     def bucket_of(self, context: np.ndarray, dish: np.ndarray) -> np.ndarray:
-        piece = mixed(dish) % self.pieces[context].astype(np.uint64)
-        return (mixed(context * (1 << BITS) + piece.astype(np.int64)) % np.uint64(self.buckets)).astype(np.int64)
+        """Buckets of pairs, by number or, if negative, by name."""
+        piece = mixed(dish) % np.where(context < 0, 1, self.pieces[np.maximum(context, 0)]).astype(np.uint64)
+        return (mixed(mixed(context).view(np.int64) + piece.astype(np.int64)) % np.uint64(self.buckets)).astype(np.int64)
+
+    def local(self, codes: np.ndarray, names: np.ndarray) -> np.ndarray:
+        """Numbers within a chunk: names go on after the numbered words."""
+        return np.where(codes < 0, len(self.counts) + np.searchsorted(names, -1 - codes), codes)
+
+    def totals(self, keys: np.ndarray, counts: np.ndarray, names: int) -> np.ndarray:
+        """Customers of each context; a named one is whole in its bucket."""
+        context, first = keys >> BITS, len(self.counts)
+        own = context >= first
+        return np.r_[self.counts, np.bincount(context[own] - first, counts[own], names).astype(np.int64)]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -294,11 +299,28 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-POSTINGS = "kind int, bucket long, first long, keys binary, per binary, doc binary, times binary"
-POSTINGS_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("first", pa.int64()), ("keys", pa.binary()), ("per", pa.binary()), ("doc", pa.binary()), ("times", pa.binary())])
+POSTINGS = "kind int, bucket long, first long, names binary, keys binary, per binary, doc binary, times binary"
+POSTINGS_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("first", pa.int64()), ("names", pa.binary()), ("keys", pa.binary()), ("per", pa.binary()), ("doc", pa.binary()), ("times", pa.binary())])
+
 
+def renamed(keys: np.ndarray, base: int, new: np.ndarray) -> np.ndarray:
+    """Keys with other numbers for names, which go on after ``base``; ``new`` rises, so the keys' order stays."""
+    both = [keys >> BITS, keys & ((1 << BITS) - 1)]
+    for x in both:
+        at = np.flatnonzero(x >= base)
+        x[at] = base + new[x[at] - base]
+    return (both[0] << BITS) | both[1]
 
-def postings(kind: int, first: int, bucket: np.ndarray, key: np.ndarray, order: np.ndarray, doc: np.ndarray) -> Iterator[tuple]:
+
+def names_in(keys: np.ndarray, base: int, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The names that keys hold, and the keys with numbers for these alone."""
+    held = np.zeros(len(names), bool)
+    for x in (keys >> BITS, keys & ((1 << BITS) - 1)):
+        held[x[x >= base] - base] = True
+    return names[held], renamed(keys, base, np.cumsum(held) - 1)
+
+
+def postings(kind: int, first: int, bucket: np.ndarray, key: np.ndarray, order: np.ndarray, doc: np.ndarray, base: int = 0, names: np.ndarray | None = None) -> Iterator[tuple]:
     """A row for each bucket: its distinct keys, in how many documents each stands, which, and how often."""
     bucket, key, doc = bucket[order], key[order], doc[order]
     new_key = np.r_[True, (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])]
@@ -310,11 +332,12 @@ def postings(kind: int, first: int, bucket: np.ndarray, key: np.ndarray, order:
     ends = np.r_[keys_at, len(new)]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         x, y = ends[a], ends[b]
-        yield kind, int(owner[a]), first, steps(key[new[keys_at[a:b]]].astype(np.uint64)), packed(per[a:b].astype(np.uint16)), packed(doc[new[x:y]].astype(np.uint16)), packed(times[x:y].astype(np.uint32))
+        own, keys = (b"", key[new[keys_at[a:b]]]) if names is None else names_in(key[new[keys_at[a:b]]], base, names)
+        yield kind, int(owner[a]), first, own if names is None else steps(own), steps(keys.astype(np.uint64)), packed(per[a:b].astype(np.uint16)), packed(doc[new[x:y]].astype(np.uint16)), packed(times[x:y].astype(np.uint32))
 
 
 def pack_documents(docs: DataFrame, plan: Shipped) -> DataFrame:
-    """Occurrences of ``(doc, text, held)`` as ``POSTINGS``: kind 1 word pairs, 2 rare words, 0 the documents.
+    """Occurrences of ``(doc, text, held)`` as ``POSTINGS``: kind 1 word pairs, 2 named words, 0 the documents.
 
     ``first`` names the chunk, and documents are counted in it; one that goes on in the next chunk is
     in both, under one number.
@@ -322,7 +345,7 @@ def pack_documents(docs: DataFrame, plan: Shipped) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Plan = plan.value
-        number, words, start = (TaskContext.get().partitionId() << 40) - 1, own.words, own.rare + 1
+        number, words, start = (TaskContext.get().partitionId() << 40) - 1, own.words, own.start
         parts: list = []
         rows_of: dict = {}
         held_tokens, chunk = 0, number
@@ -331,11 +354,13 @@ def pack_documents(docs: DataFrame, plan: Shipped) -> DataFrame:
             codes = np.concatenate([c for _, c, _ in parts])
             first, lead = chunk, parts[0][0]
             doc = np.repeat([(n - lead) * 2 + rows_of[n][1] for n, _, _ in parts], [len(c) for _, c, _ in parts])
-            ids = np.where(codes < 0, own.rare, codes)
-            context = np.r_[0, ids[:-1]]
+            context = np.r_[0, codes[:-1]]
             context[np.cumsum([0, *[len(c) for _, c, _ in parts[:-1]]])] = [p for _, _, p in parts]
-            bucket, key = own.bucket_of(context, ids), (context << BITS) | ids
-            out = list(postings(1, first, bucket, key, np.argsort((bucket << (2 * BITS)) | key, kind="stable"), doc))
+            names = np.unique(-1 - np.r_[codes[codes < 0], context[context < 0]])
+            bucket, ids = own.bucket_of(context, codes), own.local(codes, names)
+            key = (own.local(context, names) << BITS) | ids
+            order = np.argsort(key, kind="stable")
+            out = list(postings(1, first, bucket, key, order[np.argsort(bucket[order], kind="stable")], doc, len(own.counts), names))
             at = np.flatnonzero(codes < 0)
             if len(at):
                 key = -1 - codes[at]
@@ -343,10 +368,10 @@ def pack_documents(docs: DataFrame, plan: Shipped) -> DataFrame:
             numbers = np.array(sorted(rows_of), np.int64)
             sizes = np.bincount((doc >> 1), minlength=len(numbers))
             known = np.bincount(doc >> 1, codes >= 0, len(numbers)).astype(np.int64)
-            base = np.bincount(doc >> 1, np.where(codes >= 0, own.base(own.counts[ids]), 0.0), len(numbers))
+            base = np.bincount(doc >> 1, np.where(codes >= 0, own.base(own.counts[np.maximum(codes, 0)]), 0.0), len(numbers))
             flags = np.array([rows_of[n][1] + 2 * (rows_of[n][0] is None) for n in numbers], np.uint8)
             docs_ = np.array([rows_of[n][0] or 0 for n in numbers], np.int64)
-            out.append((0, int(mixed(np.array([first]))[0] >> np.uint64(1)), first, packed(docs_), packed(flags), packed(np.concatenate([sizes, known, [lead]])), packed(base)))
+            out.append((0, int(mixed(np.array([first]))[0] >> np.uint64(1)), first, b"", packed(docs_), packed(flags), packed(np.concatenate([sizes, known, [lead]])), packed(base)))
             return record_batch(POSTINGS_ARROW, list(zip(*out, strict=True)))
 
         for batch in batches:
@@ -363,7 +388,7 @@ def pack_documents(docs: DataFrame, plan: Shipped) -> DataFrame:
                     parts.append((number, codes, previous))
                     rows_of[number] = (doc, int(held))
                     held_tokens += len(codes)
-                    previous = own.rare if codes[-1] < 0 else int(codes[-1])
+                    previous = int(codes[-1])
         if parts:
             chunk += 1
             yield emit()
@@ -381,17 +406,21 @@ def _ended(lists: Iterator[list[bytes]]) -> Iterator[list[bytes]]:
     yield [*(held or []), END]
 
 
-def gather_rooms(packed_docs: DataFrame) -> DataFrame:
-    """A row for each bucket: sorted keys, how often training has each, and the documents' lists as they came."""
-    schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("first", pa.list_(pa.int64())), ("at", pa.list_(pa.binary())), ("per", pa.list_(pa.binary())), ("doc", pa.list_(pa.binary())), ("times", pa.list_(pa.binary()))])
+def gather_rooms(packed_docs: DataFrame, base: int) -> DataFrame:
+    """A row for each bucket: sorted names, sorted keys (with names numbered from ``base``), how often training has each, and the documents' lists as they came."""
+    schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("names", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("first", pa.list_(pa.int64())), ("at", pa.list_(pa.binary())), ("per", pa.list_(pa.binary())), ("doc", pa.list_(pa.binary())), ("times", pa.list_(pa.binary()))])
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         kind, bucket = (k.as_py() for k in key)
         group = group.sort_by("first")
-        first, keys, per, doc, times = (group.column(n).to_pylist() for n in ("first", "keys", "per", "doc", "times"))
+        first, names, keys, per, doc, times = (group.column(n).to_pylist() for n in ("first", "names", "keys", "per", "doc", "times"))
         if kind == 0:
-            return pa.Table.from_pylist([{"kind": 0, "bucket": bucket, "keys": b"", "counts": b"", "first": first, "at": keys, "per": per, "doc": doc, "times": times}], schema=schema)
-        own = [risen(k, np.uint64) for k in keys]
+            return pa.Table.from_pylist([{"kind": 0, "bucket": bucket, "names": b"", "keys": b"", "counts": b"", "first": first, "at": keys, "per": per, "doc": doc, "times": times}], schema=schema)
+        own, united = [risen(k, np.uint64) for k in keys], np.zeros(0, np.int64)
+        if kind == 1:
+            lists = [risen(n, np.int64) for n in names]
+            united = np.unique(np.concatenate(lists))
+            own = [renamed(k.astype(np.int64), base, np.searchsorted(united, n)).astype(np.uint64) for k, n in zip(own, lists, strict=True)]
         merged = np.unique(np.concatenate(own))
         counts, at = np.zeros(len(merged), np.int64), []
         for k, p, d, t in zip(own, per, doc, times, strict=True):
@@ -399,10 +428,10 @@ def gather_rooms(packed_docs: DataFrame) -> DataFrame:
             trained = np.where(unpacked(d, np.uint16) & 1, 0, unpacked(t, np.uint32)).astype(np.int64)
             counts[where] += np.add.reduceat(trained, np.r_[0, np.cumsum(unpacked(p, np.uint16), dtype=np.int64)[:-1]])
             at.append(steps(where.astype(np.uint32)))
-        row = {"kind": kind, "bucket": bucket, "keys": steps(merged), "counts": packed(counts), "first": first, "at": at, "per": per, "doc": doc, "times": times}
+        row = {"kind": kind, "bucket": bucket, "names": steps(united), "keys": steps(merged), "counts": packed(counts), "first": first, "at": at, "per": per, "doc": doc, "times": times}
         return pa.Table.from_pylist([row], schema=schema)
 
-    ddl = "kind int, bucket long, keys binary, counts binary, first array<long>, at array<binary>, per array<binary>, doc array<binary>, times array<binary>"
+    ddl = "kind int, bucket long, names binary, keys binary, counts binary, first array<long>, at array<binary>, per array<binary>, doc array<binary>, times array<binary>"
     return packed_docs.groupBy("kind", "bucket").applyInArrow(run, ddl)
 
 
@@ -410,7 +439,8 @@ class Round(NamedTuple):
     """What the tasks of one round are given."""
 
     number: int
-    parent: np.ndarray
+    parent: Parent
+    top: np.ndarray  # chances of the numbered words
     d: float
     strength: float
     sweeps: int
@@ -418,16 +448,68 @@ class Round(NamedTuple):
     seed: int
 
 
-def swept(own: Plan, now: Round, bucket: int, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, Rooms]:
-    """Where a bucket's keys have customers, those, and their seating after the round's sweeps."""
-    seen = np.flatnonzero(counts)
-    key = keys[seen].astype(np.int64)
+class Bucket(NamedTuple):
+    """A bucket after the round's sweeps; its names are numbered after the words that every task knows."""
+
+    keys: np.ndarray
+    seen: np.ndarray  # where keys have customers
+    customers: np.ndarray
+    rooms: Rooms
+    totals: np.ndarray  # customers of each context
+    pieces: np.ndarray
+    parent: np.ndarray
+
+
+def swept(own: Plan, now: Round, bucket: int, keys: np.ndarray, counts: np.ndarray, held: np.ndarray) -> Bucket:
+    """Sweep over a bucket; ``held`` has the parent's customers for each of its names."""
+    seen, all_keys = np.flatnonzero(counts), keys.astype(np.int64)
+    key, customers = all_keys[seen], counts[seen]
+    totals, parent = own.totals(key, customers, len(held)), np.r_[now.top, 0.0, now.parent.of(held)]
     rng = np.random.Generator(np.random.PCG64([now.seed, now.number, bucket]))
-    return seen, counts[seen], sweep_rooms(key >> BITS, key & ((1 << BITS) - 1), counts[seen], own.counts, now.parent, now.d, now.strength, now.sweeps, now.burn_in, rng)
+    rooms = sweep_rooms(key >> BITS, key & ((1 << BITS) - 1), customers, totals, parent, now.d, now.strength, now.sweeps, now.burn_in, rng)
+    return Bucket(all_keys, seen, customers, rooms, totals, np.r_[own.pieces, np.ones(len(held), np.int64)], parent)
 
 
-def run_round(rooms: DataFrame, plan: Shipped, now: Round) -> tuple[np.ndarray, dict[int, float], np.ndarray]:
-    """Tables of each dish, averaged tables of the contexts that are cut into pieces, and the grid's log weights.
+def members_of(rooms: DataFrame) -> DataFrame:
+    """``(bucket, name)`` of the names in every bucket."""
+    schema = pa.schema([("bucket", pa.int64()), ("name", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = risen(names, np.int64)
+                yield record_batch(schema, (np.full(len(own), bucket), own))
+
+    return rooms.where("kind = 1").select("bucket", "names").mapInArrow(run, "bucket long, name long")
+
+
+def named_counts(rooms: DataFrame) -> DataFrame:
+    """``(name, n)``: how often training has each named word."""
+    schema = pa.schema([("name", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield record_batch(schema, (risen(keys, np.uint64).astype(np.int64), unpacked(counts, np.int64)))
+
+    return rooms.where("kind = 2").select("keys", "counts").mapInArrow(run, "name long, n long").where("n > 0")
+
+
+def dealt(rooms: DataFrame, members: DataFrame, tables: DataFrame) -> DataFrame:
+    """``rooms`` with ``held``: the parent's customers ``(name, n)`` of each of a bucket's names, packed in their order."""
+    schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("held", pa.binary())])
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        n = group.sort_by("name").column("n").to_numpy()
+        return pa.Table.from_pylist([{"kind": 1, "bucket": key[0].as_py(), "held": packed(n)}], schema=schema)
+
+    known = members.join(tables, "name", "left").select("bucket", "name", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return rooms.join(known.groupBy("bucket").applyInArrow(run, "kind int, bucket long, held binary"), ["kind", "bucket"], "left")
+
+
+def run_round(rooms: DataFrame, plan: Shipped, now: Round) -> tuple[np.ndarray, DataFrame, dict[int, float], np.ndarray]:
+    """Tables of each numbered dish and, ``(name, n)``, of each named one; averaged tables of the contexts that are
+    cut into pieces, and the grid's log weights.
 
     What comes to the driver is bounded by the numbered words, whatever the size of the corpus.
     """
@@ -437,27 +519,32 @@ def run_round(rooms: DataFrame, plan: Shipped, now: Round) -> tuple[np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Plan = plan.value
-        tables, pairs, large, weights, cut = np.zeros(len(own.counts)), 0, np.zeros(3), np.zeros(grid), Counter()
+        first = len(own.counts)
+        tables, pairs, large, weights, cut = np.zeros(first), 0, np.zeros(3), np.zeros(grid), Counter()
         for batch in batches:
-            for bucket, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys = risen(keys, np.uint64)
-                seen, c, got = swept(own, shipped.value, bucket, keys, unpacked(counts, np.int64))
-                dish = keys[seen].astype(np.int64) & ((1 << BITS) - 1)
-                tables += np.bincount(dish, got.last, len(own.counts))
-                held = Seating.of(c, got.last)
-                pairs, large = pairs + held.pairs, large + held.large
+            for bucket, names, keys, counts, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                names = risen(names, np.int64)
+                b = swept(own, shipped.value, bucket, risen(keys, np.uint64), unpacked(counts, np.int64), unpacked(held or b"", np.int64))
+                got = b.rooms
+                opened = np.bincount(b.keys[b.seen] & ((1 << BITS) - 1), got.last, first + len(names))
+                tables += opened[:first]
+                at = np.flatnonzero(opened[first:])
+                yield record_batch(schema, (np.full(len(at), 5, np.int32), names[at], opened[first + at]))
+                seated = Seating.of(b.customers, got.last)
+                pairs, large = pairs + seated.pairs, large + seated.large
                 here, mean = (np.bincount(got.room, x, len(got.contexts)) for x in (got.last, got.tables))
-                whole = own.pieces[got.contexts] == 1
+                whole = b.pieces[got.contexts] == 1
                 for u, t in zip(got.contexts[~whole].tolist(), mean[~whole].tolist(), strict=True):
                     cut[u] += t
-                weights += room_weights(here[whole], own.counts[got.contexts][whole]).ravel()
+                weights += room_weights(here[whole], b.totals[got.contexts][whole]).ravel()
         for what, a in enumerate((tables, pairs + np.zeros((EXACT + 1) ** 2), np.round(large, 3), np.round(weights, 3))):
             at = np.flatnonzero(a)
             yield record_batch(schema, (np.full(len(at), what, np.int32), at, a[at]))
         yield record_batch(schema, (np.full(len(cut), 4, np.int32), list(cut), list(cut.values())))
 
     with batch_rows(rooms.sparkSession, 4):
-        sums = rooms.where("kind = 1").select("bucket", "keys", "counts").mapInArrow(run, "what int, key long, value double").groupBy("what", "key").agg(F.sum("value").alias("value")).toArrow()
+        found = stored(rooms.where("kind = 1").select("bucket", "names", "keys", "counts", "held").mapInArrow(run, "what int, key long, value double").groupBy("what", "key").agg(F.sum("value").alias("value")))
+    sums = found.where("what < 5").toArrow()
     what, key, value = (sums.column(i).to_numpy() for i in range(3))
     own: Plan = plan.local
 
@@ -469,21 +556,27 @@ def run_round(rooms: DataFrame, plan: Shipped, now: Round) -> tuple[np.ndarray,
     held = Seating(vector(1, (EXACT + 1) ** 2), vector(2, 3))
     cut = dict(zip(key[what == 4].tolist(), value[what == 4].tolist(), strict=True))
     whole = room_weights(np.maximum(np.array(list(cut.values())), 1), own.counts[list(cut)]) if cut else 0.0
-    return vector(0, len(own.counts)).astype(np.int64), cut, held.weights() + vector(3, grid).reshape(len(DISCOUNTS), -1) + whole
+    named = found.where("what = 5").select(F.col("key").alias("name"), F.col("value").cast("long").alias("n"))
+    return vector(0, own.start).astype(np.int64), named, cut, held.weights() + vector(3, grid).reshape(len(DISCOUNTS), -1) + whole
+
+
+def alike(numbered: np.ndarray, named: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How many words (second) have as many customers (first); at most sqrt(2 * total) counts of named words."""
+    rows = named.groupBy("n").count().collect()
+    counts, where = np.unique(np.r_[numbered, np.array([r[0] for r in rows], np.int64)], return_inverse=True)
+    return counts, np.bincount(where, np.r_[np.ones(len(numbered)), [r[1] for r in rows]], len(counts)).astype(np.int64)
 
 
-def chances(own: Plan, now: Round, cut: dict[int, float], parent: np.ndarray, bucket: int, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def chances(now: Round, cut: dict[int, float], b: Bucket) -> np.ndarray:
     """Averaged probability of each key's word after its context."""
-    seen, c, got = swept(own, now, bucket, keys, counts)
-    key = keys.astype(np.int64)
-    contexts, room = np.unique(key >> BITS, return_inverse=True)
-    tables = np.zeros(len(contexts))
+    contexts, room = np.unique(b.keys >> BITS, return_inverse=True)
+    tables, got = np.zeros(len(contexts)), b.rooms
     tables[np.searchsorted(contexts, got.contexts)] = np.bincount(got.room, got.tables, len(got.contexts))
-    for i in np.flatnonzero(own.pieces[contexts] > 1).tolist():
+    for i in np.flatnonzero(b.pieces[contexts] > 1).tolist():
         tables[i] = cut.get(int(contexts[i]), 0.0)
-    total = now.strength + own.counts[contexts]
-    out = ((now.strength + now.d * tables) / total)[room] * parent[key & ((1 << BITS) - 1)]
-    out[seen] += (c - now.d * got.tables) / total[room[seen]]
+    total = now.strength + b.totals[contexts]
+    out = ((now.strength + now.d * tables) / total)[room] * b.parent[b.keys & ((1 << BITS) - 1)]
+    out[b.seen] += (b.customers - now.d * got.tables) / total[room[b.seen]]
     return out
 
 
@@ -506,18 +599,14 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def make_plan(words: DataFrame, documents: int, share: int = SHARE, bucket: int = BUCKET) -> tuple[Plan, np.ndarray, np.ndarray]:
-    """The plan, and how many rare words (second) occur how often (first)."""
+def make_plan(words: DataFrame, documents: int, share: int = SHARE, bucket: int = BUCKET) -> Plan:
+    """The plan. ``share`` and ``bucket`` say where words and pairs are kept, not how they are modelled."""
     kinds, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     least = -(-total // (1 << share))
     top = words.where(F.col("n") >= least).orderBy(F.desc("n"), "word").toArrow()  # at most 2 ** share words
     names, n = top.column("word").to_pylist(), top.column("n").to_numpy().astype(np.int64)
-    rare = sorted(tuple(r) for r in words.where(F.col("n") < least).groupBy("n").count().collect())  # at most sqrt(2 * total) counts
-    counts, of = np.array([r[0] for r in rare], np.int64), np.array([r[1] for r in rare], np.int64)
-    rare_total = int((counts * of).sum())
-    numbered = np.r_[n, rare_total, documents].astype(np.int64)
-    plan = Plan(Words(zip(names, range(len(names)), strict=True)), numbered, np.maximum(1, -(-8 * numbered // bucket)), max(1, -(-total // bucket)), max(1, -(-4 * rare_total // bucket)), total, kinds)
-    return plan, counts, of
+    numbered = np.r_[n, documents].astype(np.int64)
+    return Plan(Words(zip(names, range(len(names)), strict=True)), numbered, np.maximum(1, -(-8 * numbered // bucket)), max(1, -(-total // bucket)), max(1, -(-4 * (total - int(n.sum())) // bucket)), total, kinds)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out_fold: int = 1, rounds: int = ROUNDS, sweeps: int = SWEEPS, burn_in: int = BURN_IN, share: int = SHARE, bucket: int = BUCKET, seed: int = SEED) -> DataFrame:
@@ -539,27 +628,27 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(id_col).isNull() | (fold == held_out_fold), F.lit(True)).alias("skip"))
     words = stored(count_words(docs.where("not skip").select("text")))
     documents = docs.where("not skip").count()
-    own, rare_counts, rare_kinds = make_plan(words, documents, share, bucket)
+    own = make_plan(words, documents, share, bucket)
     plan = Shipped(spark, own)
     with batch_rows(spark, 1000):
-        rooms = stored(gather_rooms(pack_documents(docs, plan)))
+        rooms = stored(gather_rooms(pack_documents(docs, plan), len(own.counts)))
 
     rng = np.random.Generator(np.random.PCG64(seed))
-    base = np.r_[np.full(own.rare, 0.5 / max(own.rare, 1)), 0.5 if own.rare else 1.0]
-    parent, d, strength = (own.counts[:-1] + base) / (own.counts[:-1].sum() + 1), 0.75, 2.0
+    members, top, named = stored(members_of(rooms)), own.counts[:-1], stored(named_counts(rooms))
+    parent, d, strength = Parent.first(*alike(top, named)), 0.75, 2.0
     for r in range(rounds):
-        now = Round(r, np.r_[parent, 0.0], d, strength, sweeps, burn_in, seed)
-        tables, cut, weights = run_round(rooms, plan, now)
+        now = Round(r, parent, parent.of(top), d, strength, sweeps, burn_in, seed)
+        before = named
+        top, named, cut, weights = run_round(dealt(rooms.select("kind", "bucket", "names", "keys", "counts").where("kind = 1"), members, named), plan, now)
         d, strength = draw_parameters(weights, rng)
-        parent = sample_parent(tables[:-1], base, 2 * sweeps, 2 * burn_in, rng)
-    rare = RareWords.fit(rare_counts, rare_kinds, rng, sweeps, burn_in)
-    last = Shipped(spark, (now, cut, np.r_[parent, 0.0], rare))
+        parent = Parent.fit(*alike(top, named), rng, 2 * sweeps, 2 * burn_in)
+    last = Shipped(spark, (now, cut, parent, parent.of(top)))
     partial = pa.schema([("first", pa.int64()), ("kind", pa.int32()), ("doc", pa.binary()), ("sums", pa.binary())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums for the documents of each chunk, over all buckets of a task: ``doc`` numbers them in the chunk."""
         mine: Plan = plan.value
-        final, pieces, top, rare_words = last.value
+        final, pieces, latest, chance = last.value
         found: dict[int, list] = {}
         size = 0
 
@@ -572,7 +661,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return record_batch(partial, list(zip(*rows, strict=True)))
 
         for batch in batches:
-            for kind, bucket_, keys, counts, firsts, *lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for kind, bucket_, keys, counts, firsts, held, later, *lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == 0:
                     for first, ids, flags, numbers, b in zip(firsts, *lists, strict=True):
                         more = np.concatenate([unpacked(ids, np.int64), unpacked(b, np.float64).view(np.int64), unpacked(numbers, np.int64)])
@@ -580,9 +669,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     continue
                 keys, counts = risen(keys, np.uint64), unpacked(counts, np.int64)
                 if kind == 1:
-                    value, b, known = np.log10(chances(mine, final, pieces, top, bucket_, keys, counts)), None, None
+                    room = swept(mine, final, bucket_, keys, counts, unpacked(held or b"", np.int64))
+                    parent_ = np.r_[chance, 0.0, latest.of(unpacked(later or b"", np.int64))]
+                    value, b, known = np.log10(chances(final, pieces, room._replace(parent=parent_))), None, None
                 else:
-                    value, b, known = rare_words.of(counts), mine.base(counts), counts > 0
+                    value, b, known = None, mine.base(counts), counts > 0
                 for first, at, per, doc, times in zip(firsts, *lists, strict=True):
                     at = np.repeat(risen(at, np.uint32), unpacked(per, np.uint16))
                     rows, where = np.unique(unpacked(doc, np.uint16) >> 1, return_inverse=True)
@@ -610,7 +701,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.Table.from_arrays([pa.array(lead + np.arange(len(flags))), pa.array(ids, mask=flags > 1), pa.array((flags & 1).astype(np.int32)), pa.array(tokens), pa.array(added[0].astype(np.int64)), pa.array(added[1]), pa.array(added[2])], schema=result)
 
     with batch_rows(spark, 4):
-        parts = rooms.select("kind", "bucket", "keys", "counts", "first", "at", "per", "doc", "times").mapInArrow(score, "first long, kind int, doc binary, sums binary")
+        both = dealt(dealt(rooms, members, before).withColumnRenamed("held", "earlier"), members, named)
+        parts = both.select("kind", "bucket", "keys", "counts", "first", "earlier", "held", "at", "per", "doc", "times").mapInArrow(score, "first long, kind int, doc binary, sums binary")
         chunks = parts.groupBy("first").applyInArrow(total, "row long, doc long, flags int, tokens long, known long, base double, model double")
         # A document that goes on in another chunk has a row in each.
         sums = chunks.groupBy("row").agg(F.max("doc").alias("doc_id"), F.max("flags").alias("flags"), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("model").alias("score"))

@@ -228,27 +228,50 @@ def test_room_probabilities_add_up(spark):
     rows = [(i, " ".join(words[i * 40 : i * 40 + 40]), i % 5 == 0) for i in range(150)]
     frame = spark.createDataFrame(rows, "doc long, text string, held boolean")
     counted = common.stored(pitman_yor.count_words(frame.where("not held").select("text")))
-    own, _, _ = pitman_yor.make_plan(counted, 120, 6, 700)  # at most 64 words are numbered, the rest is rare
-    assert 0 < own.rare < len(set(words)) and (own.pieces > 1).any() and (own.pieces == 1).any() and own.buckets > 1
-    plan = common.Shipped(spark, own)
-    rooms = common.stored(pitman_yor.gather_rooms(pitman_yor.pack_documents(frame, plan)))
-    parent = np.full(own.rare + 1, 1 / (own.rare + 1))
-    now = pitman_yor.Round(0, np.r_[parent, 0.0], 0.6, 2.0, 4, 1, 1)
-    _, cut, weights = pitman_yor.run_round(rooms, plan, now)
+    own = pitman_yor.make_plan(counted, 120, 6, 700)  # at most 64 words are numbered, the rest is named by a hash
+    assert 0 < own.start < counted.count() and (own.pieces > 1).any() and (own.pieces == 1).any() and own.buckets > 1
+    known = [r["word"].decode() for r in counted.where("word <> X'0A'").collect()]
+    every = [*known, "zz"]  # all words of training, and one that it lacks
+    pairs = [*(" ".join(f"{u} {w}" for w in every) + f" {u}" for u in every), *every, ""]
+    frame = frame.where("not held").unionByName(spark.createDataFrame([(1000 + i, t, True) for i, t in enumerate(pairs)], "doc long, text string, held boolean"))
+    plan, base = common.Shipped(spark, own), len(own.counts)
+    rooms = common.stored(pitman_yor.gather_rooms(pitman_yor.pack_documents(frame, plan), base))
+    named = common.stored(pitman_yor.named_counts(rooms))
+    assert named.count() == counted.count() - own.start
+    parent = pitman_yor.Parent.first(*pitman_yor.alike(own.counts[:-1], named))
+    now = pitman_yor.Round(0, parent, parent.of(own.counts[:-1]), 0.6, 2.0, 4, 1, 1)
+    full = common.stored(pitman_yor.dealt(rooms, pitman_yor.members_of(rooms), named))
+    top, later, cut, weights = pitman_yor.run_round(full, plan, now)
     end = own.words[pitman_yor.END]  # nothing follows it
     assert set(cut) | {end} == set(np.flatnonzero((own.pieces > 1) & (own.counts > 0)).tolist()) | {end} and np.isfinite(weights).all()
-    every = np.array([(u << pitman_yor.BITS) | w for u in range(own.rare + 2) for w in range(own.rare + 1)])
-    owner = own.bucket_of(every >> pitman_yor.BITS, every & ((1 << pitman_yor.BITS) - 1))
-    total = np.zeros(own.rare + 2)
-    held = {r["bucket"]: r for r in rooms.where("kind = 1").collect()}
-    for b in np.unique(owner):
-        keys, counts = every[owner == b], np.zeros((owner == b).sum(), np.int64)
-        if b in held:
-            counts[np.searchsorted(keys, pitman_yor.risen(held[b]["keys"], np.uint64).astype(np.int64))] = pitman_yor.unpacked(held[b]["counts"], np.int64)
-        total += np.bincount(keys >> pitman_yor.BITS, pitman_yor.chances(own, now, cut, now.parent, int(b), keys, counts), len(total))
-    assert np.delete(total, end) == pytest.approx(np.ones(len(total) - 1))
-    rare = pitman_yor.RareWords.fit(np.array([1, 2, 7]), np.array([5, 3, 1]), np.random.default_rng(0), 6, 2)
-    assert (10**rare.of(np.array([1] * 5 + [2] * 3 + [7]))).sum() + 10**rare.unknown == pytest.approx(1)
+    assert (top > 0).all() and later.count() == named.count()
+    total, seen = Counter(), set()
+    for r in full.where("kind = 1").collect():
+        keys, names = pitman_yor.risen(r["keys"], np.uint64), pitman_yor.risen(r["names"], np.int64)
+        b = pitman_yor.swept(own, now, r["bucket"], keys, pitman_yor.unpacked(r["counts"], np.int64), pitman_yor.unpacked(r["held"] or b"", np.int64))
+        code = lambda x: int(x) if x < base else -1 - int(names[x - base])  # noqa: E731, B023
+        for key, chance in zip(b.keys.tolist(), pitman_yor.chances(now, cut, b).tolist(), strict=True):
+            u, w = code(key >> pitman_yor.BITS), code(key & ((1 << pitman_yor.BITS) - 1))
+            assert (u, w) not in seen
+            seen.add((u, w))
+            total[u] += chance
+    assert len(seen) == (len(every) + 1) ** 2 and end not in total
+    assert list(total.values()) == pytest.approx([1.0] * (len(every) + 1))
+    fitted = pitman_yor.Parent.fit(np.array([1, 2, 7]), np.array([5, 3, 1]), np.random.default_rng(0), 6, 2)
+    assert fitted.of(np.array([1] * 5 + [2] * 3 + [7])).sum() + fitted.unknown == pytest.approx(1)
+
+
+def test_scores_do_not_depend_on_which_words_are_numbered(spark):
+    """Words below a share of the corpus keep their contexts, so the size of the corpus does not choose the model."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 400}" for _ in range(rng.randrange(60)))) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    all_numbered, few = ({r["doc_id"]: r for r in pitman_yor.score_documents(frame, share=share, bucket=700).collect()} for share in (20, 3))
+    tokens = sum(r["n_tokens"] for r in few.values())
+    assert sum(r["score"] for r in few.values()) / tokens == pytest.approx(sum(r["score"] for r in all_numbered.values()) / tokens, abs=0.004)
+    for i, r in few.items():
+        assert r["n_known"] == all_numbered[i]["n_known"] and r["base_score"] == pytest.approx(all_numbered[i]["base_score"])
+        assert r["score"] / r["n_tokens"] == pytest.approx(all_numbered[i]["score"] / r["n_tokens"], abs=0.1)
 
 
 def test_seating_equals_a_sampler_that_moves_one_customer_at_a_time():
