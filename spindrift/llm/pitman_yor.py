@@ -125,7 +125,8 @@ def room_weights(tables: np.ndarray, customers: np.ndarray) -> np.ndarray:
     """Log weights, on the grid, of how many tables restaurants of so many customers have."""
     if not len(tables):
         return np.zeros((len(DISCOUNTS), len(STRENGTHS)))
-    (t, c), n = np.unique(np.stack([tables, customers]), axis=1, return_counts=True)  # most restaurants are small and alike
+    both, n = np.unique(tables + 1j * customers, return_counts=True)  # most restaurants are small and alike
+    t, c = both.real, both.imag
     seated = np.stack([log_gamma(y + c) - log_gamma(np.array(y + 1)) for y in STRENGTHS])
 
     def opened(x: float, y: float) -> np.ndarray:
