@@ -7,7 +7,8 @@ restaurant and is a dish, whatever its count and the size of the corpus.
 
 Only how a word is named depends on its count: those with at least one token in 2 ** 20 of training
 have numbers that every task knows, all others are named by 63 bits of a hash. A bucket lists the
-names that it holds, and what is known of a word in the whole corpus is joined to it by name.
+names that it holds, packed by ranges of names. What is known of words in the whole corpus meets
+them by range, and comes back to each bucket as one packed array.
 
 Occurrences of word pairs are dealt once, packed, to buckets of restaurants; the restaurant of a
 very common word is cut into pieces by the word that follows. In each round, Spark tasks sweep over
@@ -38,12 +39,18 @@ from .common import Shipped, as_bytes, batch_rows, fold_of, record_batch, stored
 BITS, SHARE = 28, 20
 #: Tokens of a bucket of restaurants; a context with more than an eighth of it is cut into pieces.
 BUCKET = 1_600_000
+#: Ranges that names are cut into where no plan says how many.
+RANGES = 16
+#: Numbers of a block of words whose tables are added up together.
+BLOCK = 1 << 16
 #: Tokens and documents that a task packs at a time.
 CHUNK, CHUNK_DOCS = 1_500_000, 1 << 15
 #: Rounds; Gibbs sweeps of a round, and those of them that are not averaged.
 ROUNDS, SWEEPS, BURN_IN = 3, 5, 2
 #: Customers up to which the tables of a dish are drawn from their exact conditional.
 EXACT = 64
+#: Customers up to which the weights of numbers of tables are far from the limits of a double, so no logarithms are taken.
+DIRECT = 16
 #: Values that discount and strength are drawn from.
 DISCOUNTS = np.arange(1, 20) / 20
 STRENGTHS = np.array([0.1, 0.5, 2.0, 8.0, 32.0, 128.0, 512.0])
@@ -93,6 +100,15 @@ def seat(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, strength
         step = max(1, (1 << 20) // c)
         for at in range(a, b, step):
             rows = order[at : min(b, at + step)]
+            if c <= DIRECT:
+                base, up, weight, own = strength + d * others[rows], parent[rows], 1.0, np.exp(table[c])
+                sums = np.empty((c, len(rows)))
+                sums[0] = own[1]  # the first table is opened in any case
+                for j in range(1, c):
+                    weight = weight * ((base + d * j) * up)
+                    sums[j] = sums[j - 1] + weight * own[j + 1]
+                out[rows] = 1 + (sums < rng.random(len(rows)) * sums[-1]).sum(axis=0)
+                continue
             open_ = np.log((strength + d * (others[rows, None] + np.arange(c))) * parent[rows, None])
             logit = np.cumsum(open_, axis=1) + table[c, 1 : c + 1]
             chance = np.exp(logit - logit.max(axis=1, keepdims=True)).cumsum(axis=1)
@@ -253,6 +269,21 @@ def risen(b: bytes, dtype) -> np.ndarray:
     return np.cumsum(unpacked(b, dtype), dtype=dtype)
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers. A stable sort merges lists that are sorted already."""
+    a = np.sort(a, kind="stable")
+    return a[np.r_[True, a[1:] != a[:-1]]] if len(a) else a
+
+
+def range_of(names: np.ndarray, ranges: int) -> np.ndarray:
+    """Equal ranges of names, which are evenly spread; ``range_column`` is the same of a column."""
+    return ((names >> 32) * ranges) >> 31
+
+
+def range_column(name: str, ranges: int):
+    return F.shiftright(F.shiftright(name, 32) * F.lit(ranges).cast("long"), 31)
+
+
 class Words(dict):
     """Numbers of frequent words; any other word's is negative and made of 63 bits of a hash, its name."""
 
@@ -271,6 +302,11 @@ class Plan(NamedTuple):
     total: int
     kinds: int
 
+    @property
+    def ranges(self) -> int:
+        """Ranges of names: a task that adds up what is known of one holds a few million names at most."""
+        return -(-self.rare_buckets // 4)
+
     @property
     def start(self) -> int:
         return len(self.counts) - 1
@@ -285,7 +321,9 @@ class Plan(NamedTuple):
 
     def local(self, codes: np.ndarray, names: np.ndarray) -> np.ndarray:
         """Numbers within a chunk: names go on after the numbered words."""
-        return np.where(codes < 0, len(self.counts) + np.searchsorted(names, -1 - codes), codes)
+        out, at = codes.copy(), np.flatnonzero(codes < 0)
+        out[at] = len(self.counts) + np.searchsorted(names, -1 - codes[at])
+        return out
 
     def totals(self, keys: np.ndarray, counts: np.ndarray, names: int) -> np.ndarray:
         """Customers of each context; a named one is whole in its bucket."""
@@ -355,17 +393,19 @@ def pack_documents(docs: DataFrame, plan: Shipped) -> DataFrame:
             codes = np.concatenate([c for _, c, _ in parts])
             first, lead = chunk, parts[0][0]
             doc = np.repeat([(n - lead) * 2 + rows_of[n][1] for n, _, _ in parts], [len(c) for _, c, _ in parts])
-            context = np.r_[0, codes[:-1]]
-            context[np.cumsum([0, *[len(c) for _, c, _ in parts[:-1]]])] = [p for _, _, p in parts]
-            names = np.unique(-1 - np.r_[codes[codes < 0], context[context < 0]])
-            bucket, ids = own.bucket_of(context, codes), own.local(codes, names)
-            key = (own.local(context, names) << BITS) | ids
+            starts, before = np.cumsum([0, *[len(c) for _, c, _ in parts[:-1]]]), np.array([p for _, _, p in parts], np.int64)
+            names = distinct(-1 - np.r_[codes[codes < 0], before[before < 0]])
+            ids = own.local(codes, names)
+            context, previous_ids = np.r_[0, codes[:-1]], np.r_[0, ids[:-1]]
+            context[starts], previous_ids[starts] = before, own.local(before, names)
+            bucket, key = own.bucket_of(context, codes), (previous_ids << BITS) | ids
             order = np.argsort(key, kind="stable")
-            out = list(postings(1, first, bucket, key, order[np.argsort(bucket[order], kind="stable")], doc, len(own.counts), names))
+            near = bucket[order].astype(np.uint16 if own.buckets <= 1 << 16 else np.int64)  # short numbers sort in linear time
+            out = list(postings(1, first, bucket, key, order[np.argsort(near, kind="stable")], doc, len(own.counts), names))
             at = np.flatnonzero(codes < 0)
             if len(at):
                 key = -1 - codes[at]
-                out += postings(2, first, ((key >> 32) * own.rare_buckets) >> 31, key, np.argsort(key, kind="stable"), doc[at])
+                out += postings(2, first, range_of(key, own.rare_buckets), key, np.argsort(key, kind="stable"), doc[at])
             numbers = np.array(sorted(rows_of), np.int64)
             sizes = np.bincount((doc >> 1), minlength=len(numbers))
             known = np.bincount(doc >> 1, codes >= 0, len(numbers)).astype(np.int64)
@@ -420,9 +460,9 @@ def gather_rooms(packed_docs: DataFrame, base: int) -> DataFrame:
         own, united = [risen(k, np.uint64) for k in keys], np.zeros(0, np.int64)
         if kind == 1:
             lists = [risen(n, np.int64) for n in names]
-            united = np.unique(np.concatenate(lists))
+            united = distinct(np.concatenate(lists))
             own = [renamed(k.astype(np.int64), base, np.searchsorted(united, n)).astype(np.uint64) for k, n in zip(own, lists, strict=True)]
-        merged = np.unique(np.concatenate(own))
+        merged = distinct(np.concatenate(own))
         counts, at = np.zeros(len(merged), np.int64), []
         for k, p, d, t in zip(own, per, doc, times, strict=True):
             where = np.searchsorted(merged, k)
@@ -471,17 +511,25 @@ def swept(own: Plan, now: Round, bucket: int, keys: np.ndarray, counts: np.ndarr
     return Bucket(all_keys, seen, customers, rooms, totals, np.r_[own.pieces, np.ones(len(held), np.int64)], parent)
 
 
-def members_of(rooms: DataFrame) -> DataFrame:
-    """``(bucket, name)`` of the names in every bucket."""
-    schema = pa.schema([("bucket", pa.int64()), ("name", pa.int64())])
+def members_of(rooms: DataFrame, ranges: int = RANGES) -> DataFrame:
+    """``(part, bucket, names)``: the names in every bucket, packed by range."""
+    schema = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("names", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = risen(names, np.int64)
-                yield record_batch(schema, (np.full(len(own), bucket), own))
+                rows = [(part, bucket, steps(own)) for part, own in by_part(risen(names, np.int64), ranges)]
+                if rows:
+                    yield record_batch(schema, list(zip(*rows, strict=True)))
+
+    return rooms.where("kind = 1").select("bucket", "names").mapInArrow(run, "part long, bucket long, names binary")
 
-    return rooms.where("kind = 1").select("bucket", "names").mapInArrow(run, "bucket long, name long")
+
+def by_part(names: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Sorted names, cut into their ranges."""
+    part = range_of(names, ranges)
+    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+    return zip(part[cuts].tolist(), np.split(names, cuts[1:]) if len(cuts) else [], strict=True)
 
 
 def named_counts(rooms: DataFrame) -> DataFrame:
@@ -496,16 +544,52 @@ def named_counts(rooms: DataFrame) -> DataFrame:
     return rooms.where("kind = 2").select("keys", "counts").mapInArrow(run, "name long, n long").where("n > 0")
 
 
-def dealt(rooms: DataFrame, members: DataFrame, tables: DataFrame) -> DataFrame:
-    """``rooms`` with ``held``: the parent's customers ``(name, n)`` of each of a bucket's names, packed in their order."""
-    schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("held", pa.binary())])
+def customers_of(members: DataFrame, tables: DataFrame, ranges: int = RANGES) -> DataFrame:
+    """``(kind, bucket, held)``: the parent's customers ``(name, n)`` of each of a bucket's names, packed in their order.
+
+    Words meet by range, with a row for each bucket that holds some; no row stands for a word in a bucket.
+    """
+    schema = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("held", pa.binary())])
+    result = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("held", pa.binary())])
+
+    def meet(key: tuple, members: pa.Table, tables: pa.Table) -> pa.Table:
+        name, n = (tables.column(c).to_numpy() for c in ("name", "n"))
+        order = np.argsort(name, kind="stable")
+        name, n = np.r_[name[order], -1], np.r_[n[order], 0]
+        rows = []
+        for bucket, names in zip(*(members.column(c).to_pylist() for c in ("bucket", "names")), strict=True):
+            own = risen(names, np.int64)
+            at = np.searchsorted(name[:-1], own)
+            rows.append({"bucket": bucket, "part": key[0].as_py(), "held": packed(np.where(name[at] == own, n[at], 0).astype(np.int64))})
+        return pa.Table.from_pylist(rows, schema=schema)
+
+    def join(key: tuple, group: pa.Table) -> pa.Table:
+        parts = [unpacked(x, np.int64) for x in group.sort_by("part").column("held").to_pylist()]
+        return pa.Table.from_pylist([{"kind": 1, "bucket": key[0].as_py(), "held": packed(np.concatenate(parts))}], schema=result)
+
+    known = tables.select(range_column("name", ranges).alias("part"), "name", "n")
+    found = members.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(meet, "bucket long, part long, held binary")
+    return found.groupBy("bucket").applyInArrow(join, "kind int, bucket long, held binary")
+
+
+def dealt(rooms: DataFrame, members: DataFrame, tables: DataFrame, ranges: int = RANGES) -> DataFrame:
+    """``rooms`` with ``held`` of ``customers_of``."""
+    return rooms.join(customers_of(members, tables, ranges), ["kind", "bucket"], "left")
+
+
+def added_up(found: DataFrame) -> DataFrame:
+    """``(what, key, value)``: values of equal keys in ``(what, part, keys, values)``, packed, added up."""
+    schema = pa.schema([("what", pa.int32()), ("key", pa.int64()), ("value", pa.float64())])
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        n = group.sort_by("name").column("n").to_numpy()
-        return pa.Table.from_pylist([{"kind": 1, "bucket": key[0].as_py(), "held": packed(n)}], schema=schema)
+        group = group.sort_by([("keys", "ascending"), ("values", "ascending")])  # one order of summation
+        keys = np.concatenate([risen(k, np.int64) for k in group.column("keys").to_pylist()])
+        values = np.concatenate([unpacked(v, np.float64) for v in group.column("values").to_pylist()])
+        every = distinct(keys)
+        sums = np.bincount(np.searchsorted(every, keys), values, len(every))
+        return pa.Table.from_arrays([pa.array(np.full(len(every), key[0].as_py(), np.int32)), pa.array(every), pa.array(sums)], schema=schema)
 
-    known = members.join(tables, "name", "left").select("bucket", "name", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    return rooms.join(known.groupBy("bucket").applyInArrow(run, "kind int, bucket long, held binary"), ["kind", "bucket"], "left")
+    return found.groupBy("what", "part").applyInArrow(run, "what int, key long, value double")
 
 
 def run_round(rooms: DataFrame, plan: Shipped, now: Round) -> tuple[np.ndarray, DataFrame, dict[int, float], np.ndarray]:
@@ -516,7 +600,10 @@ def run_round(rooms: DataFrame, plan: Shipped, now: Round) -> tuple[np.ndarray,
     """
     grid = len(DISCOUNTS) * len(STRENGTHS)
     shipped = Shipped(rooms.sparkSession, now)
-    schema = pa.schema([("what", pa.int32()), ("key", pa.int64()), ("value", pa.float64())])
+    schema = pa.schema([("what", pa.int32()), ("part", pa.int64()), ("keys", pa.binary()), ("values", pa.binary())])
+
+    def row(what: int, part: int, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        return record_batch(schema, ([what], [part], [steps(keys)], [packed(values)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Plan = plan.value
@@ -530,7 +617,10 @@ def run_round(rooms: DataFrame, plan: Shipped, now: Round) -> tuple[np.ndarray,
                 opened = np.bincount(b.keys[b.seen] & ((1 << BITS) - 1), got.last, first + len(names))
                 tables += opened[:first]
                 at = np.flatnonzero(opened[first:])
-                yield record_batch(schema, (np.full(len(at), 5, np.int32), names[at], opened[first + at]))
+                done = 0
+                for part, some in by_part(names[at], own.ranges):
+                    yield row(5, part, some, opened[first + at[done : done + len(some)]])
+                    done += len(some)
                 seated = Seating.of(b.customers, got.last)
                 pairs, large = pairs + seated.pairs, large + seated.large
                 here, mean = (np.bincount(got.room, x, len(got.contexts)) for x in (got.last, got.tables))
@@ -538,13 +628,15 @@ def run_round(rooms: DataFrame, plan: Shipped, now: Round) -> tuple[np.ndarray,
                 for u, t in zip(got.contexts[~whole].tolist(), mean[~whole].tolist(), strict=True):
                     cut[u] += t
                 weights += room_weights(here[whole], b.totals[got.contexts][whole]).ravel()
-        for what, a in enumerate((tables, pairs + np.zeros((EXACT + 1) ** 2), np.round(large, 3), np.round(weights, 3))):
-            at = np.flatnonzero(a)
-            yield record_batch(schema, (np.full(len(at), what, np.int32), at, a[at]))
-        yield record_batch(schema, (np.full(len(cut), 4, np.int32), list(cut), list(cut.values())))
+        several = np.array(sorted(cut), np.int64)
+        sums = [(x, np.flatnonzero(a), a[a != 0]) for x, a in enumerate((tables, pairs + np.zeros((EXACT + 1) ** 2), np.round(large, 3), np.round(weights, 3)))]
+        for what, at, a in [*sums, (4, several, np.array([cut[u] for u in several.tolist()], np.float64))]:
+            for lo in np.unique(at // BLOCK).tolist():
+                here = at // BLOCK == lo
+                yield row(what, lo, at[here], a[here])
 
     with batch_rows(rooms.sparkSession, 4):
-        found = stored(rooms.where("kind = 1").select("bucket", "names", "keys", "counts", "held").mapInArrow(run, "what int, key long, value double").groupBy("what", "key").agg(F.sum("value").alias("value")))
+        found = stored(added_up(rooms.where("kind = 1").select("bucket", "names", "keys", "counts", "held").mapInArrow(run, "what int, part long, keys binary, values binary")))
     sums = found.where("what < 5").toArrow()
     what, key, value = (sums.column(i).to_numpy() for i in range(3))
     own: Plan = plan.local
@@ -634,13 +726,19 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with batch_rows(spark, 1000):
         rooms = stored(gather_rooms(pack_documents(docs, plan), len(own.counts)))
 
+    def held_by(named: DataFrame) -> DataFrame:
+        with batch_rows(spark, 20_000):  # names, not texts
+            return stored(customers_of(members, named, own.ranges))
+
     rng = np.random.Generator(np.random.PCG64(seed))
-    members, top, named = stored(members_of(rooms)), own.counts[:-1], stored(named_counts(rooms))
+    with batch_rows(spark, 4):
+        members = stored(members_of(rooms, own.ranges))
+    top, named = own.counts[:-1], stored(named_counts(rooms))
     parent, d, strength = Parent.first(*alike(top, named)), 0.75, 2.0
     for r in range(rounds):
         now = Round(r, parent, parent.of(top), d, strength, sweeps, burn_in, seed)
-        before = named
-        top, named, cut, weights = run_round(dealt(rooms.select("kind", "bucket", "names", "keys", "counts").where("kind = 1"), members, named), plan, now)
+        before = held_by(named)
+        top, named, cut, weights = run_round(rooms.select("kind", "bucket", "names", "keys", "counts").where("kind = 1").join(before, ["kind", "bucket"], "left"), plan, now)
         d, strength = draw_parameters(weights, rng)
         parent = Parent.fit(*alike(top, named), rng, 2 * sweeps, 2 * burn_in)
     last = Shipped(spark, (now, cut, parent, parent.of(top)))
@@ -701,8 +799,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             added[:, risen(d, np.int64)] += unpacked(x, np.float64).reshape(3, -1)
         return pa.Table.from_arrays([pa.array(lead + np.arange(len(flags))), pa.array(ids, mask=flags > 1), pa.array((flags & 1).astype(np.int32)), pa.array(tokens), pa.array(added[0].astype(np.int64)), pa.array(added[1]), pa.array(added[2])], schema=result)
 
+    known = before.withColumnRenamed("held", "earlier").join(held_by(named), ["kind", "bucket"])
     with batch_rows(spark, 4):
-        both = dealt(dealt(rooms, members, before).withColumnRenamed("held", "earlier"), members, named)
+        both = rooms.join(known, ["kind", "bucket"], "left")
         parts = both.select("kind", "bucket", "keys", "counts", "first", "earlier", "held", "at", "per", "doc", "times").mapInArrow(score, "first long, kind int, doc binary, sums binary")
         chunks = parts.groupBy("first").applyInArrow(total, "row long, doc long, flags int, tokens long, known long, base double, model double")
         # A document that goes on in another chunk has a row in each.

@@ -274,6 +274,33 @@ def test_scores_do_not_depend_on_which_words_are_numbered(spark):
         assert r["score"] / r["n_tokens"] == pytest.approx(all_numbered[i]["score"] / r["n_tokens"], abs=0.1)
 
 
+def test_named_words_travel_packed(spark, monkeypatch):
+    """A bucket and a range of names are one row, not one for each word, and the words' counts come back in their order."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.3)) % 3000}" for _ in range(40)), i % 5 == 0) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc long, text string, held boolean")
+    counted = common.stored(pitman_yor.count_words(frame.where("not held").select("text")))
+    own = pitman_yor.make_plan(counted, 160, 4, 2000)
+    plan = common.Shipped(spark, own)
+    rooms = common.stored(pitman_yor.gather_rooms(pitman_yor.pack_documents(frame, plan), len(own.counts)))
+    members, named = common.stored(pitman_yor.members_of(rooms, 3)), common.stored(pitman_yor.named_counts(rooms))
+    assert own.buckets > 1 and named.count() > 500 and 3 < members.count() <= 3 * own.buckets
+    count = {xxhash.xxh64_intdigest(bytes(r["word"])) >> 1: r["n"] for r in counted.collect()}
+    held = {r["bucket"]: r["held"] for r in pitman_yor.customers_of(members, named, 3).collect()}
+    words_ = {r["bucket"]: pitman_yor.risen(r["names"], np.int64).tolist() for r in rooms.where("kind = 1").collect()}
+    assert {b for b, names in words_.items() if names} == set(held)
+    for b, h in held.items():
+        assert pitman_yor.unpacked(h, np.int64).tolist() == [count.get(n, 0) for n in words_[b]]
+    parent = pitman_yor.Parent.first(*pitman_yor.alike(own.counts[:-1], named))
+    now = pitman_yor.Round(0, parent, parent.of(own.counts[:-1]), 0.6, 2.0, 2, 1, 1)
+    full = common.stored(pitman_yor.dealt(rooms, pitman_yor.members_of(rooms), named))
+    one = pitman_yor.run_round(full, plan, now)
+    monkeypatch.setattr(pitman_yor, "BLOCK", 7)
+    other = pitman_yor.run_round(full.repartition(5), plan, now)
+    assert (one[0] == other[0]).all() and one[2] == pytest.approx(other[2]) and one[3] == pytest.approx(other[3])
+    assert sorted(map(tuple, one[1].collect())) == sorted(map(tuple, other[1].collect()))
+
+
 def test_seating_equals_a_sampler_that_moves_one_customer_at_a_time():
     rng, d, strength = random.Random(1), 0.6, 1.5
     parent = np.array([0.4, 0.3, 0.2, 0.1])
