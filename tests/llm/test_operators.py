@@ -283,6 +283,7 @@ def test_named_words_travel_packed(spark, monkeypatch):
     own = pitman_yor.make_plan(counted, 160, 4, 2000)
     plan = common.Shipped(spark, own)
     rooms = common.stored(pitman_yor.gather_rooms(pitman_yor.pack_documents(frame, plan), len(own.counts)))
+    assert pitman_yor.members_of(rooms).count() <= 16 * own.buckets
     members, named = common.stored(pitman_yor.members_of(rooms, 3)), common.stored(pitman_yor.named_counts(rooms))
     assert own.buckets > 1 and named.count() > 500 and 3 < members.count() <= 3 * own.buckets
     count = {xxhash.xxh64_intdigest(bytes(r["word"])) >> 1: r["n"] for r in counted.collect()}
